@@ -108,6 +108,9 @@ def attribute(attrs: Column, name: str) -> Column:
     return decode_entities(raw_attribute(attrs, name))
 
 
+_COMMON = ["lt", "gt", "quot", "apos", "nbsp", "amp"]
+
+
 def _entity_map() -> Column:
     entries = "\x01".join(f"{name}\x02{char}" for name, char in ENTITIES.items())
     return F.str_to_map(F.lit(entries), F.lit("\x01"), F.lit("\x02"))
@@ -136,8 +139,16 @@ def decode_entities(text: Column) -> Column:
         tail = F.transform(F.slice(parts, 2, F.size(parts)), reference)
         return F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
 
+    def common(value: Column) -> Column:
+        return reduce(lambda acc, n: F.replace(acc, F.lit(f"&{n};"), F.lit(ENTITIES[n])), _COMMON, value)
+
+    # Most text has no reference, or only the common ones, which plain
+    # replacement handles; the ampersand goes last so nothing is decoded twice.
     return let(
-        text, lambda t: F.when(F.contains(t, F.lit("&")), let(F.split(t, "&", -1), decoded)).otherwise(t)
+        text,
+        lambda t: F.when(~F.contains(t, F.lit("&")), t)
+        .when(t.rlike(rf"&(?!(?:{'|'.join(_COMMON)});)[#A-Za-z]"), let(F.split(t, "&", -1), decoded))
+        .otherwise(common(t)),
     )
 
 

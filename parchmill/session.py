@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "parchmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,3 +27,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a small table that several later steps read, and go on from the copy.
+
+    The checkpoint folder is the one the cluster names; a temporary one serves
+    where none is set, as in tests.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="parchmill-checkpoint-"))
+    return df.checkpoint()
