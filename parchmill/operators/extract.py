@@ -209,9 +209,9 @@ def drop_boilerplate(tokens: DataFrame) -> DataFrame:
 def score_containers(tokens: DataFrame) -> DataFrame:
     """Add to every token its container, that container's score, and the page's best.
 
-    A container gets the worth of the text blocks directly inside, and half of
-    what each container directly inside it got; what is mostly link text is
-    marked down. ``main_open`` is NULL on pages where nothing scores. Takes
+    A container gets the worth of the text blocks directly inside, less the
+    share of link text in them, and half of what each container directly inside
+    it got that way. ``main_open`` is NULL on pages where nothing scores. Takes
     ``container_tokens``.
     """
     counts = F.col("tag").isin(CANDIDATE_TAGS) & ~F.col("noise") & ~F.col("dropped")
@@ -241,11 +241,10 @@ def score_containers(tokens: DataFrame) -> DataFrame:
                 ),
             }
         )
-        .withColumn("handed_up", F.sum(F.when(F.col("opens"), F.col("own") / 2)).over(in_target))
+        .withColumn("net", F.col("own") * (1 - F.coalesce("linked", F.lit(0.0))))
+        .withColumn("handed_up", F.sum(F.when(F.col("opens"), F.col("net") / 2)).over(in_target))
         .withColumn(
-            "score",
-            (F.col("own") + F.when(F.col("opens"), 0.0).otherwise(F.coalesce("handed_up", F.lit(0.0))))
-            * (1 - F.coalesce("linked", F.lit(0.0))),
+            "score", F.col("net") + F.when(F.col("opens"), 0.0).otherwise(F.coalesce("handed_up", F.lit(0.0)))
         )
         .withColumn(
             "best",
