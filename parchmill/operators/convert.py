@@ -33,7 +33,7 @@ def _with_structure(tokens: DataFrame) -> DataFrame:
     by_list_depth = so_far("list_depth")
     is_list = F.col("tag").isin("ul", "ol", "menu") & ~F.col("close")
     is_item = (F.col("tag") == "li") & ~F.col("close")
-    start = F.coalesce(H.attribute(F.col("attrs"), "start").try_cast("int"), F.lit(1))
+    start = F.coalesce(H.raw_attribute(F.col("attrs"), "start").try_cast("int"), F.lit(1))
     return (
         tokens.withColumns(
             {
@@ -82,6 +82,7 @@ def _inline_markdown(text: str, base: str) -> Column:
     return H.inline_markdown(F.col(text), F.coalesce(F.col(base), F.lit("")))
 
 
+@reusable
 def _block_markdown() -> Column:
     """Markdown of one block, without list or quote prefixes."""
     tag, opens = F.col("tag"), ~F.col("close")

@@ -149,7 +149,7 @@ def match_containers(tokens: DataFrame) -> DataFrame:
     step = F.when(~is_container, 0).when(F.col("close"), -1).otherwise(1)
     by_level = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
     opens_noise = F.col("tag").isin(BOILERPLATE_TAGS) | (
-        (F.col("tag") == "div") & H.attribute(F.col("attrs"), "class").rlike(BOILERPLATE_CLASS)
+        (F.col("tag") == "div") & H.raw_attribute(F.col("attrs"), "class").rlike(BOILERPLATE_CLASS)
     )
     return (
         tokens.withColumn("noise", F.when(is_container & ~F.col("close"), opens_noise).otherwise(F.lit(False)))

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from parchmill.operators import convert as C
@@ -54,34 +53,34 @@ def test_metadata(spark):
     assert stated.markdown.endswith("\n\n---\n<!-- Fetched: 2026-01-03T16:47:00Z -->\n")
 
 
-@pytest.mark.parametrize(
-    "html, expected",
-    [
-        ("<h2>Heading 2</h2>", "## Heading 2"),
-        ("<strong>Bold text</strong>", "**Bold text**"),
-        ("<em>Italic text</em>", "_Italic text_"),
-        ('<a href="https://example.com">Link text</a>', "[Link text](https://example.com)"),
-        ('<a href="../x y">up</a>', "[up](https://example.com/x%20y)"),
-        ("<ul><li>Item 1</li><li>Item 2</li></ul>", "- Item 1\n- Item 2"),
-        ("<ol start=3><li>A<li>B</ol><p>C", "3. A\n4. B\n\nC"),
-        ("<ul><li>A<ul><li>B</li></ul></li><li>C</li></ul>", "- A\n    - B\n- C"),
-        ("<ul><li><p>A</p><p>B</p></li></ul>", "- A\n\n    B"),
-        ("<blockquote><p>Q<br>R</p></blockquote>", "> Q  \n> R"),
-        ("<pre><code>a  b\n  &lt;c&gt; *</code></pre>", "```\na  b\n  <c> *\n```"),
-        ("<p>a</p><hr><p>b</p>", "a\n\n* * *\n\nb"),
-        ("<p><b>open <br><p>next", "**open**\n\nnext"),
-        ("<p>x <mark>m</mark> <code>a_b</code></p>", "x <mark>m</mark> `a_b`"),
-        ('<img src="i.png" alt="A">', "![A](https://example.com/a/i.png)"),
-        ("<p>2 * 3 [x] a_b</p>", "2 \\* 3 \\[x\\] a\\_b"),
-        ("<p># no</p><p>- no</p><p>1. no</p>", "\\# no\n\n\\- no\n\n1\\. no"),
-        ("&lt;b&gt; &amp;amp; &#233;&#x1F600; &bogus;", "\\<b> &amp; é😀 &bogus;"),
-        ('<p title="a > b">t</p>', "t"),
-        ("a < b and c", "a < b and c"),
-        ("<script>var t='</p>'</script><!-- c --><style>p{}</style>kept", "kept"),
-    ],
-)
-def test_markdown_rules(spark, html, expected):
-    assert body(convert(spark, html)[0]) == expected
+RULES = [
+    ("<h2>Heading 2</h2>", "## Heading 2"),
+    ("<strong>Bold text</strong>", "**Bold text**"),
+    ("<em>Italic text</em>", "_Italic text_"),
+    ('<a href="https://example.com">Link text</a>', "[Link text](https://example.com)"),
+    ('<a href="../x y">up</a>', "[up](https://example.com/x%20y)"),
+    ("<ul><li>Item 1</li><li>Item 2</li></ul>", "- Item 1\n- Item 2"),
+    ("<ol start=3><li>A<li>B</ol><p>C", "3. A\n4. B\n\nC"),
+    ("<ul><li>A<ul><li>B</li></ul></li><li>C</li></ul>", "- A\n    - B\n- C"),
+    ("<ul><li><p>A</p><p>B</p></li></ul>", "- A\n\n    B"),
+    ("<blockquote><p>Q<br>R</p></blockquote>", "> Q  \n> R"),
+    ("<pre><code>a  b\n  &lt;c&gt; *</code></pre>", "```\na  b\n  <c> *\n```"),
+    ("<p>a</p><hr><p>b</p>", "a\n\n* * *\n\nb"),
+    ("<p><b>open <br><p>next", "**open**\n\nnext"),
+    ("<p>x <mark>m</mark> <code>a_b</code></p>", "x <mark>m</mark> `a_b`"),
+    ('<img src="i.png" alt="A">', "![A](https://example.com/a/i.png)"),
+    ("<p>2 * 3 [x] a_b</p>", "2 \\* 3 \\[x\\] a\\_b"),
+    ("<p># no</p><p>- no</p><p>1. no</p>", "\\# no\n\n\\- no\n\n1\\. no"),
+    ("&lt;b&gt; &amp;amp; &#233;&#x1F600; &bogus;", "\\<b> &amp; é😀 &bogus;"),
+    ('<p title="a > b">t</p>', "t"),
+    ("a < b and c", "a < b and c"),
+    ("<script>var t='</p>'</script><!-- c --><style>p{}</style>kept", "kept"),
+]
+
+
+def test_markdown_rules(spark):
+    rows = convert(spark, *[html for html, _ in RULES])
+    assert [body(row) for row in rows] == [expected for _, expected in RULES]
 
 
 def test_unclosed_and_stray_tags(spark):
