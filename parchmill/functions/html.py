@@ -24,11 +24,11 @@ _MARKS = r"[\x00-\x06\x0e-\x13]"
 
 # What is removed before anything else is read.
 _NOISE = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-    r"|<noscript\b[^>]*>.*?(?:</noscript\s*>|\z)"
-    r"|<![^>]*>|<\?[^>]*>"
+    r"(?is)<(?:!--.*?(?:-->|\z)"
+    r"|script\b[^>]*>.*?(?:</script\s*>|\z)"
+    r"|style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"|noscript\b[^>]*>.*?(?:</noscript\s*>|\z)"
+    r"|![^>]*>|\?[^>]*>)"
 )
 
 # Tags that start or end a block of text.
@@ -60,13 +60,17 @@ ENTITIES = {
 
 def clean_html(html: Column) -> Column:
     """HTML without comments, scripts, styles, noscript and declarations."""
-    return F.regexp_replace(F.regexp_replace(html, _MARKS, ""), _NOISE, "")
+    return F.regexp_replace(html, f"{_NOISE}|{_MARKS}", "")
 
 
-def tag_pattern(tags: list[str] | None) -> str:
-    """Pattern of one opening or closing tag; all tags when ``tags`` is None."""
+def tag_pattern(tags: list[str] | None, closing: bool = True) -> str:
+    """Pattern of one tag, closing ones too unless told otherwise; all tags when ``tags`` is None."""
     name = _ANY_NAME if tags is None else "(?:" + "|".join(tags) + ")"
-    return rf"(?i)(</?{name}(?![a-zA-Z0-9]){ATTRS}>)"
+    return rf"(?i)(<{'/?' if closing else ''}{name}(?![a-zA-Z0-9]){ATTRS}>)"
+
+
+def without_tags(inner: Column) -> Column:
+    return F.regexp_replace(inner, tag_pattern(None), " ")
 
 
 def split_at_tags(clean: Column, tags: list[str] | None = None) -> Column:
@@ -116,8 +120,12 @@ def _entity_map() -> Column:
     return F.str_to_map(F.lit(entries), F.lit("\x01"), F.lit("\x02"))
 
 
-def decode_entities(text: Column) -> Column:
-    """Named and numeric character references become characters, once each."""
+def decode_entities(text: Column, is_name: bool = False) -> Column:
+    """Named and numeric character references become characters, once each.
+
+    ``is_name`` says that ``text`` is a plain column, which costs nothing to
+    repeat, so the common case stays in generated code.
+    """
 
     def reference(item: Column) -> Column:
         # item is what followed "&": a name or number, ";" and the text up to the next "&".
@@ -144,12 +152,15 @@ def decode_entities(text: Column) -> Column:
 
     # Most text has no reference, or only the common ones, which plain
     # replacement handles; the ampersand goes last so nothing is decoded twice.
-    return let(
-        text,
-        lambda t: F.when(~F.contains(t, F.lit("&")), t)
-        .when(t.rlike(rf"&(?!(?:{'|'.join(_COMMON)});)[#A-Za-z]"), let(F.split(t, "&", -1), decoded))
-        .otherwise(common(t)),
-    )
+    def choose(t: Column) -> Column:
+        unusual = t.rlike(rf"&(?!(?:{'|'.join(_COMMON)});)[#A-Za-z]")
+        return (
+            F.when(~F.contains(t, F.lit("&")), t)
+            .when(unusual, let(F.split(t, "&", -1), decoded))
+            .otherwise(common(t))
+        )
+
+    return choose(text) if is_name else let(text, choose)
 
 
 def code_point_to_char(code: Column) -> Column:
@@ -160,8 +171,7 @@ def code_point_to_char(code: Column) -> Column:
 
 def visible_text(inner: Column) -> Column:
     """Text of an inline fragment: tags out, entities decoded, white space squeezed."""
-    plain = F.regexp_replace(inner, rf"(?i)</?{_ANY_NAME}{ATTRS}>", " ")
-    return F.trim(F.regexp_replace(decode_entities(plain), r"\s+", " "))
+    return F.trim(F.regexp_replace(decode_entities(without_tags(inner)), r"\s+", " "))
 
 
 def link_text_bytes(inner: Column) -> Column:
@@ -242,8 +252,7 @@ def page_description(metas: Column) -> Column:
 # --- inline Markdown ----------------------------------------------------------
 
 # Characters that would read as Markdown inside running text.
-_ESCAPED = r"([\\`*_\[\]])"
-_ESCAPED_BRACKET = r"<([a-zA-Z/!?])"
+_ESCAPED = r"([\\`*_\[\]]|<(?=[a-zA-Z/!?]))"
 _CODE_TAGS = ["code", "kbd", "samp", "tt"]
 
 
@@ -259,7 +268,7 @@ def inline_markdown(inner: Column, base: Column) -> Column:
         return F.regexp_replace(decode_entities(text), r"\s+", " ")
 
     def escaped(text: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(text, _ESCAPED, r"\\$1"), _ESCAPED_BRACKET, r"\\<$1")
+        return F.regexp_replace(text, _ESCAPED, r"\\$1")
 
     def mark(tag: Column, closes: Column, attrs: Column) -> Column:
         def pair(first: str, last: str) -> Column:
@@ -306,9 +315,8 @@ def inline_markdown(inner: Column, base: Column) -> Column:
         ).otherwise(escaped(squeezed(item)))
 
     marked = F.array_join(F.transform(split_at_tags(inner), piece), "")
-    return F.trim(
-        F.when(F.contains(inner, F.lit("<")), _pair_marks(marked)).otherwise(escaped(squeezed(inner)))
-    )
+    plain = F.regexp_replace(decode_entities(inner, is_name=True), r"\s+", " ")
+    return F.trim(F.when(F.contains(inner, F.lit("<")), _pair_marks(marked)).otherwise(escaped(plain)))
 
 
 # Pairing rules, applied in this order. Empty pairs vanish, white
@@ -338,9 +346,7 @@ def _pair_marks(marked: Column) -> Column:
 
 def escape_line_start(text: Column) -> Column:
     """Keep a block from reading as heading, list item or quote."""
-    return F.regexp_replace(
-        F.regexp_replace(text, r"(?m)^([#>+\-])", r"\\$1"), r"(?m)^(\d+)([.)] )", r"$1\\$2"
-    )
+    return F.regexp_replace(text, r"(?m)^(?=[#>+\-])|^(\d+)(?=[.)] )", r"$1\\")
 
 
 def preformatted(inner: Column) -> Column:

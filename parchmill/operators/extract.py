@@ -115,10 +115,15 @@ def _measured(name: str) -> Column:
     for length.
     """
     zero = F.lit(0).cast("bigint")
-
-    def block(piece: Column) -> Column:
-        silent = H.piece_tag(piece).isin(SILENT_TAGS) & ~H.piece_closes(piece)
-        return F.when(silent, F.lit("")).otherwise(H.visible_text(H.piece_text(piece)))
+    # Whole-fragment passes: block tags become cuts, other tags blanks; the text
+    # behind a silent tag is marked and counts as empty.
+    silent, hidden = H.tag_pattern(SILENT_TAGS, closing=False), "\x02"
+    cut = F.regexp_replace(F.regexp_replace(F.col(name), silent, H.CUT + hidden), H.tag_pattern(H.BLOCK_TAGS), H.CUT)
+    plain = F.regexp_replace(F.when(F.contains(cut, F.lit("<")), H.without_tags(cut)).otherwise(cut), r"\s+", " ")
+    blocks = F.transform(
+        F.split(H.decode_entities(plain), H.CUT, -1),
+        lambda t: F.when(t.startswith(hidden), F.lit("")).otherwise(F.trim(t)),
+    )
 
     def worth(text: Column) -> Column:
         size = F.octet_length(text)
@@ -134,7 +139,7 @@ def _measured(name: str) -> Column:
             H.link_text_bytes(F.col(name)).alias("link_bytes"),
         )
 
-    return let(F.transform(H.split_at_tags(F.col(name), H.BLOCK_TAGS), block), totals)
+    return let(blocks, totals)
 
 
 def match_containers(tokens: DataFrame) -> DataFrame:
