@@ -38,6 +38,11 @@ def batch_stats_toon(stats: DataFrame, *keep: str) -> DataFrame:
     return stats.select(*keep, toon_object_of(stats, STATS_FIELDS).alias("toon"))
 
 
+def part_of(rows_per_part: int) -> Column:
+    """Part a position falls into, in exact integer arithmetic; -1 is before part 0."""
+    return F.expr(f"(pos - pmod(pos, {rows_per_part})) div {rows_per_part}")
+
+
 def _in_parts(rows: DataFrame, by: Sequence[str], separator: str, name: str) -> DataFrame:
     """Join ``text`` of rows in ``pos, rank`` order, per part of each group."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "rank", "text")))
@@ -58,7 +63,7 @@ def toon_table(
     spread over its parts.
     """
     shown = df.select(*fields)
-    part = F.floor(F.col("pos") / rows_per_part)
+    part = part_of(rows_per_part)
     lines = df.select(
         *by,
         "pos",
@@ -102,7 +107,7 @@ def toon_document(
         "pos",
         F.lit(0).alias("rank"),
         F.concat("toon", F.lit("\n")).alias("text"),
-        F.floor(F.col("pos") / rows_per_part).alias("part"),
+        part_of(rows_per_part).alias("part"),
     )
     return _in_parts(blocks, (), "", "toon")
 
@@ -121,7 +126,7 @@ def markdown_articles(results: DataFrame) -> DataFrame:
 def markdown_document(results: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Markdown of the successful rows in batch order, in parts."""
     articles = markdown_articles(results).select(
-        "pos", F.lit(0).alias("rank"), "text", F.floor(F.col("pos") / rows_per_part).alias("part")
+        "pos", F.lit(0).alias("rank"), "text", part_of(rows_per_part).alias("part")
     )
     return _in_parts(articles, (), "", "document")
 
