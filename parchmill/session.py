@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +32,31 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a small table that several later steps read, and go on from the copy.
+_local_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors and the driver share, for tables between steps.
 
-    The checkpoint folder is the one the cluster names; a temporary one serves
-    where none is set, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder serves a local master; on a cluster it is an error, as each
+    executor would write to its own disk.
     """
+    global _local_folder
+    named = spark.conf.get("spark.checkpoint.dir", None) or _local_folder
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="parchmill-shared-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        _local_folder = named
+    return named.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a small table that several later steps read, and go on from the copy."""
     context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="parchmill-checkpoint-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint()
