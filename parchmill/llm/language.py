@@ -96,7 +96,7 @@ def _cluster(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 COUNTS = "lang string, counts binary"
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, slack: float = 0.3) -> Centroids | None:
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, slack: float = 0.2) -> Centroids | None:
     """Learn centroids from the labelled rows of ``docs`` outside the held-out fold.
 
     Uses ``fit_rows`` rows at most, the same number of each language where it has
