@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # At most so many labelled rows, spread evenly over the languages, fit the centroids.
-FIT_ROWS = 4000
-FEATURES = 4096
+FIT_ROWS = 2000
+FEATURES = 8192
 CENTROIDS = 4
 UNKNOWN = "und"
 
@@ -50,7 +50,7 @@ def ngram_counts(text: str) -> np.ndarray:
         three = (pair[:-1] * np.uint32(0x27D4EB2F) ^ (letters[2:] * np.uint32(0xC2B2AE3D)))[letters[1:-1] != 0]
         skip = 1 if at else 0  # the bigram of the overlap was counted before
         mixed = np.concatenate([pair[skip:] * np.uint32(0x165667B1), three * np.uint32(0x2545F491)])
-        counts += np.bincount(mixed >> np.uint32(20), minlength=FEATURES)
+        counts += np.bincount(mixed >> np.uint32(19), minlength=FEATURES)
     return counts
 
 
