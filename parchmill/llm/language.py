@@ -40,17 +40,19 @@ def ngram_counts(text: str) -> np.ndarray:
     Everything that is no letter is one space; an n-gram may begin or end with it.
     """
     counts = np.zeros(FEATURES, dtype=np.int64)
-    for at in range(0, max(len(text), 1), SLICE):
-        part = (" " if at == 0 else text[at - 2 : at]) + text[at : at + SLICE] + (" " if at + SLICE >= len(text) else "")
-        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    tail = np.zeros(1, dtype=np.uint32)
+    for at in range(0, len(text), SLICE):
+        codes = np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         letters = np.where(codes < len(LETTERS), LETTERS[np.minimum(codes, len(LETTERS) - 1)], codes)
-        letters = letters[(letters != 0) | np.append(True, letters[:-1] != 0)]
-        a, b = letters[:-1], letters[1:]
-        pair = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))
-        three = (pair[:-1] * np.uint32(0x27D4EB2F) ^ (letters[2:] * np.uint32(0xC2B2AE3D)))[letters[1:-1] != 0]
-        skip = 1 if at else 0  # the bigram of the overlap was counted before
-        mixed = np.concatenate([pair[skip:] * np.uint32(0x165667B1), three * np.uint32(0x2545F491)])
-        counts += np.bincount(mixed >> np.uint32(19), minlength=FEATURES)
+        end = np.zeros(int(at + SLICE >= len(text)), dtype=np.uint32)
+        run = np.concatenate([tail, letters, end])
+        run = run[np.append(True, (run[1:] != 0) | (run[:-1] != 0))]
+        # What lies in the tail alone was counted before.
+        pair = (run[:-1] * np.uint32(0x9E3779B1)) ^ (run[1:] * np.uint32(0x85EBCA77))
+        three = (pair[:-1] * np.uint32(0x27D4EB2F) ^ (run[2:] * np.uint32(0xC2B2AE3D)))[run[1:-1] != 0]
+        found = np.concatenate([pair[len(tail) - 1 :] * np.uint32(0x165667B1), three * np.uint32(0x2545F491)])
+        counts += np.bincount((found ^ (found >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(19), minlength=FEATURES)
+        tail = run[-2:]
     return counts
 
 
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, s
     that many, chosen by a hash of the id. Four fifths make the inverse document
     frequencies and centroids; on the rest, a language's rejection limit is
     ``slack`` times the similarity that all but one in 200 of its texts reach.
-    None if there is nothing to learn from.
+    Texts without letters teach nothing. None if there is nothing to learn from.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", "doc_id")
     per_language = labelled.groupBy("lang").count()
@@ -113,8 +115,11 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [ngram_counts(t or "").astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "counts"])
+            rows = [(lang, t) for lang, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t and has_letter(t)]
+            counts = [ngram_counts(t).astype("<u4").tobytes() for _, t in rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang for lang, _ in rows], pa.string()), pa.array(counts, pa.binary())], names=["lang", "counts"]
+            )
 
     sample = chosen.orderBy(draw, "lang").limit(fit_rows).select("lang", "text").mapInArrow(count, COUNTS).collect()
     if not sample:
