@@ -15,9 +15,13 @@ from parchmill.llm.common import Forest, components, join_totals, staged
 from parchmill.llm.shingles import Signatures, WordHashes, set_id, shingle_set
 
 # Documents of a group, and queries that meet a group in one task.
-GROUP = 128
+GROUP = 512
 QUERIES = 1024
-DOCS_AT_ONCE = 512
+DOCS_AT_ONCE = 256
+
+# A shingle is frequent if so many sets of so many documents hold it.
+FREQUENT = 10
+SAMPLE = 20_000
 
 SIGNED = "part int, doc_id long, n_shingles long, set_id long, signatures binary, sets binary"
 SORTED = "doc_id long, n_shingles long, set_id long, centre long"
@@ -29,11 +33,51 @@ def _empty(n: int, kind: pa.DataType) -> pa.Array:
     return pa.nulls(n, kind)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """The first column, so many rows at a time that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), DOCS_AT_ONCE):
+            yield batch.column(0).slice(at, DOCS_AT_ONCE)
+
+
+def _sets_of(texts: pa.Array, words: int, memo: WordHashes) -> pa.RecordBatch:
+    found = [shingle_set(t, words, memo) for t in texts.to_pylist()]
+    ids = pa.array([set_id(f) for f in found], pa.int64())
+    return pa.RecordBatch.from_arrays([ids, pa.array([f.tobytes() for f in found], pa.binary())], names=["set_id", "tokens"])
+
+
+def frequent_tokens(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that at least ``FREQUENT`` of about ``SAMPLE`` documents' sets hold, equal sets counting once.
+
+    They only steer which signatures are made (``Signatures``). At most
+    ``SAMPLE / FREQUENT`` times the mean set size of them can exist, however
+    many documents there are.
+    """
+    share = SAMPLE / max(docs.count(), 1)
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_003))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for column in _slices(batches):
+            yield _sets_of(column, words, memo)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for column in _slices(batches):
+            flat = np.frombuffer(b"".join(column.to_pylist()), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat)], names=["token"])
+
+    sample = docs.filter(draw < F.lit(int(share * 1_000_003) + 1)).select("text").mapInArrow(sets, TOKENS)
+    counted = sample.dropDuplicates(["set_id"]).select("tokens").mapInArrow(each, "token long").groupBy("token").count()
+    found = counted.filter(F.col("count") >= FREQUENT).select("token").toArrow().column("token").to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
 def _sign(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """A row per document, and its set's signatures packed into a row per batch and part."""
+    frequent = frequent_tokens(docs, words)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, signatures, dealt = WordHashes(), Signatures(percent), 0
+        memo, signatures, dealt = WordHashes(), Signatures(percent, frequent), 0
         names = [f.split()[0] for f in SIGNED.split(", ")]
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
@@ -101,10 +145,8 @@ def _tokens(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
-            found = [shingle_set(t, words, memo) for t in batch.column(0).to_pylist()]
-            sets = pa.array([set_id(f) for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([sets, pa.array([f.tobytes() for f in found], pa.binary())], names=["set_id", "tokens"])
+        for column in _slices(batches):
+            yield _sets_of(column, words, memo)
 
     got = near.join(chosen.select("id"), "id", "left_semi").select("text").mapInArrow(count, TOKENS)
     # Rows that repeat a doc_id with other texts bring sets nobody asked for, or a set twice.
@@ -155,8 +197,10 @@ def set_links(docs: DataFrame, chosen: DataFrame, shared: DataFrame, words: int,
     by their smallest centre, and large groups into pieces of about ``GROUP``.
 
     Each piece, with the centre of its group, is joined within itself. What that
-    connects is done with: only sets of different components that share a
-    centre are compared after that, as queries against pieces of the others.
+    connects is done with: after that only sets of different components that
+    share a centre are compared, as queries against groups of the others. Sets
+    of small components are grouped by home, so that a query meets about as many
+    groups as there are sets to compare it with, divided by ``GROUP``.
     """
     tokens = staged(_tokens(docs, chosen, words), "tokens")
     both = shared.unionByName(shared.select(F.col("centre").alias("set_id"), "centre")).distinct()
@@ -190,41 +234,52 @@ def set_links(docs: DataFrame, chosen: DataFrame, shared: DataFrame, words: int,
         return inner
     ones = left.select("set_id", "component").distinct()
     counts = ones.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    ones = staged(join_totals(ones, counts, "component", "members", ones.count()).withColumn("piece", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("members") / GROUP))), "ones")
-    seated = left.select("set_id", "centre").join(ones, "set_id")
-    # The smaller component asks, so a few sets beside a large component are few queries.
-    asked = seated.select("centre", "component", "members", "piece").distinct().select(
-        "centre", F.col("component").alias("of"), F.col("members").alias("of_members"), F.col("piece").alias("of_piece")
+    ones = join_totals(ones, counts, "component", "members", ones.count()).join(homes.select("set_id", "home"), "set_id")
+    # Pieces of a large component are groups of their own; small ones share the groups of their home.
+    large = F.col("members") > GROUP
+    ones = staged(ones.select("set_id", "component", large.alias("large"), F.when(large, F.col("component")).otherwise(F.col("home")).alias("owner")), "ones")
+    crowd = ones.withColumn("crowd", F.xxhash64("large", "owner"))
+    crowds = crowd.groupBy("crowd").agg(F.count(F.lit(1)).alias("members"))
+    units = staged(
+        join_totals(crowd, crowds, "crowd", "members", ones.count()).select(
+            "set_id",
+            "component",
+            F.struct("large", "owner", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("members") / GROUP)).alias("piece")).alias("unit"),
+        ),
+        "units",
     )
+    seated = left.select("set_id", "centre").join(units, "set_id")
+    # A large unit is of one component; who belongs to that has nothing to ask there.
+    asked = seated.select("centre", F.col("unit").alias("of"), F.when(F.col("unit.large"), F.col("component")).alias("whole")).distinct()
     queries = (
-        seated.select("centre", "set_id", "component", "members")
-        .join(asked, "centre")
-        .filter(F.struct("members", "component") < F.struct(F.col("of_members"), F.col("of")))
-        .select("set_id", "of", "of_piece")
+        seated.join(asked, "centre")
+        .filter((F.col("unit") <= F.col("of")) & ~F.col("component").eqNullSafe(F.col("whole")))
+        .select("set_id", "of")
         .distinct()
         .withColumn("lot", F.pmod(F.xxhash64("set_id"), F.lit(QUERIES)))
     )
     queries = staged(queries, "queries")
-    lots = queries.groupBy("of", "of_piece").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("lots"))
-    asks = queries.join(lots, ["of", "of_piece"]).select("set_id", "of", "of_piece", F.pmod("lot", F.col("lots")).alias("lot"), F.lit(True).alias("query"))
+    lots = queries.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("lots"))
+    asks = queries.join(lots, "of").select("set_id", "of", F.pmod("lot", F.col("lots")).alias("lot"), F.lit(True).alias("query"))
     holds = (
-        ones.select("set_id", F.col("component").alias("of"), F.col("piece").alias("of_piece"))
-        .join(lots, ["of", "of_piece"])
-        .select("set_id", "of", "of_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(False).alias("query"))
+        units.select("set_id", F.col("unit").alias("of"))
+        .join(lots, "of")
+        .select("set_id", "of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(False).alias("query"))
     )
 
     def across(group: pa.Table) -> pa.Table:
         members = group.filter(pc.invert(group.column("query")))
         asking = group.filter(group.column("query"))
         matrix, ids = TokenGroup(_read(members)), members.column("set_id").to_pylist()
-        found = []
+        places = {one: i for i, one in enumerate(ids)}
+        strangers = [q for q in asking.column("set_id").to_pylist() if q not in places]
+        places |= {q: len(ids) + i for i, q in enumerate(strangers)}
+        forest, found = Forest(len(places)), []
         for query, one in zip(asking.column("set_id").to_pylist(), _read(asking), strict=True):
-            hits = matrix.matches(one, percent)
-            if len(hits):  # all members are of one component
-                found.append((query, ids[hits[0]]))
+            found += [(query, ids[i]) for i in matrix.matches(one, percent).tolist() if forest.join(places[query], i)]
         return _table(found)
 
-    outer = asks.unionByName(holds).join(tokens, "set_id").groupBy("of", "of_piece", "lot").applyInArrow(across, LINKS)
+    outer = asks.unionByName(holds).join(tokens, "set_id").groupBy("of", "lot").applyInArrow(across, LINKS)
     return inner.unionByName(staged(outer, "outer"))
 
 

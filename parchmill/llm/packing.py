@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -17,15 +19,31 @@ from parchmill.llm.common import staged
 # of so many characters; longer ones are encoded where they stand.
 MEMO_CHUNKS = 300_000
 MEMO_CHARS = 48
-TEXTS_AT_ONCE = 64
 PIECES_PER_GROUP = 8192
 
 
+# A word of Latin letters, each one code point in every normal form, and marks that part from it.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?&%$#*|()]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter a byte-level vocabulary writes for each byte: itself if it shows, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
-    The vocabulary drops white space before it looks at words, so a text's ids
-    are those of its chunks between spaces and line ends, one after another.
+    The vocabulary drops white space and lower-cases before it looks at words,
+    and parts letters from marks. So a text's ids are those of its chunks
+    between spaces and line ends, one after another, and a chunk of a Latin word
+    and marks has the ids of the lower-cased word and of the marks. Words go to
+    the tokenizer's model, everything else to the tokenizer as it is.
     """
 
     def __init__(self, vocabulary: str):
@@ -33,18 +51,42 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {"": b""}
 
+    def _whole(self, chunk: str) -> bytes:
+        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        parts = _WORD.fullmatch(chunk)
+        if parts is None:
+            return self._whole(chunk)
+        word = parts[1].lower()
+        found = self.words.get(word)
+        if found is None:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = [t.id for t in self.model.tokenize(letters)]
+            found = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        if not parts[2]:
+            return found
+        marks = self.words.get(parts[2])
+        if marks is None:
+            marks = self.words[parts[2]] = self._whole(parts[2])
+        return found + marks
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            cut = [t.replace("\n", " ").split(" ") for t in texts[at : at + TEXTS_AT_ONCE]]
+        for text in texts:
+            chunks = text.replace("\n", " ").split(" ")
             if len(self.memo) > MEMO_CHUNKS:
                 self.memo = {"": b""}
-            new = list(set().union(*cut).difference(self.memo))
-            for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[chunk] = np.asarray(found.ids, dtype="<u4").tobytes()
-            for chunks in cut:
-                yield b"".join(map(self.memo.__getitem__, chunks))
+            if len(self.words) > MEMO_CHUNKS:
+                self.words = {}
+            new = set(chunks).difference(self.memo)
+            for chunk in new:
+                self.memo[chunk] = self._chunk(chunk)
+            yield b"".join(map(self.memo.__getitem__, chunks))
             for chunk in new:
                 if len(chunk) > MEMO_CHARS:
                     del self.memo[chunk]

@@ -11,7 +11,7 @@ _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _U32 = np.uint64(32)
 
 # Hashes of words are remembered, up to so many.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 # A class of set sizes ends at so many times its beginning.
 CLASS_RATIO = 1.5
@@ -61,15 +61,20 @@ class Signatures:
     (|a| + |b|) (100 - percent) / (100 + percent) elements. A size class of the
     smaller set has more parts than that; each element falls into one part by
     its hash and can spoil only that part, so a part is the same in both. A
-    signature is the hash of one part that is not empty. A set with so many
-    empty parts that all equal ones might be empty signs its empty parts too.
+    signature is the hash of all elements of one part.
+
+    A set signs its parts that hold an element not in ``frequent`` (sorted), so
+    that sets which share only what many sets have seldom meet. If so few parts
+    do that all equal ones could be without, it signs every part. Which elements
+    are frequent decides how many signatures are shared, never whether one is.
 
     A set signs for the class of its size and, as the smaller set may be one
     class below, for that of ``percent`` of its size.
     """
 
-    def __init__(self, percent: int, ratio: float = CLASS_RATIO):
+    def __init__(self, percent: int, frequent: np.ndarray | None = None, ratio: float = CLASS_RATIO):
         self.percent, self.ratio = percent, ratio
+        self.frequent = np.zeros(0, dtype=np.uint64) if frequent is None else frequent
         self.starts = [1]
         self.parts: list[tuple[int, int]] = []  # of a class: parts, and most that may differ
 
@@ -84,10 +89,16 @@ class Signatures:
             self.starts.append(end)
         return int(np.searchsorted(self.starts, size, "right")) - 1
 
+    def _rare(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.frequent):
+            return np.ones(len(tokens), dtype=bool)
+        at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
+        return self.frequent[at] != tokens
+
     def of(self, tokens: np.ndarray) -> np.ndarray:
         if len(tokens) == 0:
             return np.zeros(0, dtype=np.uint64)
-        weights = mixed(tokens + _STEP)
+        weights, rare = mixed(tokens + _STEP), self._rare(tokens)
         smaller = -(-len(tokens) * self.percent // 100)
         out = []
         for size_class in {self._class_of(len(tokens)), self._class_of(smaller)}:
@@ -95,8 +106,11 @@ class Signatures:
             part = ((tokens >> _U32) * np.uint64(parts)) >> _U32  # ascending, as the tokens are
             first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             salt = np.uint64(size_class << 40)
-            out.append(mixed(np.add.reduceat(weights, first) ^ mixed(part[first] + salt)))
-            if len(first) <= differ:
+            signed = mixed(np.add.reduceat(weights, first) ^ mixed(part[first] + salt))
+            telling = np.logical_or.reduceat(rare, first)
+            if telling.sum() > differ:
+                out.append(signed[telling])
+            else:
                 empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-                out.append(mixed(mixed(empty + salt) + np.uint64(1)))
+                out += [signed, mixed(mixed(empty + salt) + np.uint64(1))]
         return np.concatenate(out)
