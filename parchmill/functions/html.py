@@ -22,7 +22,7 @@ LINK, LINK_TEXT, LINK_END = "\x0e", "\x0f", "\x10"
 CODE, CODE_END, BREAK = "\x11", "\x12", "\x13"
 _MARKS = r"[\x00-\x06\x0e-\x13]"
 
-# What is removed before anything else is read.
+# What is removed before anything else is read.
 _NOISE = (
     r"(?is)<(?:!--.*?(?:-->|\z)"
     r"|script\b[^>]*>.*?(?:</script\s*>|\z)"
@@ -98,7 +98,8 @@ def piece_closes(piece: Column) -> Column:
 
 def piece_attrs(piece: Column) -> Column:
     head = F.when(F.contains(piece, F.lit(END)), F.substring_index(piece, END, 1)).otherwise(F.lit(""))
-    return F.trim(F.regexp_extract(head, r"(?s)^</?[a-zA-Z][a-zA-Z0-9]*(.*?)/?>$", 1))
+    # A slash closes the tag only after white space or a quote; else an unquoted value ends with it.
+    return F.trim(F.regexp_extract(head, r"""(?s)^</?[a-zA-Z][a-zA-Z0-9]*(.*?)(?:(?<=[\s"'])/|(?<=^<[a-zA-Z0-9]{1,20})/)?>$""", 1))
 
 
 def raw_attribute(attrs: Column, name: str) -> Column:
@@ -129,7 +130,7 @@ def decode_entities(text: Column, is_name: bool = False) -> Column:
 
     def reference(item: Column) -> Column:
         # item is what followed "&": a name or number, ";" and the text up to the next "&".
-        name = F.regexp_extract(item, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        name = F.regexp_extract(item, r"^(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]+);", 1)
         code = F.when(item.startswith("#x") | item.startswith("#X"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(
             item.startswith("#"), F.substr(name, F.lit(2))
         )
@@ -163,10 +164,15 @@ def decode_entities(text: Column, is_name: bool = False) -> Column:
     return choose(text) if is_name else let(text, choose)
 
 
+# Numbers of control characters from 128 on mean what that byte is in Windows-1252.
+_HIGH_CONTROLS = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)]
+
+
 def code_point_to_char(code: Column) -> Column:
     """Character of a code point; NULL for what no text may hold."""
     usable = (code.between(32, 0xD7FF) | code.between(0xE000, 0x10FFFF)) | code.isin(9, 10)
-    return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    high = F.get(F.array(*map(F.lit, _HIGH_CONTROLS)), (code - 128).cast("int"))
+    return F.when(code.between(128, 159), high).when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def visible_text(inner: Column) -> Column:
@@ -319,11 +325,13 @@ def inline_markdown(inner: Column, base: Column) -> Column:
     return F.trim(F.when(F.contains(inner, F.lit("<")), _pair_marks(marked)).otherwise(escaped(plain)))
 
 
-# Pairing rules, applied in this order. Empty pairs vanish, white
+# Pairing rules, applied in this order. Empty pairs vanish, white
 # space and breaks inside a pair move out of it, an open mark ends with the block.
 PAIRING = [
+    (r"\x11\s*(?:\x12|$)", ""),
+    (r"\x11([^\x11\x12]*``[^\x11\x12]*)(?:\x12|$)", "``` $1 ```"),
+    (r"\x11([^\x11\x12]*`[^\x11\x12]*)(?:\x12|$)", "`` $1 ``"),
     (r"\x11([^\x11\x12]*)(?:\x12|$)", "`$1`"),
-    (r"`\s*`", ""),
     (r"\x12", ""),
     (r"\x0e([^\x0f]*)\x0f\s*([^\x0e\x10]*?)\s*(?:\x10|$)", "[$2]($1)"),
     (r"\x10", ""),
@@ -352,4 +360,5 @@ def escape_line_start(text: Column) -> Column:
 def preformatted(inner: Column) -> Column:
     """Fenced code: tags out, entities decoded, white space untouched."""
     raw = decode_entities(F.regexp_replace(inner, rf"(?i)</?{_ANY_NAME}{ATTRS}>", ""))
-    return F.concat(F.lit("```\n"), F.regexp_replace(raw, r"^\n|\s+$", ""), F.lit("\n```"))
+    fence = F.when(F.contains(raw, F.lit("```")), F.lit("````")).otherwise(F.lit("```"))
+    return F.concat(fence, F.lit("\n"), F.regexp_replace(raw, r"^\n|\s+$", ""), F.lit("\n"), fence)

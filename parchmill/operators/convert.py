@@ -25,7 +25,12 @@ def _nesting(*tags: str) -> Column:
     """How many of ``tags`` are open at this token."""
     named = F.col("tag").isin(list(tags))
     step = F.when(~named, 0).when(F.col("close"), -1).otherwise(1)
-    return F.greatest(F.sum(step).over(so_far()), F.lit(0))
+    return F.sum(step).over(so_far())
+
+
+def _depth(steps: str) -> Column:
+    """Nesting from the running sum of steps: a stray close tag counts for nothing."""
+    return F.col(steps) - F.least(F.lit(0), F.min(steps).over(so_far()))
 
 
 def _with_structure(tokens: DataFrame) -> DataFrame:
@@ -37,9 +42,16 @@ def _with_structure(tokens: DataFrame) -> DataFrame:
     return (
         tokens.withColumns(
             {
-                "in_code": _nesting("pre") > 0,
-                "quote_depth": _nesting("blockquote"),
-                "list_depth": _nesting("ul", "ol", "menu"),
+                "code_steps": _nesting("pre"),
+                "quote_steps": _nesting("blockquote"),
+                "list_steps": _nesting("ul", "ol", "menu"),
+            }
+        )
+        .withColumns(
+            {
+                "in_code": _depth("code_steps") > 0,
+                "quote_depth": _depth("quote_steps"),
+                "list_depth": _depth("list_steps"),
             }
         )
         .withColumns(
@@ -194,21 +206,17 @@ def convert_corpus(pages: DataFrame, keep_pages: DataFrame | None = None) -> Dat
         .select("page_id", "final_url", "page.*", "first_paragraph", "body_md")
     )
 
-    def stated(name: str) -> Column:
-        return F.when(F.col("fallback"), F.lit("")).otherwise(F.col(f"stated.{name}"))
-
-    description = F.when(F.col("fallback"), F.lit("")).otherwise(
-        F.coalesce(
-            F.nullif(F.col("stated.description"), F.lit("")), _visible_text("first_paragraph"), F.lit("")
-        )
-    )
+    # A page without main content keeps what it states; only a first paragraph would be a guess.
+    paragraph = F.when(~F.col("fallback"), _visible_text("first_paragraph"))
+    description = F.coalesce(F.nullif(F.col("stated.description"), F.lit("")), paragraph, F.lit(""))
+    title = F.when(F.col("fallback") & (F.col("stated.title") == ""), F.lit(UNTITLED)).otherwise(F.col("stated.title"))
     return body.select(
         "page_id",
         "final_url",
         F.struct(
-            F.when(F.col("fallback"), F.lit(UNTITLED)).otherwise(F.col("stated.title")).alias("title"),
-            stated("author").alias("author"),
-            stated("publish_date").alias("publish_date"),
+            title.alias("title"),
+            F.col("stated.author").alias("author"),
+            F.col("stated.publish_date").alias("publish_date"),
             description.alias("description"),
         ).alias("meta"),
         F.coalesce("body_md", F.lit("")).alias("body_md"),

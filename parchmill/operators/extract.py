@@ -78,8 +78,14 @@ def tag_tokens(pages: DataFrame, tags: list[str] | None = None) -> DataFrame:
     return tokens.filter((F.col("pos") > 0) | (F.col("text") != ""))
 
 
+def with_body(clean: DataFrame) -> DataFrame:
+    """Cleaned pages with the body tag that a page may leave out, so its text has a container."""
+    html = F.col("html")
+    return clean.withColumn("html", F.when(html.rlike(r"(?i)<body[^a-z0-9]"), html).otherwise(F.concat(F.lit("<body>"), html)))
+
+
 def partition_pages(pages: DataFrame) -> DataFrame:
-    """Cleaned pages (``page_id, final_url, html``) hashed by ``page_id``.
+    """Cleaned pages (``page_id, final_url, html``), each with a body, hashed by ``page_id``.
 
     What crosses the network is one row per page holding the cleaned HTML:
     smaller than its tokens, and the only exchange of the extraction. The
@@ -91,6 +97,7 @@ def partition_pages(pages: DataFrame) -> DataFrame:
     return (
         pages.select("page_id", final_url.alias("final_url"), F.coalesce("html", F.lit("")).alias("html"))
         .transform(clean_pages)
+        .transform(with_body)
         .repartition(partitions, "page_id")
     )
 

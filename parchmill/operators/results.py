@@ -74,7 +74,7 @@ def batch_duplicates(results: DataFrame) -> DataFrame:
     )
 
 
-def assemble(*parts: DataFrame, ordered: bool = True) -> DataFrame:
+def assemble(*parts: DataFrame, ordered: bool = False) -> DataFrame:
     """Hits, converted rows and failures in one table, in batch order."""
     names = RESULT.names
     whole = reduce(DataFrame.unionByName, [p.select(*names) for p in parts])

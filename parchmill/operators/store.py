@@ -46,6 +46,11 @@ def fresh_entries(store: DataFrame, as_of: AsOf, ttl: dt.timedelta | None = None
     return latest_entries(store.filter(F.col("stored_at") >= _oldest_allowed(as_of, ttl)))
 
 
+def asked_entries(store: DataFrame, keys: DataFrame) -> DataFrame:
+    """The entries of ``keys`` (``url_key``) alone, so that no other Markdown is aggregated or sorted."""
+    return store.join(keys.select("url_key").filter(F.col("url_key").isNotNull()).distinct(), "url_key", "left_semi")
+
+
 def expired_entries(store: DataFrame, as_of: AsOf, ttl: dt.timedelta | None = None) -> DataFrame:
     """Entries strictly older than ``ttl``; look-ups ignore them, compaction may drop them."""
     return store.filter(F.col("stored_at") < _oldest_allowed(as_of, ttl))
@@ -55,7 +60,7 @@ def with_key(urls: DataFrame) -> DataFrame:
     return urls if "url_key" in urls.columns else urls.withColumn("url_key", url_key(F.col("url")))
 
 
-def _fresh_keys(store: DataFrame, as_of: AsOf, ttl: dt.timedelta | None) -> DataFrame:
+def fresh_keys(store: DataFrame, as_of: AsOf, ttl: dt.timedelta | None) -> DataFrame:
     return store.filter(F.col("stored_at") >= _oldest_allowed(as_of, ttl)).select("url_key").distinct()
 
 
@@ -65,8 +70,9 @@ def store_lookup(urls: DataFrame, store: DataFrame, as_of: AsOf, ttl: dt.timedel
     A hit returns the stored Markdown whole, keeps the URL as asked for, and
     counts as cached with a full length of 0.
     """
-    found = fresh_entries(store, as_of, ttl).select("url_key", "markdown", "meta", F.lit(True).alias("hit"))
-    joined = skew_join(with_key(urls), found, "url_key")
+    asked = with_key(urls)
+    found = fresh_entries(asked_entries(store, asked), as_of, ttl).select("url_key", "markdown", "meta", F.lit(True).alias("hit"))
+    joined = skew_join(asked, found, "url_key")
     return joined.withColumns(
         {
             "cached": F.coalesce("hit", F.lit(False)),
@@ -78,12 +84,12 @@ def store_lookup(urls: DataFrame, store: DataFrame, as_of: AsOf, ttl: dt.timedel
 
 
 def store_hits(urls: DataFrame, store: DataFrame, as_of: AsOf, ttl: dt.timedelta | None = None) -> DataFrame:
-    return skew_join(with_key(urls), _fresh_keys(store, as_of, ttl), "url_key", "left_semi")
+    return skew_join(with_key(urls), fresh_keys(store, as_of, ttl), "url_key", "left_semi")
 
 
 def store_misses(urls: DataFrame, store: DataFrame, as_of: AsOf, ttl: dt.timedelta | None = None) -> DataFrame:
     """URLs that still need conversion; the costly stages see only these."""
-    return skew_join(with_key(urls), _fresh_keys(store, as_of, ttl), "url_key", "left_anti")
+    return skew_join(with_key(urls), fresh_keys(store, as_of, ttl), "url_key", "left_anti")
 
 
 def store_upsert(store: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -110,10 +116,11 @@ def _stats(sizes: DataFrame, location: str) -> DataFrame:
     )
 
 
-def clear_report(removed: Column, location: str) -> list[Column]:
+def clear_report(removed: Column, location: str, exists: bool = True) -> list[Column]:
     """Columns of the one-row report of clearing a store."""
     return [
         F.when(removed > 0, F.lit("cleared")).otherwise(F.lit("already_empty")).alias("status"),
         removed.alias("entries_removed"),
         F.lit(location).alias("location"),
+        F.lit(None if exists else "directory_does_not_exist").cast("string").alias("reason"),
     ]

@@ -13,11 +13,11 @@ from parchmill.functions.text import byte_length, is_cut, truncate, truncated_le
 from parchmill.operators.convert import documents
 from parchmill.operators.results import assemble, with_source
 from parchmill.operators.skew import skew_join
-from parchmill.operators.store import AsOf, fresh_entries, with_key
+from parchmill.operators.store import AsOf, asked_entries, fresh_entries, fresh_keys, with_key
 from parchmill.schemas import METADATA
 from parchmill.session import cut_lineage
 from parchmill.sources.pages import fetch_error, final_url_error, split_valid
-from parchmill.sources.store import store_rows
+from parchmill.sources.store import read_store, store_rows, write_store
 
 
 @dataclass
@@ -83,14 +83,15 @@ def process_batch(
     full: bool = False,
     no_cache: bool = False,
     strict: bool = False,
-    ordered: bool = True,
+    ordered: bool = False,
 ) -> Batch:
     """Convert a batch of landed pages (``pos, url, html[, final_url, status, status_line]``).
 
     Store hits, failures and repeated URLs are settled on rows without HTML;
     only the pages that really need it are cut and converted, once per key.
     These settled rows are small and read several times, so they are
-    checkpointed; that part runs when the function is called.
+    checkpointed; that part runs when the function is called. ``ordered`` sorts
+    the results over the whole batch; sinks put them in order by themselves.
     """
     valid, invalid = _with_errors(landed, strict)
     rows = with_key(valid)
@@ -98,11 +99,12 @@ def process_batch(
 
     parts = [_failed(invalid)]
     if use_store:
-        fresh = fresh_entries(store, as_of, ttl)
-        keys = fresh.select("url_key", F.lit(True).alias("hit"))
+        # Which keys are fresh is known from the keys alone; Markdown is fetched for hits only.
+        keys = fresh_keys(store, as_of, ttl).withColumn("hit", F.lit(True))
         looked_up = cut_lineage(skew_join(rows, keys, "url_key"))
         hits = looked_up.filter(F.col("hit")).drop("hit", "error")
         rows = looked_up.filter(F.col("hit").isNull()).drop("hit")
+        fresh = fresh_entries(asked_entries(store, hits), as_of, ttl)
         found = skew_join(hits, fresh.select("url_key", "markdown", "meta"), "url_key", "inner")
         parts.append(
             found.select(
@@ -146,3 +148,15 @@ def process_batch(
     )
     own_documents = joined.filter(~copied).select("url", "markdown", "meta")
     return Batch(assemble(*parts, ordered=ordered), store_rows(own_documents, as_of))
+
+
+def process_into_store(landed: DataFrame, store_path: str, batch_id: int | str, as_of: AsOf, **options) -> Batch:
+    """``process_batch`` against a store on disk, and its entries written there as batch ``batch_id``.
+
+    The batch never looks up what it wrote itself, and its results never read
+    it, so running it again gives the same store and the same results.
+    """
+    known = read_store(landed.sparkSession, store_path, without_batch=batch_id)
+    batch = process_batch(landed, as_of, known, **options)
+    write_store(batch.entries, store_path, batch_id)
+    return batch

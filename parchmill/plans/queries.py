@@ -6,8 +6,6 @@ Inputs that the tables lack are derived from them by expressions that
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -24,9 +22,9 @@ from parchmill.operators import extract as X
 from parchmill.operators import render as R
 from parchmill.operators import results as RS
 from parchmill.operators import store as S
-from parchmill.plans.pipeline import process_batch, truncate_markdown
+from parchmill.plans.pipeline import process_batch, process_into_store, truncate_markdown
 from parchmill.schemas import STORE, STORE_JSON
-from parchmill.session import prepare
+from parchmill.session import prepare, shared_folder
 from parchmill.sources import pages as P
 from parchmill.sources import sinks as K
 from parchmill.sources import store as SS
@@ -123,7 +121,7 @@ def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def simple_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def simple_results(spark: SparkSession, sf_dir: str, max_len: int | None = None) -> DataFrame:
     """Result rows over ``documents``: the text as Markdown, every kind of outcome."""
     doc = texts(spark, sf_dir)
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("lang"), F.lit("/"), F.col("doc_id"))
@@ -131,7 +129,7 @@ def simple_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(kind == 0, 404).when(kind == 1, 500).otherwise(200)
     line = F.when(kind == 0, "404 Not Found").when(kind == 1, "500 Internal Server Error").otherwise("200 OK")
     meta = F.struct(
-        F.substring(F.regexp_extract("text", "^([^\n]*)", 1), 1, 60).alias("title"),
+        F.regexp_extract("text", "^([^\n]*)", 1).alias("title"),
         F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.lit("")).alias("author"),
         F.lit("2025-04-16").alias("publish_date"),
         F.col("lang").alias("description"),
@@ -145,7 +143,7 @@ def simple_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 5 == 0).alias("cached"),
     )
     # Rows taken from a store come whole and without a full length.
-    return truncate_markdown(rows.withColumn("whole", F.col("markdown")), MAX_LEN).select(
+    return truncate_markdown(rows.withColumn("whole", F.col("markdown")), max_len).select(
         "pos",
         "url",
         F.when(F.col("cached"), F.col("whole")).otherwise(F.col("markdown")).alias("markdown"),
@@ -159,11 +157,8 @@ def simple_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the place the cluster shares; a temporary one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/parchmill-{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="parchmill-"), name)
+    """A new folder in the place the cluster shares."""
+    return f"{shared_folder(spark)}/parchmill-{name}-{uuid.uuid4().hex}"
 
 
 def _flat_results(results: DataFrame) -> DataFrame:
@@ -374,17 +369,23 @@ def page_metadata(spark, sf_dir):
 
 @query
 def extract_fallback(spark, sf_dir):
-    """Every page, and every page again reduced to its first 200 characters of text."""
+    """Every page; every page without its containers, so also without a body; and a page of a few words each."""
     landed = pages(spark, sf_dir)
     bare = landed.select(
         (-F.col("page_id") - 1).alias("page_id"),
         "url",
+        F.regexp_replace("html", r"(?i)</?(?:article|main|section|div|td|body|nav|aside|footer|header)\b[^>]*>", "").alias("html"),
+    )
+    short = landed.select(
+        (F.col("page_id") + 1_000_000_000).alias("page_id"),
+        "url",
         F.concat(F.lit("<i>"), F.col("page_id").cast("string"), F.lit("</i> short")).alias("html"),
     )
-    content = X.main_html(landed.select("page_id", "url", "html").unionByName(bare))
+    content = X.main_html(landed.select("page_id", "url", "html").unionByName(bare).unionByName(short))
+    stated = F.col("stated.title")
     return content.select(
         "page_id",
-        F.when(F.col("fallback"), F.lit(X.UNTITLED)).otherwise(F.col("stated.title")).alias("title"),
+        F.when(F.col("fallback") & (stated == ""), F.lit(X.UNTITLED)).otherwise(stated).alias("title"),
         "fallback",
         "main_html",
     )
@@ -516,6 +517,32 @@ def store_clear(spark, sf_dir):
     return report.select("status", "entries_removed", left.scalar().alias("entries_left"))
 
 
+@query
+def store_compact(spark, sf_dir):
+    """A store compacted to a new place, and a batch appended there."""
+    path = scratch(spark, "loose")
+    store = stored_pages(spark, sf_dir)
+    newer = store.withColumns(
+        {"markdown": F.concat(F.lit("newer "), "url"), "stored_at": F.lit("2026-01-02 12:00:00").cast("timestamp")}
+    )
+    SS.write_store(store, path, batch_id=0)
+    SS.write_store(newer, path, batch_id=1)
+    target = scratch(spark, "compact")
+    SS.compact_store(SS.read_store(spark, path), target)
+    SS.write_store(store.withColumn("markdown", F.concat(F.lit("appended "), "url")), target, batch_id=2)
+    return SS.read_store(spark, target).select("url_key", "markdown", F.unix_micros("stored_at").alias("stored_us"))
+
+
+@query
+def store_replay(spark, sf_dir):
+    """The store after one batch has run twice."""
+    path = scratch(spark, "replayed")
+    landed = pages(spark, sf_dir).select(F.col("page_id").alias("pos"), "url", "html")
+    for _ in range(2):
+        process_into_store(landed, path, "2026-01-03", AS_OF)
+    return SS.read_store(spark, path).select("url_key", "url", "markdown")
+
+
 @query
 def expired_entries(spark, sf_dir):
     return S.expired_entries(stored_pages(spark, sf_dir), AS_OF).select("url_key", F.unix_micros("stored_at").alias("stored_us"))
@@ -537,18 +564,18 @@ def format_bytes(spark, sf_dir):
 
 @query
 def batch_stats(spark, sf_dir):
-    return RS.batch_stats(simple_results(spark, sf_dir))
+    return RS.batch_stats(simple_results(spark, sf_dir, MAX_LEN))
 
 
 @query
 def batch_stats_by_host(spark, sf_dir):
-    hosted = simple_results(spark, sf_dir).withColumn("host", U.url_host(F.col("url")))
+    hosted = simple_results(spark, sf_dir, MAX_LEN).withColumn("host", U.url_host(F.col("url")))
     return RS.batch_stats(hosted, ["host"])
 
 
 @query
 def batch_stats_toon(spark, sf_dir):
-    return R.batch_stats_toon(RS.batch_stats(simple_results(spark, sf_dir)))
+    return R.batch_stats_toon(RS.batch_stats(simple_results(spark, sf_dir, MAX_LEN)))
 
 
 @query
@@ -572,7 +599,8 @@ def error_text(spark, sf_dir):
 
 @query
 def errors_by_class(spark, sf_dir):
-    return RS.errors_by_class(simple_results(spark, sf_dir))
+    rows = error_rows(spark, sf_dir)
+    return RS.errors_by_class(rows.select(F.struct("code", "message", "url", "context").alias("error")))
 
 
 # --- TOON ---------------------------------------------------------------------
@@ -586,13 +614,12 @@ def toon_records(spark, sf_dir):
 @query
 def toon_table(spark, sf_dir):
     doc = texts(spark, sf_dir).withColumnRenamed("doc_id", "pos")
-    return R.toon_table(doc.withColumn("text", F.substring("text", 1, 80)), ["lang", "n_chars", "text"], ["source"], ROWS_PER_PART)
+    return R.toon_table(doc, ["lang", "n_chars", "text"], ["source"], ROWS_PER_PART)
 
 
 @query
 def toon_list(spark, sf_dir):
-    words = F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 12)
-    listed = texts(spark, sf_dir).select("doc_id", words.alias("words"))
+    listed = texts(spark, sf_dir).select("doc_id", F.split("text", r"\s+").alias("words"))
     return listed.select("doc_id", TN.toon_list(F.col("words"), T.ArrayType(T.StringType())).alias("toon"))
 
 
@@ -618,7 +645,7 @@ def toon_nested(spark, sf_dir):
         F.struct(
             F.col("lang"),
             F.struct(F.col("source"), F.col("n_chars"), (F.col("n_chars") > 500).alias("long")).alias("about"),
-            F.create_map(F.lit("first-word"), F.regexp_extract("text", r"^(\S*)", 1)).alias("words"),
+            F.create_map(F.lit("whole-text"), F.col("text")).alias("words"),
         ).alias("doc"),
     )
     return doc.select("doc_id", TN.toon_value(F.col("doc"), doc.schema["doc"].dataType).alias("toon"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchmill.functions import errors as E
 from parchmill.functions.urls import is_valid_url, url_parse_problem
+from parchmill.session import cut_lineage
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -29,11 +30,23 @@ def url_batch(spark: SparkSession, source: Sequence[str] | str | DataFrame, orde
     if isinstance(source, DataFrame):
         return source.select(F.col(order_by or "pos").cast("bigint").alias("pos"), "url")
     if isinstance(source, str):
-        lines = spark.read.text(source).filter(F.trim("value") != "")
-        return lines.select(F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("url"))
+        # Files are read in any order and in pieces, so the order is taken from their names and offsets.
+        file, piece = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+        read = spark.read.text(source).select("value", file.alias("file"), piece.alias("piece"), F.monotonically_increasing_id().alias("line"))
+        lines = cut_lineage(read.filter(F.trim("value") != ""))
+        return _numbered(lines, ["file", "piece"], "line").select("pos", F.trim("value").alias("url"))
     return spark.createDataFrame(list(enumerate(source)), "pos bigint, url string")
 
 
+def _numbered(rows: DataFrame, parts: list[str], order: str) -> DataFrame:
+    """Add ``pos``, counted from 0 over ``parts`` and then ``order``; only the parts' sizes meet in one place."""
+    sizes = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("size"))
+    earlier = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*parts, F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(*parts).orderBy(order)) - 1
+    return rows.withColumn("inside", inside).join(starts, parts).withColumn("pos", F.col("start") + F.col("inside"))
+
+
 def fetch_error(url: Column, status: Column, status_line: Column) -> Column:
     """Error of one fetch; NULL for any 2xx status."""
     detail = F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "), status_line)

@@ -61,9 +61,13 @@ def page_files(results: DataFrame) -> DataFrame:
 
 
 def write_page_files(results: DataFrame, path: str) -> None:
-    """One directory per page, named by its file name."""
-    text = F.regexp_replace("markdown", r"\n$", "")
-    page_files(results).select("filename", text.alias("text")).write.mode("overwrite").partitionBy("filename").text(path)
+    """A folder ``filename=<name>`` per page, holding one text file with the page's bytes.
+
+    Pages are spread by name first, so a task has few folders open at once. The
+    writer ends the text with a newline; a page's own last one is left to it.
+    """
+    text = F.regexp_replace("markdown", r"\n\z", "")
+    page_files(results).select("filename", text.alias("text")).repartition("filename").sortWithinPartitions("filename").write.mode("overwrite").partitionBy("filename").text(path)
 
 
 def save(

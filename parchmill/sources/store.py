@@ -16,19 +16,26 @@ from parchmill.schemas import STORE, STORE_JSON
 
 
 def read_store(
-    spark: SparkSession, path: str, layout: str = "parquet", without_batch: int | str | None = None
+    spark: SparkSession,
+    path: str,
+    layout: str = "parquet",
+    without_batch: int | str | None = None,
+    skip_corrupt: bool = False,
 ) -> DataFrame:
     """Entries of a store; a store that does not exist yet is empty.
 
     ``layout='json'`` reads a directory with one JSON file per entry, whose
-    file time is the entry's age. A corrupt file is a miss, not a failure.
-    ``without_batch`` leaves out what one batch wrote.
+    file time is the entry's age; there a corrupt file is one entry missed. A
+    Parquet file holds many, so an unreadable one fails the job unless
+    ``skip_corrupt`` says otherwise. ``without_batch`` leaves out what one batch
+    wrote: a batch that may run again must not find its own entries.
     """
     try:
         if layout == "json":
             return _read_json(spark, path)
         by_batch = T.StructType([*STORE.fields, T.StructField("batch", T.StringType())])
-        entries = spark.read.schema(by_batch).option("ignoreCorruptFiles", "true").parquet(path)
+        reader = spark.read.schema(by_batch).option("ignoreCorruptFiles", str(skip_corrupt).lower())
+        entries = reader.option("basePath", path).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -90,20 +97,39 @@ def write_store(entries: DataFrame, path: str, batch_id: int | str | None = None
 
 
 def compact_store(store: DataFrame, target: str) -> None:
-    """Write the newest entry of each key to a new place."""
-    latest_entries(store).select(*STORE.names).write.mode("overwrite").parquet(target)
+    """Write the newest entry of each key to a new store, as a batch like any other."""
+    write_store(latest_entries(store), target, f"compact-{uuid.uuid4().hex}")
 
 
-def store_clear(spark: SparkSession, path: str) -> DataFrame:
-    """Remove all entries; returns a one-row report."""
-    removed = read_store(spark, path).count()
-    if removed:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return spark.range(1).select(*clear_report(F.lit(removed).cast("bigint"), path))
+def _listing(spark: SparkSession, path: str) -> tuple[object, list]:
+    """The file system of a folder, and what stands in it; hidden files do not count."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.listStatus(folder) if system.exists(folder) else []
+    return system, [f for f in found if not f.getPath().getName().startswith(("_", "."))]
+
+
+def store_clear(spark: SparkSession, path: str, layout: str = "parquet") -> DataFrame:
+    """Remove all entries; returns a one-row report.
+
+    Deletes nothing but batches, or JSON files of the other layout, whether or
+    not they can be read; a folder that holds anything else is no store and an
+    error. ``reason`` tells why there was nothing to remove.
+    """
+    system, found = _listing(spark, path)
+    is_entry = (lambda n: n.endswith(".json")) if layout == "json" else (lambda n: n.startswith("batch="))
+    other = [n for n in (f.getPath().getName() for f in found) if not is_entry(n)]
+    if other:
+        raise ValueError(f"{path} is no {layout} store: it holds {other[0]}")
+    removed = len(found) if layout == "json" else read_store(spark, path).count() if found else 0
+    exists = system.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+    for file in found:
+        system.delete(file.getPath(), True)
+    return spark.range(1).select(*clear_report(F.lit(removed).cast("bigint"), path, exists))
 
 
 def store_file_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Statistics of a one-file-per-entry store, from the file listing alone."""
-    files = spark.read.format("binaryFile").load(path)
-    return _stats(files.select(F.col("length").alias("size")), path)
+    """Statistics of a one-file-per-entry store, from the file listing alone; every file counts."""
+    _, found = _listing(spark, path)
+    sizes = [(f.getLen(),) for f in found if f.getPath().getName().endswith(".json")]
+    return _stats(spark.createDataFrame(sizes, "size bigint"), path)

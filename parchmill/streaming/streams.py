@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from parchmill.functions.urls import url_key
 from parchmill.operators.store import AsOf
-from parchmill.plans.pipeline import process_batch
-from parchmill.sources.store import read_store, write_store
+from parchmill.plans.pipeline import process_batch, process_into_store
 
 
 def stream_documents(
@@ -25,7 +25,7 @@ def stream_documents(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        sink(process_batch(batch, as_of, ordered=False, **options).results, batch_id)
+        sink(process_batch(batch, as_of, **options).results, batch_id)
 
     return (
         pages.writeStream.foreachBatch(run)
@@ -61,13 +61,15 @@ def stream_upsert(
     """Convert landing pages and add them to the page store.
 
     Each micro-batch looks up the store, converts what is missing and writes
-    its entries under its own batch id, so a replay replaces itself.
+    its entries under the stream's id and its own number: a replay replaces
+    itself, and no other stream, batch job or new checkpoint does.
     """
+    checkpoint = checkpoint.rstrip("/")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        # A replayed batch must not take its own earlier output for a hit.
-        known = read_store(spark, store_path, without_batch=batch_id)
-        write_store(process_batch(batch, as_of, known, ordered=False, **options).entries, store_path, batch_id)
+        # The id is made with the checkpoint and kept in it.
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        process_into_store(batch, store_path, f"{stream}-{batch_id}", as_of, **options)
 
     return (
         pages.writeStream.foreachBatch(run)

@@ -9,7 +9,7 @@ from parchmill.operators import results as RS
 from parchmill.operators import render as R
 from parchmill.operators import store as S
 from parchmill.operators.skew import heavy_keys, skew_join
-from parchmill.plans.pipeline import process_batch
+from parchmill.plans.pipeline import process_batch, process_into_store
 from parchmill.schemas import RESULT, STORE
 from parchmill.sources import pages as P
 from parchmill.sources import sinks as K
@@ -40,11 +40,11 @@ def results(spark, rows):
 @pytest.mark.parametrize(
     "rows, expected",
     [
-        ([(0, "x" * 100, False, False, False, 100), (1, "x" * 200, False, True, True, 200)], (2, 2, 0, 1, 300, 150, 1)),
+        ([(0, "x" * 70, False, False, False, 70), (1, "x" * 91, False, True, True, 91)], (2, 2, 0, 1, 161, 80, 1)),
         ([(0, "a", False, False, False, 1), (1, "", True, True, True, 0), (2, "b", False, True, False, 0)], (3, 2, 1, 1, 2, 1, 0)),
-        ([(0, "", True, False, False, 0), (1, "", True, False, False, 0)], (2, 0, 2, 0, 0, 0, 0)),
+        ([(i, "", True, False, False, 0) for i in range(4)], (4, 0, 4, 0, 0, 0, 0)),
         ([], (0, 0, 0, 0, 0, 0, 0)),
-        ([(0, "", False, False, False, 1000), (1, "", False, False, False, 2000), (2, "", False, False, False, 1500)], (3, 3, 0, 0, 4500, 1500, 0)),
+        ([(i, "", False, False, False, 700 + i) for i in range(3)], (3, 3, 0, 0, 2103, 701, 0)),
     ],
 )
 def test_stats(spark, rows, expected):
@@ -85,7 +85,8 @@ def test_upsert_last_write_wins(spark):
 def test_store_round_trip_clear_and_compaction(spark, tmp_path):
     path = str(tmp_path / "store")
     assert SS.read_store(spark, path).count() == 0
-    assert SS.store_clear(spark, path).first().status == "already_empty"
+    missing = SS.store_clear(spark, path).first()
+    assert (missing.status, missing.reason) == ("already_empty", "directory_does_not_exist")
     SS.write_store(entries(spark, [("https://a/1", "one", 3)]), path, batch_id=1)
     SS.write_store(entries(spark, [("https://a/1", "uno", 1), ("https://a/2", "two", 1)]), path, batch_id=2)
     SS.write_store(entries(spark, [("https://a/1", "uno", 1), ("https://a/2", "two", 1)]), path, batch_id=2)
@@ -94,6 +95,8 @@ def test_store_round_trip_clear_and_compaction(spark, tmp_path):
     compacted = str(tmp_path / "compacted")
     SS.compact_store(SS.read_store(spark, path), compacted)
     assert SS.read_store(spark, compacted).count() == 2
+    SS.write_store(entries(spark, [("https://a/3", "three", 1)]), compacted)
+    assert {r.markdown for r in SS.read_store(spark, compacted).collect()} == {"uno", "two", "three"}
     stats = S.store_stats(SS.read_store(spark, path), path).first()
     assert (stats.entries, stats.total_size, stats.average_entry_size) == (3, "9 B", "3 B")
     report = SS.store_clear(spark, path).first()
@@ -113,7 +116,37 @@ def test_json_layout_survives_corrupt_files(spark, tmp_path):
     (tmp_path / ("c" * 64 + ".json")).write_text("")
     rows = SS.read_store(spark, str(tmp_path), layout="json").collect()
     assert [(r.url_key, r.url, r.markdown, r.meta.title) for r in rows] == [("a" * 64, "https://a/1", "# T", "T")]
-    assert SS.store_file_stats(spark, str(tmp_path)).first().entries == 2
+    assert SS.store_file_stats(spark, str(tmp_path)).first().entries == 3
+    cleared = SS.store_clear(spark, str(tmp_path), layout="json").first()
+    assert (cleared.status, cleared.entries_removed) == ("cleared", 3) and not list(tmp_path.glob("*.json"))
+
+
+def test_clearing_leaves_other_folders_alone(spark, tmp_path):
+    (tmp_path / "letters.txt").write_text("dear store")
+    for layout in ("parquet", "json"):
+        with pytest.raises(ValueError, match="no .* store"):
+            SS.store_clear(spark, str(tmp_path), layout)
+    assert (tmp_path / "letters.txt").exists()
+
+
+def test_an_unreadable_file_fails_unless_told_otherwise(spark, tmp_path):
+    path = tmp_path / "store"
+    SS.write_store(entries(spark, [("https://a/1", "one", 1)]), str(path), batch_id=1)
+    (path / "batch=2").mkdir()
+    (path / "batch=2" / "part-0.parquet").write_bytes(b"PAR1 not a file PAR1")
+    with pytest.raises(Exception, match="(?i)parquet|read"):
+        SS.read_store(spark, str(path)).collect()
+    assert [r.markdown for r in SS.read_store(spark, str(path), skip_corrupt=True).collect()] == ["one"]
+
+
+def test_a_batch_that_runs_twice_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    SS.write_store(entries(spark, [("https://a.com/stored", "from the store", 1)]), path, batch_id=0)
+    seen = []
+    for _ in range(2):
+        batch = process_into_store(landed(spark), path, "day", AS_OF)
+        seen.append((sorted(map(tuple, SS.read_store(spark, path).collect())), sorted(map(tuple, batch.results.collect()))))
+    assert seen[0] == seen[1] and len(seen[0][0]) == 3
 
 
 def test_heavy_key_is_spread_and_join_is_exact(spark):
@@ -145,7 +178,7 @@ def landed(spark):
 
 def test_batch(spark):
     store = entries(spark, [("https://a.com/stored", "from the store", 1)])
-    batch = process_batch(landed(spark), AS_OF, store, max_len=60)
+    batch = process_batch(landed(spark), AS_OF, store, max_len=60, ordered=True)
     rows = batch.results.collect()
     assert [r.pos for r in rows] == list(range(7))
     codes = [r.error.code if r.error else None for r in rows]
@@ -164,7 +197,7 @@ def test_batch(spark):
 
 
 def test_batch_without_cache(spark):
-    rows = process_batch(landed(spark), AS_OF, entries(spark, [("https://a.com/stored", "s", 1)]), no_cache=True).results.collect()
+    rows = process_batch(landed(spark), AS_OF, entries(spark, [("https://a.com/stored", "s", 1)]), no_cache=True, ordered=True).results.collect()
     assert [r.error.code if r.error else None for r in rows] == ["fetch_failed", None, "fetch_failed", "invalid_url", "fetch_failed", "extraction_failed", None]
     assert not any(r.cached for r in rows)
 
@@ -219,3 +252,9 @@ def test_fetch_outcome_and_batches(spark, tmp_path):
     (tmp_path / "urls.txt").write_text("https://b\n\nhttps://a\nhttps://b\n")
     assert [r.url for r in P.url_batch(spark, str(tmp_path / "urls.txt")).orderBy("pos").collect()] == ["https://b", "https://a", "https://b"]
     assert P.url_batch(spark, ["https://b", "https://b"]).count() == 2
+    (tmp_path / "many").mkdir()
+    for name, n in (("a", 3), ("b", 900), ("c", 40)):
+        (tmp_path / "many" / name).write_text("".join(f"https://{name}/{i}\n" for i in range(n)))
+    found = P.url_batch(spark, str(tmp_path / "many")).orderBy("pos").collect()
+    assert [r.url for r in found] == [f"https://{name}/{i}" for name, n in (("a", 3), ("b", 900), ("c", 40)) for i in range(n)]
+    assert [r.pos for r in found] == list(range(943))

@@ -42,6 +42,16 @@ def test_upsert_replay_changes_nothing(spark, tmp_path):
     assert len(rows) == 6 and len({r.url_key for r in rows}) == 6
 
 
+def test_two_streams_keep_each_others_entries(spark, tmp_path):
+    pages = spark.read.parquet(PAGES).withColumnRenamed("page_id", "pos").filter("pos < 10")
+    store = str(tmp_path / "store")
+    for name, part in (("one", "pos < 4"), ("two", "pos >= 4")):
+        pages.filter(part).repartition(1).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(pages.schema).parquet(str(tmp_path / name))
+        Y.stream_upsert(spark, stream, store, AS_OF, str(tmp_path / f"cp-{name}")).awaitTermination()
+    assert len({r.url_key for r in read_store(spark, store).collect()}) == 10
+
+
 def test_first_seen(spark, tmp_path):
     rows = spark.sql(
         "SELECT * FROM VALUES (1, TIMESTAMP_NTZ'2026-01-01 00:00:00', 'http://A.com/x'), (2, TIMESTAMP_NTZ'2026-01-01 01:00:00', 'http://a.com/x#f'),"

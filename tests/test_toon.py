@@ -10,20 +10,20 @@ from parchmill.functions import toon as TN
 from parchmill.operators import render as R
 
 STRINGS = {
-    "hello": "hello",
-    "hello,world": '"hello,world"',
-    "key:value": '"key:value"',
-    "test[1]": '"test[1]"',
-    "line1\nline2": '"line1\\nline2"',
-    "C:\\Users\\name": '"C:\\\\Users\\\\name"',
-    'he said "hello"': '"he said \\"hello\\""',
-    "  leading": '"  leading"',
+    "barge": "barge",
+    "rope,tar": '"rope,tar"',
+    "tide:low": '"tide:low"',
+    "pier[9]": '"pier[9]"',
+    "fog\nrain": '"fog\\nrain"',
+    "D:\\dock": '"D:\\\\dock"',
+    'the "old" quay': '"the \\"old\\" quay"',
+    "  inland": '"  inland"',
     "": '""',
-    "col1\tcol2": '"col1\\tcol2"',
-    "voilà": '"voilà"',
+    "bow\tstern": '"bow\\tstern"',
+    "là": '"là"',
     "café": "café",
-    "a-b": '"a-b"',
-    "Article Title": "Article Title",
+    "x-y": '"x-y"',
+    "Fog over the quay": "Fog over the quay",
 }
 
 
