@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parchmill.llm import bitmaps as B
 from parchmill.llm.common import Forest, components, join_totals, staged
-from parchmill.llm.shingles import Signatures, WordHashes, set_id, shingle_set
+from parchmill.llm.shingles import Signatures, WordHashes, folded, odd_sketch, set_id, shingle_set
 
 # Documents of a group, and queries that meet a group in one task.
 GROUP = 512
@@ -20,11 +20,12 @@ QUERIES = 1024
 DOCS_AT_ONCE = 256
 
 # A shingle is frequent if so many sets of so many documents hold it.
-FREQUENT = 10
-SAMPLE = 20_000
+FREQUENT = 6
+SAMPLE = 10_000
 
-SIGNED = "part int, doc_id long, n_shingles long, set_id long, signatures binary, sets binary"
-SORTED = "doc_id long, n_shingles long, set_id long, centre long"
+SIGNED = "part int, doc_id long, n_shingles long, set_id long, sketch binary, signatures binary, sets binary"
+SORTED = "doc_id long, n_shingles long, set_id long, sketch binary, centre long"
+NEAR = "set_id long, unit long, query boolean"
 TOKENS = "set_id long, tokens binary"
 LINKS = "a long, b long"
 
@@ -82,11 +83,12 @@ def _sign(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
                 ids, texts = (c.slice(at, DOCS_AT_ONCE) for c in batch.columns)
-                sizes, sets, seen = [], [], {}
+                sizes, sets, sketches, seen = [], [], [], {}
                 for text in texts.to_pylist():
                     tokens = shingle_set(text, words, memo)
                     sizes.append(len(tokens))
                     sets.append(set_id(tokens))
+                    sketches.append(odd_sketch(tokens).tobytes())
                     if len(tokens) and sets[-1] not in seen:
                         seen[sets[-1]] = signatures.of(tokens)
                 n = len(sizes)
@@ -94,7 +96,7 @@ def _sign(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
                 dealt += n
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(where), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()),
-                     _empty(n, pa.binary()), _empty(n, pa.binary())],
+                     pa.array(sketches, pa.binary()), _empty(n, pa.binary()), _empty(n, pa.binary())],
                     names=names,
                 )
                 if not seen:
@@ -109,7 +111,7 @@ def _sign(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
                 cut = list(zip(first.tolist(), ends.tolist(), strict=True))
                 k = len(cut)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where[first]), _empty(k, pa.int64()), _empty(k, pa.int64()), _empty(k, pa.int64()),
+                    [pa.array(where[first]), *[_empty(k, pa.int64())] * 3, _empty(k, pa.binary()),
                      pa.array([marks[a:b].tobytes() for a, b in cut], pa.binary()),
                      pa.array([owners[a:b].tobytes() for a, b in cut], pa.binary())],
                     names=names,
@@ -133,6 +135,7 @@ def _meet(part: pa.Table) -> pa.Table:
         "doc_id": pa.concat_arrays([docs.column("doc_id").combine_chunks(), _empty(len(pairs), pa.int64())]),
         "n_shingles": pa.concat_arrays([docs.column("n_shingles").combine_chunks(), _empty(len(pairs), pa.int64())]),
         "set_id": pa.concat_arrays([docs.column("set_id").combine_chunks(), pa.array(pairs[:, 0], pa.int64())]),
+        "sketch": pa.concat_arrays([docs.column("sketch").combine_chunks(), _empty(len(pairs), pa.binary())]),
         "centre": pa.concat_arrays([_empty(len(docs), pa.int64()), pa.array(pairs[:, 1], pa.int64())]),
     })
 
@@ -189,98 +192,119 @@ def _table(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def set_links(docs: DataFrame, chosen: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between sets that connect all sets which similar pairs connect.
+def _near(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and members of a group whose sketches leave it open that they are similar, each once.
 
-    ``shared``: set_id and centre of sets that share a signature; ``chosen``: a
-    document (id) for each set. Sets are partitioned into groups of similar ones
-    by their smallest centre, and large groups into pieces of about ``GROUP``.
+    Sets of ``n`` and ``m`` elements are not similar if their sizes are too far
+    apart, or if their sketches differ in more bits than similar sets may differ
+    in elements.
+    """
+    sizes, ids = group.column("n").to_numpy(), group.column("set_id").to_numpy()
+    asks, holds = (group.column(c).to_numpy(zero_copy_only=False) for c in ("query", "member"))
+    rows = group.column("sketch").to_pylist()
+    words = np.asarray([len(r) // 8 for r in rows])
+    stacked = {w: np.frombuffer(b"".join(rows[i] for i in np.flatnonzero(words == w)), dtype=np.uint64).reshape(-1, w) for w in np.unique(words)}
+    place = {w: np.flatnonzero(words == w) for w in stacked}
+    near_query, near_member = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
+    for w in stacked:
+        for v in (w // 2, w, 2 * w):
+            if v not in stacked:
+                continue
+            left, right = stacked[w][asks[place[w]]], stacked[v][holds[place[v]]]
+            left, right = (folded(left) if v < w else left), (folded(right) if v > w else right)
+            one, two = place[w][asks[place[w]]], place[v][holds[place[v]]]
+            step = max(1, (1 << 21) // max(1, right.size))
+            for at in range(0, len(one), step):
+                some = one[at : at + step]
+                bits = np.bitwise_count(left[at : at + step, None] ^ right[None]).sum(axis=2, dtype=np.int64)
+                n, m = sizes[some][:, None], sizes[two][None]
+                ok = (bits * (100 + percent) <= (n + m) * (100 - percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                ok &= ids[some][:, None] != ids[two][None]
+                near_query[some] |= ok.any(axis=1)
+                near_member[two] |= ok.any(axis=0)
+    return near_query, near_member
+
+
+def set_links(docs: DataFrame, sets: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between sets that connect all sets which similar pairs connect.
 
-    Each piece, with the centre of its group, is joined within itself. What that
-    connects is done with: after that only sets of different components that
-    share a centre are compared, as queries against groups of the others. Sets
-    of small components are grouped by home, so that a query meets about as many
-    groups as there are sets to compare it with, divided by ``GROUP``.
+    ``shared``: set_id and centre of sets that share a signature; ``sets``: id (a
+    document), n and sketch for each set. Sets are partitioned into groups of
+    similar ones by their smallest centre, and large groups into units of about
+    ``GROUP``. A set is a query to every unit with a set that shares a centre
+    with it. What sketches rule out goes first, so that tokens are fetched for
+    few sets. Then each unit is joined within itself, and what that connects is
+    done with: other units are asked only if they hold another component.
     """
-    tokens = staged(_tokens(docs, chosen, words), "tokens")
     both = shared.unionByName(shared.select(F.col("centre").alias("set_id"), "centre")).distinct()
     both = staged(both, "centres")
-    homes = both.groupBy("set_id").agg(F.min("centre").alias("home"))
-    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("members"))
-    homes = staged(join_totals(homes, sizes, "home", "members", homes.count()), "homes")
-    pieces = F.ceil(F.col("members") / GROUP)
-    member = homes.select("set_id", "home", F.pmod(F.xxhash64("set_id"), pieces).alias("piece"))
-    # A home is the smallest set of its group or, if that has a smaller centre itself, of another one.
-    guest = homes.select("home", pieces.alias("pieces")).distinct().select(
-        F.col("home").alias("set_id"), "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece")
-    )
-    seats = member.unionByName(guest).distinct()
-
-    def within(group: pa.Table) -> pa.Table:
-        ids, sets = group.column("set_id").to_pylist(), _read(group)
-        matrix, forest = TokenGroup(sets), Forest(len(ids))
-        found = []
-        for i, one in enumerate(sets):
-            found += [(ids[i], ids[j]) for j in matrix.matches(one, percent).tolist() if j != i and forest.join(i, j)]
-        return _table(found)
-
-    inner = staged(seats.join(tokens, "set_id").groupBy("home", "piece").applyInArrow(within, LINKS), "inner")
-    joined = components(inner.select("a", "b")).withColumnRenamed("node", "set_id")
-    placed = both.join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    placed = staged(placed, "placed")
-    open_ = placed.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    left = staged(placed.join(open_.select("centre"), "centre", "left_semi"), "open")
-    if left.isEmpty():
-        return inner
-    ones = left.select("set_id", "component").distinct()
-    counts = ones.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    ones = join_totals(ones, counts, "component", "members", ones.count()).join(homes.select("set_id", "home"), "set_id")
-    # Pieces of a large component are groups of their own; small ones share the groups of their home.
-    large = F.col("members") > GROUP
-    ones = staged(ones.select("set_id", "component", large.alias("large"), F.when(large, F.col("component")).otherwise(F.col("home")).alias("owner")), "ones")
-    crowd = ones.withColumn("crowd", F.xxhash64("large", "owner"))
-    crowds = crowd.groupBy("crowd").agg(F.count(F.lit(1)).alias("members"))
-    units = staged(
-        join_totals(crowd, crowds, "crowd", "members", ones.count()).select(
-            "set_id",
-            "component",
-            F.struct("large", "owner", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("members") / GROUP)).alias("piece")).alias("unit"),
-        ),
-        "units",
-    )
-    seated = left.select("set_id", "centre").join(units, "set_id")
-    # A large unit is of one component; who belongs to that has nothing to ask there.
-    asked = seated.select("centre", F.col("unit").alias("of"), F.when(F.col("unit.large"), F.col("component")).alias("whole")).distinct()
-    queries = (
-        seated.join(asked, "centre")
-        .filter((F.col("unit") <= F.col("of")) & ~F.col("component").eqNullSafe(F.col("whole")))
-        .select("set_id", "of")
-        .distinct()
-        .withColumn("lot", F.pmod(F.xxhash64("set_id"), F.lit(QUERIES)))
-    )
-    queries = staged(queries, "queries")
-    lots = queries.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("lots"))
-    asks = queries.join(lots, "of").select("set_id", "of", F.pmod("lot", F.col("lots")).alias("lot"), F.lit(True).alias("query"))
-    holds = (
-        units.select("set_id", F.col("unit").alias("of"))
-        .join(lots, "of")
-        .select("set_id", "of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(False).alias("query"))
-    )
+    homes = staged(both.groupBy("set_id").agg(F.min("centre").alias("home")), "homes")
+    # A home has a home itself: following that twice brings small groups of similar sets together.
+    for _ in range(2):
+        homes = homes.join(homes.select(F.col("set_id").alias("home"), F.col("home").alias("further")), "home").select("set_id", F.col("further").alias("home"))
+        homes = staged(homes, "homes")
+    members = homes.groupBy("home").agg(F.count(F.lit(1)).alias("members"))
+    unit = F.xxhash64("home", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("members") / GROUP)))
+    units = staged(join_totals(homes, members, "home", "members", homes.count()).select("set_id", unit.alias("unit")), "units")
+    seated = both.join(units, "set_id")
+    asked = seated.select("centre", F.col("unit").alias("of")).distinct()
+    # Of two units one asks the other; within a unit all ask all.
+    queries = seated.join(asked, "centre").filter("unit <= of").select("set_id", F.col("of").alias("unit")).distinct()
+    queries = staged(queries.join(units.withColumnRenamed("unit", "own"), "set_id").withColumn("own", F.col("own") == F.col("unit")), "queries")
+
+    lot = F.pmod(F.xxhash64("set_id"), F.lit(QUERIES))
+
+    def together(asking: DataFrame, holding: DataFrame) -> DataFrame:
+        """Queries (set_id, unit) and members (set_id, unit) of units, in lots of about ``QUERIES`` queries."""
+        lots = asking.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("lots"))
+        ask = asking.join(lots, "unit").select("set_id", "unit", F.pmod(lot, F.col("lots")).alias("lot"), F.lit(True).alias("query"), F.lit(False).alias("member"))
+        hold = holding.join(lots, "unit").select(
+            "set_id", "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(False).alias("query"), F.lit(True).alias("member")
+        )
+        return ask.unionByName(hold)
+
+    def sift(group: pa.Table) -> pa.Table:
+        ids, asks, holds = group.column("set_id"), *_near(group, percent)
+        unit = group.column("unit")[0].as_py()
+        kept = np.concatenate([np.flatnonzero(asks), np.flatnonzero(holds)])
+        return pa.table({
+            "set_id": ids.take(pa.array(kept, pa.int64())),
+            "unit": pa.array([unit] * len(kept), pa.int64()),
+            "query": pa.array([True] * int(asks.sum()) + [False] * int(holds.sum()), pa.bool_()),
+        })
+
+    known = sets.select("set_id", F.col("n_shingles").alias("n"), "sketch").join(units.select("set_id"), "set_id", "left_semi")
+    dealt = together(queries.select("set_id", "unit"), units).join(known, "set_id")
+    near = staged(dealt.groupBy("unit", "lot").applyInArrow(sift, NEAR).distinct(), "near")
+    some = near.select("set_id").distinct()
+    chosen = staged(sets.filter("id is not null").join(some, "set_id", "left_semi").select("id", F.col("set_id").alias("set")), "chosen")
+    tokens = staged(_tokens(docs, chosen, words), "tokens")
+    holding = near.filter("not query").select("set_id", "unit")
+    asking = near.filter("query").join(queries.select("set_id", "unit", "own"), ["set_id", "unit"]).select("set_id", "unit", "own")
+    asking = staged(asking, "asking")
 
-    def across(group: pa.Table) -> pa.Table:
-        members = group.filter(pc.invert(group.column("query")))
-        asking = group.filter(group.column("query"))
+    def compare(group: pa.Table) -> pa.Table:
+        members, asks = group.filter(group.column("member")), group.filter(group.column("query"))
         matrix, ids = TokenGroup(_read(members)), members.column("set_id").to_pylist()
         places = {one: i for i, one in enumerate(ids)}
-        strangers = [q for q in asking.column("set_id").to_pylist() if q not in places]
-        places |= {q: len(ids) + i for i, q in enumerate(strangers)}
+        for one in asks.column("set_id").to_pylist():
+            places.setdefault(one, len(places))
         forest, found = Forest(len(places)), []
-        for query, one in zip(asking.column("set_id").to_pylist(), _read(asking), strict=True):
-            found += [(query, ids[i]) for i in matrix.matches(one, percent).tolist() if forest.join(places[query], i)]
+        for one, tokens in zip(asks.column("set_id").to_pylist(), _read(asks), strict=True):
+            found += [(one, ids[i]) for i in matrix.matches(tokens, percent).tolist() if forest.join(places[one], i)]
         return _table(found)
 
-    outer = asks.unionByName(holds).join(tokens, "set_id").groupBy("of", "lot").applyInArrow(across, LINKS)
-    return inner.unionByName(staged(outer, "outer"))
+    def compared(asking: DataFrame, holding: DataFrame) -> DataFrame:
+        return together(asking, holding).join(tokens, "set_id").groupBy("unit", "lot").applyInArrow(compare, LINKS)
+
+    inner = staged(compared(asking.filter("own"), holding), "inner")
+    joined = components(inner).withColumnRenamed("node", "set_id")
+    component = F.coalesce("component", "set_id").alias("component")
+    held = holding.join(joined, "set_id", "left").select("unit", component)
+    held = held.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    other = asking.filter("not own").join(joined, "set_id", "left").select("set_id", "unit", component).join(held, "unit")
+    other = staged(other.filter("component <> low or component <> high").select("set_id", "unit"), "others")
+    return inner.unionByName(staged(compared(other, holding), "outer"))
 
 
 def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -294,25 +318,27 @@ def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Dat
     Equal sets are one set from the first step on. Null texts and texts without
     words have no shingles and link with nothing; a text of fewer words is one
     shingle. Null ids count as larger than any other, and a component of them
-    only has the null id. Rows that repeat a doc_id are rows of their own. An
+    only has the null id; a set of null ids only links with its copies alone. Rows that repeat a doc_id are rows of their own. An
     empty table gives no rows.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = _sign(docs, words, percent, parts)
     met = staged(signed.groupBy("part").applyInArrow(_meet, SORTED), "signed")
-    rows = met.filter("centre is null").select("doc_id", "n_shingles", "set_id")
+    rows = met.filter("centre is null").select("doc_id", "n_shingles", "set_id", "sketch")
     shared = met.filter("centre is not null").select("set_id", "centre").distinct()
-    some = shared.select("set_id").unionByName(shared.select(F.col("centre").alias("set_id"))).distinct()
     full = rows.filter("n_shingles > 0")
-    sets = staged(full.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "sets")
-    # A set known by null ids only cannot be fetched by id; sets equal nothing but themselves then.
-    chosen = staged(sets.filter("id is not null").join(some, "set_id", "left_semi").select("id", F.col("set_id").alias("set")), "chosen")
-    links = set_links(docs, chosen, shared, words, percent)
+    # A set known by null ids only cannot be fetched by id; it links with nothing but its copies.
+    sets = full.groupBy("set_id", "n_shingles").agg(
+        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch")
+    )
+    sets = staged(sets, "sets")
+    links = set_links(docs, sets, shared, words, percent)
     groups = components(links).withColumnRenamed("node", "set_id")
     classed = sets.join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     classed = staged(classed, "classed")
     least = classed.groupBy("component").agg(F.min("id").alias("component_id"))
     known = classed.join(least, "component").select("set_id", "copies", "component_id")
+    full = full.select("doc_id", "n_shingles", "set_id")
     linked = join_totals(full, known, "set_id", "copies", full.count()).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

@@ -54,6 +54,25 @@ def set_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
+def odd_sketch(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each of as many bins as there are tokens, at least: whether it holds an odd number of them.
+
+    Where two sketches differ the sets differ in an element of that bin, so
+    there are at least as many such elements as differing bits.
+    """
+    bins = 64
+    while bins < len(tokens):
+        bins *= 2
+    odd = np.bincount((tokens & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray) -> np.ndarray:
+    """The sketch of the same set with half the bins (last axis)."""
+    half = sketch.shape[-1] // 2
+    return sketch[..., :half] ^ sketch[..., half:]
+
+
 class Signatures:
     """Signatures such that two sets whose Jaccard similarity reaches ``percent`` share at least one.
 

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parchmill.llm import exact, jaccard, language, licenses, mixing, packing, secrets
-from parchmill.llm.shingles import Signatures, WordHashes, shingle_set
+from parchmill.llm.shingles import Signatures, WordHashes, folded, odd_sketch, shingle_set
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc string, keep_id string, row int, part int"
@@ -264,6 +264,16 @@ def test_similar_sets_share_a_signature(size, drop, add, seed, percent, common):
         assert set(signatures.of(one).tolist()) & set(signatures.of(two).tolist())
 
 
+@given(st.integers(1, 300), st.integers(0, 300), st.integers(0, 300), st.integers(0, 10**9))
+def test_sketches_bound_the_difference(both, left, right, seed):
+    pool = np.unique(np.random.default_rng(seed).integers(0, 2**64, both + left + right, dtype=np.uint64))
+    one, two = pool[: both + left], np.union1d(pool[:both], pool[both + left :])
+    a, b = sorted((odd_sketch(one), odd_sketch(two)), key=len)
+    while len(b) > len(a):
+        b = folded(b)
+    assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(one, two))
+
+
 def test_shingles_of_short_and_cased_texts():
     memo = WordHashes()
     same = lambda a, b: shingle_set(a, 4, memo).tolist() == shingle_set(b, 4, memo).tolist()
