@@ -56,6 +56,20 @@ def ngram_counts(text: str) -> np.ndarray:
     return counts
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """The features that occur, and how often."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<u4").tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    counts = np.zeros((len(rows), FEATURES), dtype=np.float32)
+    for i, row in enumerate(rows):
+        n = len(row) // 6
+        counts[i, np.frombuffer(row, dtype="<u2", count=n)] = np.frombuffer(row, dtype="<u4", offset=2 * n)
+    return counts
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that is never learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -72,12 +86,15 @@ class Centroids:
     least: np.ndarray  # per language, the similarity under which a text is rejected
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        weighed = np.log1p(counts) * self.idf
-        return (weighed / np.maximum(np.linalg.norm(weighed, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-
-    def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language and cosine of the nearest centroid of each row."""
-        cosines = self.weigh(counts) @ self.vectors.T
+        """Turn counts (float32) into unit TF-IDF vectors where they stand."""
+        np.log1p(counts, out=counts)
+        counts *= self.idf
+        counts /= np.maximum(np.sqrt(np.einsum("ij,ij->i", counts, counts)), 1e-12)[:, None]
+        return counts
+
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Language and cosine of the nearest centroid of each unit vector."""
+        cosines = vectors @ self.vectors.T
         best = cosines.argmax(axis=1)
         return self.owner[best], np.clip(cosines[np.arange(len(best)), best], 0, 1)
 
@@ -116,7 +133,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, s
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(lang, t) for lang, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t and has_letter(t)]
-            counts = [ngram_counts(t).astype("<u4").tobytes() for _, t in rows]
+            counts = [packed(ngram_counts(t)) for _, t in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang for lang, _ in rows], pa.string()), pa.array(counts, pa.binary())], names=["lang", "counts"]
             )
@@ -127,7 +144,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, s
     sample.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
     languages = sorted({r["lang"] for r in sample})
     owner = np.asarray([languages.index(r["lang"]) for r in sample])
-    counts = np.stack([np.frombuffer(r["counts"], dtype="<u4") for r in sample]).astype(np.float32)
+    counts = unpacked([bytes(r["counts"]) for r in sample])
     for_limits = np.arange(len(sample)) % 5 == 4
     idf = np.log((1 + len(sample)) / (1 + (counts[~for_limits] > 0).sum(axis=0))).astype(np.float32)
     model = Centroids(languages, np.zeros(0, int), np.zeros((0, FEATURES), np.float32), idf, np.zeros(len(languages)))
@@ -135,7 +152,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, s
     made = [_cluster(vectors[(owner == i) & ~for_limits] if ((owner == i) & ~for_limits).any() else vectors[owner == i], centroids) for i in range(len(languages))]
     model.vectors = np.concatenate(made).astype(np.float32)
     model.owner = np.repeat(np.arange(len(languages)), [len(m) for m in made])
-    found, cosine = model.nearest(counts)
+    found, cosine = model.nearest(vectors)
     for i in range(len(languages)):
         own = cosine[(owner == i) & (found == i)]
         model.least[i] = slack * np.quantile(own, 0.005) if len(own) else 0.0
@@ -159,7 +176,7 @@ def identify(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = (
             known = [i for i, t in enumerate(texts) if t and model is not None and has_letter(t)]
             for at in range(0, len(known), rows_at_once):
                 part = known[at : at + rows_at_once]
-                found, cosine = model.nearest(np.stack([ngram_counts(texts[i]) for i in part]))
+                found, cosine = model.nearest(model.weigh(np.stack([ngram_counts(texts[i]) for i in part]).astype(np.float32)))
                 for i, language, score in zip(part, found.tolist(), cosine.tolist(), strict=True):
                     names[i], scores[i], out[i] = model.languages[language], score, score < model.least[language]
             answer = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())]
