@@ -14,9 +14,10 @@ from parchmill.llm import bitmaps as B
 from parchmill.llm.common import Forest, components, join_totals, staged
 from parchmill.llm.shingles import Signatures, WordHashes, folded, odd_sketch, set_id, shingle_set
 
-# Documents of a group, and queries that meet a group in one task.
+# Documents of a group, and queries that meet a group in one task: with tokens, with sketches.
 GROUP = 512
 QUERIES = 1024
+SKETCHES = 16 * QUERIES
 DOCS_AT_ONCE = 256
 
 # A shingle is frequent if so many sets of so many documents hold it.
@@ -252,11 +253,11 @@ def set_links(docs: DataFrame, sets: DataFrame, shared: DataFrame, words: int, p
     queries = seated.join(asked, "centre").filter("unit <= of").select("set_id", F.col("of").alias("unit")).distinct()
     queries = staged(queries.join(units.withColumnRenamed("unit", "own"), "set_id").withColumn("own", F.col("own") == F.col("unit")), "queries")
 
-    lot = F.pmod(F.xxhash64("set_id"), F.lit(QUERIES))
+    lot = F.abs(F.xxhash64("set_id") % 1_000_003)
 
-    def together(asking: DataFrame, holding: DataFrame) -> DataFrame:
-        """Queries (set_id, unit) and members (set_id, unit) of units, in lots of about ``QUERIES`` queries."""
-        lots = asking.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("lots"))
+    def together(asking: DataFrame, holding: DataFrame, at_once: int) -> DataFrame:
+        """Queries (set_id, unit) and members (set_id, unit) of units, in lots of about ``at_once`` queries."""
+        lots = asking.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / at_once).alias("lots"))
         ask = asking.join(lots, "unit").select("set_id", "unit", F.pmod(lot, F.col("lots")).alias("lot"), F.lit(True).alias("query"), F.lit(False).alias("member"))
         hold = holding.join(lots, "unit").select(
             "set_id", "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(False).alias("query"), F.lit(True).alias("member")
@@ -274,7 +275,7 @@ def set_links(docs: DataFrame, sets: DataFrame, shared: DataFrame, words: int, p
         })
 
     known = sets.select("set_id", F.col("n_shingles").alias("n"), "sketch").join(units.select("set_id"), "set_id", "left_semi")
-    dealt = together(queries.select("set_id", "unit"), units).join(known, "set_id")
+    dealt = together(queries.select("set_id", "unit"), units, SKETCHES).join(known, "set_id")
     near = staged(dealt.groupBy("unit", "lot").applyInArrow(sift, NEAR).distinct(), "near")
     some = near.select("set_id").distinct()
     chosen = staged(sets.filter("id is not null").join(some, "set_id", "left_semi").select("id", F.col("set_id").alias("set")), "chosen")
@@ -295,7 +296,7 @@ def set_links(docs: DataFrame, sets: DataFrame, shared: DataFrame, words: int, p
         return _table(found)
 
     def compared(asking: DataFrame, holding: DataFrame) -> DataFrame:
-        return together(asking, holding).join(tokens, "set_id").groupBy("unit", "lot").applyInArrow(compare, LINKS)
+        return together(asking, holding, QUERIES).join(tokens, "set_id").groupBy("unit", "lot").applyInArrow(compare, LINKS)
 
     inner = staged(compared(asking.filter("own"), holding), "inner")
     joined = components(inner).withColumnRenamed("node", "set_id")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchmill.llm.common import sliced
+
 # At most so many labelled rows, spread evenly over the languages, fit the centroids.
 FIT_ROWS = 2000
 FEATURES = 8192
@@ -131,7 +133,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, s
     chosen = labelled.join(F.broadcast(share.orderBy("lang").limit(fit_rows)), "lang").filter(draw < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(lang, t) for lang, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t and has_letter(t)]
             counts = [packed(ngram_counts(t)) for _, t in rows]
             yield pa.RecordBatch.from_arrays(
@@ -170,7 +172,7 @@ def identify(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = (
     """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             names, scores, out = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
             known = [i for i, t in enumerate(texts) if t and model is not None and has_letter(t)]

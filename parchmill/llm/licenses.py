@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parchmill.llm.common import sliced
 from parchmill.llm.license_texts import NOTICES, PHRASES
 
 # A match of fewer words starts no span; matches up to so many words apart in the
@@ -212,7 +213,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
         spans_type = pa.list_(
             pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("notice", pa.string()), ("covered", pa.float64())])
         )
-        for batch in batches:
+        for batch in sliced(batches):
             found = [scanner.scan(t or "") for t in batch.column(1).to_pylist()]
             base = [sorted({scanner.labels[p] for _, p in f.places}) for f in found]
             every = [sorted({*b, *(s[2] for s in f.spans)}) for b, f in zip(base, found, strict=True)]

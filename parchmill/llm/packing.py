@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmill.llm.common import staged
+from parchmill.llm.common import sliced, staged
 
 # Chunks of text between spaces are encoded once and remembered, up to so many
 # of so many characters; longer ones are encoded where they stand.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 150_000
 MEMO_CHARS = 48
 PIECES_PER_GROUP = 8192
 
@@ -101,7 +101,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, room: int = 2048, end_id: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, lot = Encoder(vocabulary), 0
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []

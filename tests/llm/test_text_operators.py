@@ -228,6 +228,7 @@ def edited(rng, words, edits):
 def test_jaccard_join_loses_no_link(spark, odd, empty, monkeypatch, words, percent):
     monkeypatch.setattr(jaccard, "GROUP", 8)
     monkeypatch.setattr(jaccard, "QUERIES", 4)
+    monkeypatch.setattr(jaccard, "SKETCHES", 12)
     monkeypatch.setattr(jaccard, "FREQUENT", 12)
     rng = np.random.default_rng(words)
     shared = [f"p{i}" for i in range(60)]
