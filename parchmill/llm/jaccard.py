@@ -14,10 +14,16 @@ from parchmill.llm import bitmaps as B
 from parchmill.llm.common import Forest, components, join_totals, staged
 from parchmill.llm.shingles import Signatures, WordHashes, folded, odd_sketch, set_id, shingle_set
 
-# Documents of a group, and queries that meet a group in one task: with tokens, with sketches.
+# Documents of a group, and queries that meet a group in one task.
 GROUP = 512
 QUERIES = 1024
-SKETCHES = 16 * QUERIES
+
+# Sets of a block under one centre, rows that a task sifts at once, neighbours that
+# a set looks at first, and words of sketches that are compared in one step.
+BLOCK = 4096
+ROWS = 1024
+NEIGHBOURS = 4
+SKETCH_WORDS = 1 << 19
 DOCS_AT_ONCE = 256
 
 # A shingle is frequent if so many sets of so many documents hold it.
@@ -26,7 +32,7 @@ SAMPLE = 10_000
 
 SIGNED = "part int, doc_id long, n_shingles long, set_id long, sketch binary, signatures binary, sets binary"
 SORTED = "doc_id long, n_shingles long, set_id long, sketch binary, centre long"
-NEAR = "set_id long, unit long, query boolean"
+SHARED = "set_id long, centre long"
 TOKENS = "set_id long, tokens binary"
 LINKS = "a long, b long"
 
@@ -193,97 +199,134 @@ def _table(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _near(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Queries and members of a group whose sketches leave it open that they are similar, each once.
+def _alike(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, words: np.ndarray, place: np.ndarray, stacked: dict, percent: int) -> np.ndarray:
+    """Which pairs of rows have sketches that leave it open that their sets are similar.
 
-    Sets of ``n`` and ``m`` elements are not similar if their sizes are too far
-    apart, or if their sketches differ in more bits than similar sets may differ
-    in elements.
+    They are not if the sketches differ in more bits than similar sets of these
+    sizes may differ in elements.
+    """
+    swap = words[one] > words[two]
+    small, large = np.where(swap, two, one), np.where(swap, one, two)
+    total = sizes[one] + sizes[two]
+    near = np.zeros(len(one), dtype=bool)
+    for w in np.unique(words[small]).tolist():
+        for v in (w, 2 * w):  # sizes that may be similar are less than a doubling apart
+            at = np.flatnonzero((words[small] == w) & (words[large] == v))
+            if len(at):
+                right = stacked[v][place[large[at]]]
+                bits = np.bitwise_count(stacked[w][place[small[at]]] ^ (folded(right) if v > w else right)).sum(axis=1, dtype=np.int64)
+                near[at] = bits * (100 + percent) <= total[at] * (100 - percent)
+    return near
+
+
+def near_rows(segments: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Rows with another row of their segment that their sketch and size leave open to be similar.
+
+    In a segment by size, a row's partners are the rows of a range. Each row
+    looks at its neighbours first, as one of many near copies finds another
+    there, and at its whole range only if none of them is near.
+    """
+    order = np.lexsort((sizes, segments))
+    segments, sizes = segments[order], sizes[order].astype(np.int64)
+    rows = [sketches[i] for i in order.tolist()]
+    words = np.asarray([len(r) // 8 for r in rows], dtype=np.int64)
+    place, stacked = np.zeros(len(rows), dtype=np.int64), {}
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        place[own] = np.arange(len(own))
+        stacked[w] = np.frombuffer(b"".join(rows[i] for i in own.tolist()), dtype=np.uint64).reshape(-1, w)
+    base = np.cumsum(np.append(0, segments[1:] != segments[:-1]))[: len(rows)] << 40
+    low = np.searchsorted(base + sizes, base - (-sizes * percent // 100), "left")
+    high = np.searchsorted(base + sizes, base + sizes * 100 // percent, "right")
+    found = np.zeros(len(rows), dtype=bool)
+    for reach in (NEIGHBOURS, len(rows)):
+        open_ = np.flatnonzero(~found)
+        if not len(open_):
+            break
+        begin, end = np.maximum(low[open_], open_ - reach), np.minimum(high[open_], open_ + reach + 1)
+        costs = np.cumsum((end - begin) * words[np.maximum(end - 1, 0)])
+        cuts = np.searchsorted(costs, np.arange(SKETCH_WORDS, costs[-1] + SKETCH_WORDS, SKETCH_WORDS), "right")
+        for a, b in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+            lengths = (end - begin)[a:b]
+            one = np.repeat(open_[a:b], lengths)
+            two = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begin[a:b], lengths)
+            apart = one != two
+            one, two = one[apart], two[apart]
+            near = _alike(one, two, sizes, words, place, stacked, percent)
+            found[one[near]] = found[two[near]] = True
+    out = np.zeros(len(rows), dtype=bool)
+    out[order] = found
+    return out
+
+
+def sifted(both: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows (set_id, centre) whose set has a near one, by its sketch, under the same centre.
+
+    Sets that share a passage and little else go here, so what follows grows
+    with the sets that have near copies and not with the square of those that
+    hold a passage. A centre's sets are dealt into blocks of about ``BLOCK`` and
+    pairs of blocks into segments; a task sifts segments of about ``ROWS`` rows.
     """
-    sizes, ids = group.column("n").to_numpy(), group.column("set_id").to_numpy()
-    asks, holds = (group.column(c).to_numpy(zero_copy_only=False) for c in ("query", "member"))
-    rows = group.column("sketch").to_pylist()
-    words = np.asarray([len(r) // 8 for r in rows])
-    stacked = {w: np.frombuffer(b"".join(rows[i] for i in np.flatnonzero(words == w)), dtype=np.uint64).reshape(-1, w) for w in np.unique(words)}
-    place = {w: np.flatnonzero(words == w) for w in stacked}
-    near_query, near_member = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
-    for w in stacked:
-        for v in (w // 2, w, 2 * w):
-            if v not in stacked:
-                continue
-            left, right = stacked[w][asks[place[w]]], stacked[v][holds[place[v]]]
-            left, right = (folded(left) if v < w else left), (folded(right) if v > w else right)
-            one, two = place[w][asks[place[w]]], place[v][holds[place[v]]]
-            step = max(1, (1 << 21) // max(1, right.size))
-            for at in range(0, len(one), step):
-                some = one[at : at + step]
-                bits = np.bitwise_count(left[at : at + step, None] ^ right[None]).sum(axis=2, dtype=np.int64)
-                n, m = sizes[some][:, None], sizes[two][None]
-                ok = (bits * (100 + percent) <= (n + m) * (100 - percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-                ok &= ids[some][:, None] != ids[two][None]
-                near_query[some] |= ok.any(axis=1)
-                near_member[two] |= ok.any(axis=0)
-    return near_query, near_member
+    members = both.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
+    n_rows = both.count()
+    sized = join_totals(both, members, "centre", "members", n_rows)
+    blocks = F.ceil(F.col("members") / BLOCK)
+    dealt = sized.select("set_id", "centre", F.pmod(F.xxhash64("set_id"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    # Should two segments get one number, a few sets too many stay.
+    segment = F.xxhash64("centre", F.least("own", "other"), F.greatest("own", "other"))
+    buckets = max(1, -(-n_rows // ROWS))
+    known = sets.select("set_id", F.col("n_shingles").alias("n"), "sketch")
+    full = dealt.select("set_id", "centre", segment.alias("segment")).join(known, "set_id")
+    full = full.withColumn("bucket", F.pmod(F.xxhash64("segment"), F.lit(buckets)))
+
+    def sift(group: pa.Table) -> pa.Table:
+        keep = near_rows(group.column("segment").to_numpy(), group.column("n").to_numpy(), group.column("sketch").to_pylist(), percent)
+        return group.select(["set_id", "centre"]).filter(pa.array(keep))
+
+    return full.groupBy("bucket").applyInArrow(sift, SHARED).distinct()
 
 
 def set_links(docs: DataFrame, sets: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between sets that connect all sets which similar pairs connect.
 
     ``shared``: set_id and centre of sets that share a signature; ``sets``: id (a
-    document), n and sketch for each set. Sets are partitioned into groups of
-    similar ones by their smallest centre, and large groups into units of about
-    ``GROUP``. A set is a query to every unit with a set that shares a centre
-    with it. What sketches rule out goes first, so that tokens are fetched for
-    few sets. Then each unit is joined within itself, and what that connects is
-    done with: other units are asked only if they hold another component.
+    document), n_shingles and sketch for each set. What sketches rule out goes
+    first (``sifted``), so that tokens are fetched for few sets. The rest is
+    partitioned into groups of similar ones by their smallest centre, and large
+    groups into units of about ``GROUP``. A set is a query to every unit with a
+    set that shares a centre with it. Each unit is joined within itself, and what
+    that connects is done with: other units are asked only if they hold another
+    component.
     """
     both = shared.unionByName(shared.select(F.col("centre").alias("set_id"), "centre")).distinct()
-    both = staged(both, "centres")
-    homes = staged(both.groupBy("set_id").agg(F.min("centre").alias("home")), "homes")
-    # A home has a home itself: following that twice brings small groups of similar sets together.
+    near = staged(sifted(staged(both, "centres"), sets, percent), "near")
+    homes = staged(near.groupBy("set_id").agg(F.min("centre").alias("home")), "homes")
+    # A home may have a home itself: following that twice brings small groups of similar sets together.
     for _ in range(2):
-        homes = homes.join(homes.select(F.col("set_id").alias("home"), F.col("home").alias("further")), "home").select("set_id", F.col("further").alias("home"))
-        homes = staged(homes, "homes")
+        further = homes.select(F.col("set_id").alias("home"), F.col("home").alias("further"))
+        homes = staged(homes.join(further, "home", "left").select("set_id", F.coalesce("further", "home").alias("home")), "homes")
     members = homes.groupBy("home").agg(F.count(F.lit(1)).alias("members"))
     unit = F.xxhash64("home", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("members") / GROUP)))
     units = staged(join_totals(homes, members, "home", "members", homes.count()).select("set_id", unit.alias("unit")), "units")
-    seated = both.join(units, "set_id")
+    seated = near.join(units, "set_id")
     asked = seated.select("centre", F.col("unit").alias("of")).distinct()
     # Of two units one asks the other; within a unit all ask all.
-    queries = seated.join(asked, "centre").filter("unit <= of").select("set_id", F.col("of").alias("unit")).distinct()
-    queries = staged(queries.join(units.withColumnRenamed("unit", "own"), "set_id").withColumn("own", F.col("own") == F.col("unit")), "queries")
+    queries = seated.join(asked, "centre").filter("unit <= of").select("set_id", F.col("of").alias("unit"), (F.col("unit") == F.col("of")).alias("own"))
+    queries = staged(queries.distinct(), "queries")
+    chosen = staged(sets.filter("id is not null").join(units.select("set_id"), "set_id", "left_semi").select("id", F.col("set_id").alias("set")), "chosen")
+    tokens = staged(_tokens(docs, chosen, words), "tokens")
 
     lot = F.abs(F.xxhash64("set_id") % 1_000_003)
 
-    def together(asking: DataFrame, holding: DataFrame, at_once: int) -> DataFrame:
-        """Queries (set_id, unit) and members (set_id, unit) of units, in lots of about ``at_once`` queries."""
-        lots = asking.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / at_once).alias("lots"))
+    def together(asking: DataFrame, holding: DataFrame) -> DataFrame:
+        """Queries (set_id, unit) and members (set_id, unit) of units, in lots of about ``QUERIES`` queries."""
+        lots = asking.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("lots"))
         ask = asking.join(lots, "unit").select("set_id", "unit", F.pmod(lot, F.col("lots")).alias("lot"), F.lit(True).alias("query"), F.lit(False).alias("member"))
         hold = holding.join(lots, "unit").select(
             "set_id", "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(False).alias("query"), F.lit(True).alias("member")
         )
         return ask.unionByName(hold)
 
-    def sift(group: pa.Table) -> pa.Table:
-        ids, asks, holds = group.column("set_id"), *_near(group, percent)
-        unit = group.column("unit")[0].as_py()
-        kept = np.concatenate([np.flatnonzero(asks), np.flatnonzero(holds)])
-        return pa.table({
-            "set_id": ids.take(pa.array(kept, pa.int64())),
-            "unit": pa.array([unit] * len(kept), pa.int64()),
-            "query": pa.array([True] * int(asks.sum()) + [False] * int(holds.sum()), pa.bool_()),
-        })
-
-    known = sets.select("set_id", F.col("n_shingles").alias("n"), "sketch").join(units.select("set_id"), "set_id", "left_semi")
-    dealt = together(queries.select("set_id", "unit"), units, SKETCHES).join(known, "set_id")
-    near = staged(dealt.groupBy("unit", "lot").applyInArrow(sift, NEAR).distinct(), "near")
-    some = near.select("set_id").distinct()
-    chosen = staged(sets.filter("id is not null").join(some, "set_id", "left_semi").select("id", F.col("set_id").alias("set")), "chosen")
-    tokens = staged(_tokens(docs, chosen, words), "tokens")
-    holding = near.filter("not query").select("set_id", "unit")
-    asking = near.filter("query").join(queries.select("set_id", "unit", "own"), ["set_id", "unit"]).select("set_id", "unit", "own")
-    asking = staged(asking, "asking")
-
     def compare(group: pa.Table) -> pa.Table:
         members, asks = group.filter(group.column("member")), group.filter(group.column("query"))
         matrix, ids = TokenGroup(_read(members)), members.column("set_id").to_pylist()
@@ -296,16 +339,16 @@ def set_links(docs: DataFrame, sets: DataFrame, shared: DataFrame, words: int, p
         return _table(found)
 
     def compared(asking: DataFrame, holding: DataFrame) -> DataFrame:
-        return together(asking, holding, QUERIES).join(tokens, "set_id").groupBy("unit", "lot").applyInArrow(compare, LINKS)
+        return together(asking, holding).join(tokens, "set_id").groupBy("unit", "lot").applyInArrow(compare, LINKS)
 
-    inner = staged(compared(asking.filter("own"), holding), "inner")
+    inner = staged(compared(queries.filter("own"), units), "inner")
     joined = components(inner).withColumnRenamed("node", "set_id")
     component = F.coalesce("component", "set_id").alias("component")
-    held = holding.join(joined, "set_id", "left").select("unit", component)
+    held = units.join(joined, "set_id", "left").select("unit", component)
     held = held.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    other = asking.filter("not own").join(joined, "set_id", "left").select("set_id", "unit", component).join(held, "unit")
+    other = queries.filter("not own").join(joined, "set_id", "left").select("set_id", "unit", component).join(held, "unit")
     other = staged(other.filter("component <> low or component <> high").select("set_id", "unit"), "others")
-    return inner.unionByName(staged(compared(other, holding), "outer"))
+    return inner.unionByName(staged(compared(other, units), "outer"))
 
 
 def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:

@@ -228,7 +228,9 @@ def edited(rng, words, edits):
 def test_jaccard_join_loses_no_link(spark, odd, empty, monkeypatch, words, percent):
     monkeypatch.setattr(jaccard, "GROUP", 8)
     monkeypatch.setattr(jaccard, "QUERIES", 4)
-    monkeypatch.setattr(jaccard, "SKETCHES", 12)
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "ROWS", 16)
+    monkeypatch.setattr(jaccard, "SKETCH_WORDS", 64)
     monkeypatch.setattr(jaccard, "FREQUENT", 12)
     rng = np.random.default_rng(words)
     shared = [f"p{i}" for i in range(60)]
@@ -252,6 +254,34 @@ def test_jaccard_join_loses_no_link(spark, odd, empty, monkeypatch, words, perce
     assert {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 5, 7, 9}
 
 
+@pytest.mark.parametrize("step", [16, 1 << 19])
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sift_keeps_what_any_pair_of_a_segment_keeps(monkeypatch, percent, step):
+    monkeypatch.setattr(jaccard, "SKETCH_WORDS", step)
+    rng = np.random.default_rng(percent)
+    sets, segments = [], []
+    for base in range(12):
+        tokens = rng.integers(0, 2**63, int(rng.integers(1, 300)), dtype=np.uint64)
+        for copy in range(int(rng.integers(1, 9))):
+            gone = int(rng.integers(0, 1 + len(tokens) // 3))
+            sets.append(np.unique(np.concatenate([tokens[gone:], rng.integers(0, 2**63, copy, dtype=np.uint64)])))
+            segments.append(int(rng.integers(-2, 3)) if base % 2 else base)
+    sketches = [odd_sketch(t) for t in sets]
+
+    def near(i, j):
+        a, b = sorted((sketches[i], sketches[j]), key=len)
+        n, m = sorted((len(sets[i]), len(sets[j])))
+        if segments[i] != segments[j] or 100 * n < percent * m:
+            return False
+        bits = int(np.bitwise_count(a ^ (folded(b) if len(b) > len(a) else b)).sum())
+        return bits * (100 + percent) <= (n + m) * (100 - percent)
+
+    want = [any(near(i, j) for j in range(len(sets)) if j != i) for i in range(len(sets))]
+    got = jaccard.near_rows(np.asarray(segments), np.asarray(list(map(len, sets))), [k.tobytes() for k in sketches], percent)
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+    assert jaccard.near_rows(np.zeros(0, int), np.zeros(0, int), [], percent).tolist() == []
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 80), st.integers(0, 80), st.integers(0, 10**9), st.sampled_from([80, 85]), st.floats(0, 1))
 def test_similar_sets_share_a_signature(size, drop, add, seed, percent, common):
