@@ -23,7 +23,7 @@ QUERIES = 1024
 BLOCK = 4096
 ROWS = 1024
 NEIGHBOURS = 4
-SKETCH_WORDS = 1 << 19
+SKETCH_WORDS = 1 << 16
 DOCS_AT_ONCE = 256
 
 # A shingle is frequent if so many sets of so many documents hold it.
