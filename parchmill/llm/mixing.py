@@ -107,6 +107,7 @@ def mix(
     most: int = 2,
     block: int = 128,
     seed: str = "mix",
+    name: str = "doc_id",
 ) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs`` (doc_id, text, source), and its rows.
 
@@ -114,7 +115,7 @@ def mix(
     source_size, target. pieces: slot, row, epoch, first (word in the document),
     words; a slot's pieces make up its block.
 
-    A source's documents in the order of a keyed hash are one stream of words,
+    A source's documents in the order of a keyed hash of the column ``name`` are one stream of words,
     cut into blocks of ``block`` words and read ``most`` times at most; a
     scheduled slot takes the next block of its source. Every source takes
     exactly its rounded target, no document more than ``most`` times its size,
@@ -124,7 +125,7 @@ def mix(
     null source is a source. Rows that repeat a doc_id are documents of their
     own, next to each other in the stream. An empty table gives an empty mix.
     """
-    key = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16)
+    key = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(name).cast("string"), F.lit("")))), 1, 16)
     sized = staged(
         docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key")),
         "sizes",
@@ -170,11 +171,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: a row per document and reading, with all columns.
 
     A document that the end of its source's target cuts keeps the words before
-    it; all others keep their text as it is. ``n_chars`` follows the text.
+    it; all others keep their text as it is. ``n_chars`` follows the text. How
+    the table is cut into files makes no difference to documents with an id of their own.
     """
     whole = staged(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("at")), "documents")
-    numbered = whole.select("at", "doc.doc_id", "doc.text", "doc.source")
-    rows, pieces = mix(numbered.select(F.col("at").alias("doc_id"), "text", "source"), **options)
+    numbered = whole.select(F.col("at").alias("doc_id"), F.col("doc.doc_id").alias("name"), "doc.text", "doc.source")
+    rows, pieces = mix(numbered, name="name", **options)
     taken = pieces.groupBy("row", "epoch").agg(F.sum("words").alias("words"))
     read = taken.join(rows.select("row", "size", F.col("doc_id").alias("at")), "row").select("at", "size", "words")
     text = F.col("doc.text")

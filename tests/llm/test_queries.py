@@ -74,6 +74,9 @@ def test_pipeline_stage_by_stage(spark):
     taken = {r.doc_id: r.taken for r in mixing.mixed_sizes(docs).collect()}
     assert mixed.columns == columns and {i: n for i, n in taken.items() if n} == dict(words)
 
+    again = stages["mixing sources to target weights"](spark, docs.repartition(7), DATA)
+    assert collections.Counter(map(tuple, again.collect())) == collections.Counter(map(tuple, mixed.collect()))
+
     packed = stages["packing"](spark, mixed, DATA)
     assert {r.doc_id for r in packed.collect()} == set(words)
 
