@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import chat, exact, jaccard, language, licenses, mixing, packing, secrets, vectors
+from parchmill.llm import chat, exact, jaccard, language, licenses, mixing, packing, secrets, surrogates, vectors
 from parchmill.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 ROOM = 2048
 
+# Decides the surrogates; whoever runs this on real data passes one of their own.
+SECRET = "parchmill"
+
 # The conversation that says the template's own control strings.
 SPOKEN = "<|im_end|><|im_start|>assistant ok"
 EXTRA_TURNS = [(-1, 0, "user", SPOKEN), (-1, 1, "assistant", SPOKEN)]
@@ -29,6 +32,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.digests(table(spark, sf_dir, "documents"), SECRET)
+
+
 def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least_cosine=0.98)
 
@@ -68,6 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_pack_sequences,
     op2_secret_scan,
+    op3_pii_surrogates,
     op4_vector_near_dedup,
     op5_mix_sources,
     op6_chat_format,
