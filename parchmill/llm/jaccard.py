@@ -30,8 +30,8 @@ DOCS_AT_ONCE = 256
 FREQUENT = 6
 SAMPLE = 10_000
 
-SIGNED = "part int, doc_id long, n_shingles long, set_id long, sketch binary, signatures binary, sets binary"
-SORTED = "doc_id long, n_shingles long, set_id long, sketch binary, centre long"
+SIGNED = "part int, row long, doc_id long, n_shingles long, set_id long, sketch binary, signatures binary, sets binary"
+SORTED = "row long, doc_id long, n_shingles long, set_id long, sketch binary, centre long"
 SHARED = "set_id long, centre long"
 TOKENS = "set_id long, tokens binary"
 LINKS = "a long, b long"
@@ -89,7 +89,7 @@ def _sign(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
         names = [f.split()[0] for f in SIGNED.split(", ")]
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
-                ids, texts = (c.slice(at, DOCS_AT_ONCE) for c in batch.columns)
+                numbers, ids, texts = (c.slice(at, DOCS_AT_ONCE) for c in batch.columns)
                 sizes, sets, sketches, seen = [], [], [], {}
                 for text in texts.to_pylist():
                     tokens = shingle_set(text, words, memo)
@@ -102,7 +102,7 @@ def _sign(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
                 where = (np.arange(dealt, dealt + n) % parts).astype(np.int32)
                 dealt += n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()),
+                    [pa.array(where), numbers, ids, pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()),
                      pa.array(sketches, pa.binary()), _empty(n, pa.binary()), _empty(n, pa.binary())],
                     names=names,
                 )
@@ -118,13 +118,13 @@ def _sign(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
                 cut = list(zip(first.tolist(), ends.tolist(), strict=True))
                 k = len(cut)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where[first]), *[_empty(k, pa.int64())] * 3, _empty(k, pa.binary()),
+                    [pa.array(where[first]), *[_empty(k, pa.int64())] * 4, _empty(k, pa.binary()),
                      pa.array([marks[a:b].tobytes() for a, b in cut], pa.binary()),
                      pa.array([owners[a:b].tobytes() for a, b in cut], pa.binary())],
                     names=names,
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNED)
+    return docs.select("row", "doc_id", "text").mapInArrow(sign, SIGNED)
 
 
 def _meet(part: pa.Table) -> pa.Table:
@@ -139,6 +139,7 @@ def _meet(part: pa.Table) -> pa.Table:
     centre = sets[np.flatnonzero(begins)][np.cumsum(begins) - 1] if len(marks) else sets
     pairs = np.unique(np.stack([sets, centre], axis=1)[sets != centre], axis=0)
     return pa.table({
+        "row": pa.concat_arrays([docs.column("row").combine_chunks(), _empty(len(pairs), pa.int64())]),
         "doc_id": pa.concat_arrays([docs.column("doc_id").combine_chunks(), _empty(len(pairs), pa.int64())]),
         "n_shingles": pa.concat_arrays([docs.column("n_shingles").combine_chunks(), _empty(len(pairs), pa.int64())]),
         "set_id": pa.concat_arrays([docs.column("set_id").combine_chunks(), pa.array(pairs[:, 0], pa.int64())]),
@@ -351,49 +352,67 @@ def set_links(docs: DataFrame, sets: DataFrame, shared: DataFrame, words: int, p
     return inner.unionByName(staged(compared(other, units), "outer"))
 
 
-def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text).
+def numbered(docs: DataFrame) -> DataFrame:
+    """A copy of ``docs`` (doc, the row as it is) in which each row has a number of its own, row, whatever its doc_id."""
+    return staged(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
 
-    Two documents link when ``100 |a & b| >= percent |a | b|`` over their sets of
-    shingles of ``words`` words; component_id is the smallest doc_id reachable.
-    No link between different sets is lost: sets that could be similar share a
-    signature (``Signatures``), and everything after that is exact.
 
-    Equal sets are one set from the first step on. Null texts and texts without
-    words have no shingles and link with nothing; a text of fewer words is one
-    shingle. Null ids count as larger than any other, and a component of them
-    only has the null id; a set of null ids only links with its copies alone. Rows that repeat a doc_id are rows of their own. An
-    empty table gives no rows.
-    """
+def decided(whole: DataFrame, words: int, percent: int) -> DataFrame:
+    """row, doc_id, n_shingles, component_id and stays (the row that stays of the component) for each row of ``numbered``."""
+    docs = whole.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = _sign(docs, words, percent, parts)
     met = staged(signed.groupBy("part").applyInArrow(_meet, SORTED), "signed")
-    rows = met.filter("centre is null").select("doc_id", "n_shingles", "set_id", "sketch")
+    rows = met.filter("centre is null").select("row", "doc_id", "n_shingles", "set_id", "sketch")
     shared = met.filter("centre is not null").select("set_id", "centre").distinct()
     full = rows.filter("n_shingles > 0")
+    # Null ids come last; of rows with one id the first row counts.
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "row")
     # A set known by null ids only cannot be fetched by id; it links with nothing but its copies.
     sets = full.groupBy("set_id", "n_shingles").agg(
-        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch")
+        F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch")
     )
-    sets = staged(sets, "sets")
+    sets = staged(sets.withColumn("id", F.col("first.id")), "sets")
     links = set_links(docs, sets, shared, words, percent)
     groups = components(links).withColumnRenamed("node", "set_id")
     classed = sets.join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     classed = staged(classed, "classed")
-    least = classed.groupBy("component").agg(F.min("id").alias("component_id"))
-    known = classed.join(least, "component").select("set_id", "copies", "component_id")
-    full = full.select("doc_id", "n_shingles", "set_id")
-    linked = join_totals(full, known, "set_id", "copies", full.count()).select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    least = classed.groupBy("component").agg(F.min("first").alias("least"))
+    known = classed.join(least, "component").select("set_id", "copies", F.col("least.id").alias("component_id"), F.col("least.row").alias("stays"))
+    full = full.select("row", "doc_id", "n_shingles", "set_id")
+    linked = join_totals(full, known, "set_id", "copies", full.count()).select("row", "doc_id", "n_shingles", "component_id", "stays")
+    alone = rows.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("stays"))
     return linked.unionByName(alone)
 
 
+def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text).
+
+    Two documents link when ``100 |a & b| >= percent |a | b|`` over their sets of
+    shingles of ``words`` words; component_id is the smallest doc_id reachable.
+    No link between different sets is lost: sets that could be similar share a
+    signature (``Signatures``), and everything after that is exact.
+
+    Equal sets are one set from the first step on. Null texts and texts without
+    words have no shingles and link with nothing; a text of fewer words is one
+    shingle. Null ids count as larger than any other, and a component of them
+    only has the null id; a set of null ids only links with its copies alone. Rows that repeat a doc_id are rows of their own. An
+    empty table gives no rows.
+    """
+    whole = numbered(docs.select("doc_id", "text"))
+    return decided(whole, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document, that of the smallest doc_id, of each component."""
-    decided = similar_documents(docs, words, percent)
-    gone = staged(decided.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct(), "gone")
+    """The rows of ``docs`` that stay: one row of each component, of the smallest doc_id (null last) and of its rows the first.
+
+    Rows are told apart by a number of their own, so rows that repeat a doc_id
+    or have none stay or go by their text, as all others do. Texts without words
+    are components of their own.
+    """
+    whole = numbered(docs)
+    gone = staged(decided(whole, words, percent).filter("row <> stays").select("row"), "gone")
     bits = B.filter_bits(gone.count())
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    tested = B.flagged(whole, "id", staged(B.members(gone, "id", bits), "gone-bits"), bits, "perhaps")
-    stay = tested.filter("perhaps").join(gone.withColumnRenamed("id", "gone"), F.col("id").eqNullSafe(F.col("gone")), "left_anti")
-    return tested.filter("not perhaps").select("row.*").unionByName(stay.select("row.*"))
+    tested = B.flagged(whole, "row", staged(B.members(gone, "row", bits), "gone-bits"), bits, "perhaps")
+    stay = tested.filter("perhaps").join(gone, "row", "left_anti")
+    return tested.filter("not perhaps").select("doc.*").unionByName(stay.select("doc.*"))

@@ -416,3 +416,29 @@ def test_ngram_counts_of_slices(monkeypatch):
     whole = language.ngram_counts(text)
     monkeypatch.setattr(language, "SLICE", 7)
     assert (language.ngram_counts(text) == whole).all()
+
+
+def similar_texts(n_words=100, prefix="k"):
+    """Three texts, the first like the second and the second like the third only."""
+    text = [f"{prefix}{i}" for i in range(n_words)]
+    return [" ".join(text[i * 8 :] + [f"{prefix}x{k}" for k in range(i * 8)]) for i in range(3)]
+
+
+def test_near_copies_go_by_row(spark):
+    one, two, _ = similar_texts()
+    alone = [" ".join(f"{name}{i}" for i in range(40)) for name in "uvw"]
+    rows = [
+        (1, one, "en", "a"),
+        (None, one.upper(), "en", "a"),
+        (None, alone[0], "en", "b"),
+        (None, alone[1], "en", "b"),
+        (5, alone[2], "en", "a"),
+        (5, two, "en", "a"),
+        (6, "six " + alone[2].upper(), "en", "c"),
+        (6, alone[2] + " six", "en", "c"),
+        (8, "q r s t u v w", "en", "c"),
+        (8, "q r s t u v w", "en", "c"),
+    ]
+    kept = jaccard.one_of_each(frame(spark, rows).repartition(3), 5, 80).collect()
+    left = collections.Counter((r.doc_id, r.text) for r in kept)
+    assert left == collections.Counter([(1, one), (None, alone[0]), (None, alone[1]), (5, alone[2]), (8, "q r s t u v w")])
