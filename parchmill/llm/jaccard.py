@@ -149,19 +149,17 @@ def _meet(part: pa.Table) -> pa.Table:
 
 
 def _tokens(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """set_id and tokens of the ``chosen`` (id, set): texts outside a filter of their ids are not moved."""
+    """set_id and tokens of the ``chosen`` (row, set): texts outside a filter of their rows are not moved."""
     bits = B.filter_bits(chosen.count())
-    asked = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    near = B.flagged(asked, "id", staged(B.members(chosen, "id", bits), "asked"), bits, "near").filter("near")
+    asked = docs.select("row", "text")
+    near = B.flagged(asked, "row", staged(B.members(chosen, "row", bits), "asked"), bits, "near").filter("near")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for column in _slices(batches):
             yield _sets_of(column, words, memo)
 
-    got = near.join(chosen.select("id"), "id", "left_semi").select("text").mapInArrow(count, TOKENS)
-    # Rows that repeat a doc_id with other texts bring sets nobody asked for, or a set twice.
-    return got.join(chosen.select(F.col("set").alias("set_id")), "set_id", "left_semi").dropDuplicates(["set_id"])
+    return near.join(chosen.select("row"), "row", "left_semi").select("text").mapInArrow(count, TOKENS)
 
 
 class TokenGroup:
@@ -290,8 +288,8 @@ def sifted(both: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def set_links(docs: DataFrame, sets: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between sets that connect all sets which similar pairs connect.
 
-    ``shared``: set_id and centre of sets that share a signature; ``sets``: id (a
-    document), n_shingles and sketch for each set. What sketches rule out goes
+    ``shared``: set_id and centre of sets that share a signature; ``sets``: first (its
+    row that counts), n_shingles and sketch for each set. What sketches rule out goes
     first (``sifted``), so that tokens are fetched for few sets. The rest is
     partitioned into groups of similar ones by their smallest centre, and large
     groups into units of about ``GROUP``. A set is a query to every unit with a
@@ -314,7 +312,7 @@ def set_links(docs: DataFrame, sets: DataFrame, shared: DataFrame, words: int, p
     # Of two units one asks the other; within a unit all ask all.
     queries = seated.join(asked, "centre").filter("unit <= of").select("set_id", F.col("of").alias("unit"), (F.col("unit") == F.col("of")).alias("own"))
     queries = staged(queries.distinct(), "queries")
-    chosen = staged(sets.filter("id is not null").join(units.select("set_id"), "set_id", "left_semi").select("id", F.col("set_id").alias("set")), "chosen")
+    chosen = staged(sets.join(units.select("set_id"), "set_id", "left_semi").select("first.row", F.col("set_id").alias("set")), "chosen")
     tokens = staged(_tokens(docs, chosen, words), "tokens")
 
     lot = F.abs(F.xxhash64("set_id") % 1_000_003)
@@ -368,11 +366,10 @@ def decided(whole: DataFrame, words: int, percent: int) -> DataFrame:
     full = rows.filter("n_shingles > 0")
     # Null ids come last; of rows with one id the first row counts.
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "row")
-    # A set known by null ids only cannot be fetched by id; it links with nothing but its copies.
     sets = full.groupBy("set_id", "n_shingles").agg(
         F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch")
     )
-    sets = staged(sets.withColumn("id", F.col("first.id")), "sets")
+    sets = staged(sets, "sets")
     links = set_links(docs, sets, shared, words, percent)
     groups = components(links).withColumnRenamed("node", "set_id")
     classed = sets.join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -396,8 +393,8 @@ def similar_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Dat
     Equal sets are one set from the first step on. Null texts and texts without
     words have no shingles and link with nothing; a text of fewer words is one
     shingle. Null ids count as larger than any other, and a component of them
-    only has the null id; a set of null ids only links with its copies alone. Rows that repeat a doc_id are rows of their own. An
-    empty table gives no rows.
+    only has the null id; they link like any others. Rows that repeat a doc_id
+    are rows of their own. An empty table gives no rows.
     """
     whole = numbered(docs.select("doc_id", "text"))
     return decided(whole, words, percent).select("doc_id", "n_shingles", "component_id")

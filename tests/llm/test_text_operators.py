@@ -442,3 +442,18 @@ def test_near_copies_go_by_row(spark):
     kept = jaccard.one_of_each(frame(spark, rows).repartition(3), 5, 80).collect()
     left = collections.Counter((r.doc_id, r.text) for r in kept)
     assert left == collections.Counter([(1, one), (None, alone[0]), (None, alone[1]), (5, alone[2]), (8, "q r s t u v w")])
+
+
+def test_near_copies_without_id_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 1)
+    rows = []
+    for c in range(12):
+        first, middle, last = similar_texts(prefix=f"m{c}k")
+        rows += [(10 * c, first, "en", "a"), (None, middle, "en", "a"), (10 * c + 1, last, "en", "a")]
+    first, middle, last = similar_texts(prefix="none")
+    rows += [(None, first, "en", "a"), (None, middle, "en", "a"), (None, last, "en", "a")]
+    docs = frame(spark, rows).repartition(3)
+    got = collections.Counter(map(tuple, jaccard.similar_documents(docs, 5, 80).collect()))
+    assert got == jaccard_by_hand(rows, 5, 80)
+    kept = sorted((r.doc_id is None, r.doc_id) for r in jaccard.one_of_each(docs, 5, 80).collect())
+    assert kept == [*((False, 10 * c) for c in range(12)), (True, None)]
