@@ -72,3 +72,22 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
         keep.withColumnRenamed("key", "group"), (F.col("key") == F.col("group")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi"
     )
     return tested.filter("not suspect").select("row.*").unionByName(stay.select("row.*"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Exactly one row of ``docs`` for each normal text, with all its columns: that of the smallest doc_id, null last.
+
+    Rows that repeat a doc_id or have none are copies like any others. Suspects
+    are staged with a number of their own, by which one of rows with the same
+    doc_id stays; rows whose text cannot repeat are passed on where they are read.
+    An empty table gives no rows.
+    """
+    keys = staged(docs.select(digest(F.col("text")).alias("key")), "digests")
+    pieces, bits = _suspects(keys)
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), digest(F.col("text")).alias("key"))
+    tested = B.flagged(whole, "key", pieces, bits, "suspect")
+    suspects = staged(tested.filter("suspect").select("row", "id", "key", F.monotonically_increasing_id().alias("at")), "suspects")
+    first = F.struct(F.col("id").isNull().alias("nameless"), "id", "at")
+    keep = suspects.groupBy("key").agg(F.min(first).alias("first")).select("first.at")
+    stay = suspects.join(keep, "at", "left_semi")
+    return tested.filter("not suspect").select("row.*").unionByName(stay.select("row.*"))

@@ -81,6 +81,15 @@ def test_pipeline_stage_by_stage(spark):
     assert {r.doc_id for r in packed.collect()} == set(words)
 
 
+def test_pipeline_keeps_one_row_of_each_text(spark):
+    rows = [(1, "a  b"), (1, "a b"), (None, "a b"), (None, "c"), (None, "c "), (None, "c\t"), (2, "d"), (2, "d"), (3, "d"), (2, "e"), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["exact dedup"](spark, docs, DATA).collect()
+    assert sorted((str(r.doc_id), (r.text or "").replace("  ", " ").replace("\t", " ")) for r in got) == [
+        ("1", "a b"), ("2", "d"), ("2", "e"), ("4", ""), ("None", "c"), ("None", "c ")
+    ]
+
+
 def test_pipeline_runs_over_empty_and_whole_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     empty = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
