@@ -49,7 +49,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
     )
     extra = spark.createDataFrame(EXTRA_TURNS, "conv_id long, turn long, role string, text string")
-    return chat.conversation_digests(turns.unionByName(extra))
+    # Its template puts out one turn after the other, so a few turns before are enough.
+    return chat.conversation_digests(turns.unionByName(extra), context=chat.CONTEXT_TURNS)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,3 +158,23 @@ def test_rewriting_templates_are_found(spark):
     found = chat.format_turns(rows, latest_only).orderBy("position").collect()
     assert [r.rewrites for r in found] == [False, True, True, True]
     assert found[3].piece[found[3].text_begin : found[3].text_end] == "xy"
+
+
+def test_templates_see_the_whole_conversation(spark):
+    def counted(said):
+        return "".join(f"{i}[{r}] {t};" for i, (r, t) in enumerate(said))
+
+    def thoughts_dropped(said):
+        """What was thought before the last question goes, however long ago."""
+        last = max((i for i, (r, _) in enumerate(said) if r == "user"), default=0)
+        return "".join(f"[{r}] {t if i >= last else t.replace('<thought>', '')};" for i, (r, t) in enumerate(said))
+
+    said = [("user", "go"), ("assistant", "ok"), ("assistant", "<thought> so"), *(("tool", f"step {i}") for i in range(40)), ("user", "next")]
+    rows = turns(spark, [(1, i, *t) for i, t in enumerate(said)])
+    found = chat.format_turns(rows, counted).orderBy("position").collect()
+    assert "".join(r.piece for r in found) == counted(said) and not any(r.rewrites for r in found)
+    found = chat.format_turns(rows, thoughts_dropped).orderBy("position").collect()
+    assert [r.position for r in found if r.rewrites] == [len(said) - 1]
+    assert found[-1].piece[found[-1].text_begin : found[-1].text_end] == "next"
+    digests = chat.conversation_digests(rows, thoughts_dropped, lambda piece: ("", piece), str).collect()
+    assert [r.rewrites for r in digests] == [True]
