@@ -109,6 +109,75 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM components LEFT JOIN counts USING (vec_id)
 """
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {TERMS} AS terms FROM documents
+), lengths AS (
+  SELECT r, doc_id, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0
+), totals AS (
+  SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM lengths
+), items AS (
+  SELECT row_number() OVER () AS q, item_id, {TERMS} AS terms FROM benchmark
+), asked AS (
+  SELECT q, item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(terms) AS t FROM items) GROUP BY ALL
+), tfs AS (
+  SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS t FROM docs)
+  WHERE t IN (SELECT t FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT t, count(*) AS df FROM tfs GROUP BY t), totals
+), damped AS (
+  SELECT r, doc_id, 100 - 25 + ((25 * n * big_n) // big_l) AS m FROM lengths, totals
+), scores AS (
+  SELECT q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN tfs USING (t) JOIN weights USING (t) JOIN damped USING (r) GROUP BY ALL HAVING score > 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+PHRASES = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), spots AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM spots, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)
+), counts AS (
+  SELECT lang, k, g, count(*)::BIGINT AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM counts WHERE k > 1 AND f >= 30
+), inner_spots AS (
+  SELECT lang, a, k, w, j, unnest(range(1, k - j + 2)) AS i
+  FROM candidates, (SELECT unnest([2, 3]) AS j) WHERE j < k
+), covered AS (
+  SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS g, max(a) AS longer FROM inner_spots GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN covered v ON c.lang = v.lang AND c.g = v.g
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+), cuts AS (
+  SELECT lang, g, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:k], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)
+), scored AS (
+  SELECT cuts.lang, cuts.g, a, c, h.f AS l, t.f AS r, ((2000000::HUGEINT * a) // (h.f + t.f))::BIGINT AS score
+  FROM cuts JOIN counts h ON cuts.lang = h.lang AND cuts.head = h.g JOIN counts t ON cuts.lang = t.lang AND cuts.rest = t.g
+), loosest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, c) AS place FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM loosest WHERE place = 1
+)
+SELECT lang, rank, g AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 
 def registered() -> dict[str, str]:
     return {
@@ -117,4 +186,6 @@ def registered() -> dict[str, str]:
         "op6_chat_format": CHAT,
         "op7_jaccard_join": JACCARD,
         "op9_exact_dedup": EXACT,
+        "op11_lexical_search": SEARCH,
+        "op12_phrase_collocations": PHRASES,
     }

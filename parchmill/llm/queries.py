@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import chat, exact, jaccard, language, licenses, mixing, packing, secrets, surrogates, vectors
+from parchmill.llm import (
+    chat,
+    collocations,
+    exact,
+    jaccard,
+    language,
+    lexical,
+    licenses,
+    mixing,
+    packing,
+    secrets,
+    surrogates,
+    two_fit,
+    vectors,
+)
 from parchmill.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -73,6 +87,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"), least=30, first=2000)
+
+
+def op13_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_fit.pack(table(spark, sf_dir, "documents"), VOCABULARY, ROOM, end_id=0)
+
+
 QUERIES = (
     op1_pack_sequences,
     op2_secret_scan,
@@ -84,6 +111,9 @@ QUERIES = (
     op8_license_scan,
     op9_exact_dedup,
     op10_language_id,
+    op11_lexical_search,
+    op12_phrase_collocations,
+    op13_best_two_fit,
 )
 
 

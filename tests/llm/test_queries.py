@@ -11,7 +11,7 @@ import corpus_pipeline
 from parchmill.llm import exact, jaccard, mixing, oracle, queries
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "conversations")
+TABLES = ("documents", "embeddings", "conversations", "benchmark")
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def duck():
 
 def test_one_query_per_operator():
     names = [re.match(r"op(\d+)_", q)[1] for q in queries.registered()]
-    assert sorted(names, key=int) == ["1", "2", "3", "4", "5", "6", "7", "8", "9", "10"]
+    assert sorted(names, key=int) == ["1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12", "13"]
     assert {*queries.registered(), "pipeline"} <= set(entry.queries())
     assert set(oracle.registered()) <= set(entry.oracle_sql())
 
