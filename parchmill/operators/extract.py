@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from parchmill.functions import html as H
 from parchmill.functions.binding import let, reusable
+from parchmill.operators.membership import likely
 from parchmill.operators.windows import by_page, so_far, whole_page
 
 # Tags matched as containers, and those that can hold the article.
@@ -84,22 +85,25 @@ def with_body(clean: DataFrame) -> DataFrame:
     return clean.withColumn("html", F.when(html.rlike(r"(?i)<body[^a-z0-9]"), html).otherwise(F.concat(F.lit("<body>"), html)))
 
 
-def partition_pages(pages: DataFrame) -> DataFrame:
+def partition_pages(pages: DataFrame, keep_pages: DataFrame | None = None) -> DataFrame:
     """Cleaned pages (``page_id, final_url, html``), each with a body, hashed by ``page_id``.
 
     What crosses the network is one row per page holding the cleaned HTML:
     smaller than its tokens, and the only exchange of the extraction. The
     number of partitions is fixed, because this stage is bound by CPU and
-    merging partitions by size at run time would leave cores idle.
+    merging partitions by size at run time would leave cores idle. Of the pages
+    outside ``keep_pages`` (``page_id``), which is counted here, nearly all are
+    left out before they are cleaned, and the others after the exchange.
     """
     final_url = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
     partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        pages.select("page_id", final_url.alias("final_url"), F.coalesce("html", F.lit("")).alias("html"))
-        .transform(clean_pages)
-        .transform(with_body)
-        .repartition(partitions, "page_id")
-    )
+    rows = pages.select("page_id", final_url.alias("final_url"), F.coalesce("html", F.lit("")).alias("html"))
+    if keep_pages is not None:
+        rows = likely(rows, keep_pages, "page_id", keep_pages.count())
+    clean = rows.transform(clean_pages).transform(with_body).repartition(partitions, "page_id")
+    if keep_pages is None:
+        return clean
+    return clean.join(keep_pages.select("page_id"), "page_id", "left_semi")
 
 
 def container_tokens(pages: DataFrame, *carried: str) -> DataFrame:
@@ -297,11 +301,9 @@ def main_html(pages: DataFrame, keep_pages: DataFrame | None = None) -> DataFram
 
     Without main content the whole page stays and ``fallback`` is true: the
     reader still gets something useful. ``keep_pages`` (``page_id``) limits the
-    work to some pages, after the exchange and before any tag is read.
+    work to some pages; the others are neither cleaned nor shuffled, but for a few.
     """
-    clean = partition_pages(pages)
-    if keep_pages is not None:
-        clean = clean.join(keep_pages.select("page_id"), "page_id", "left_semi")
+    clean = partition_pages(pages, keep_pages)
     # The address travels on row 0, so both readers of the exchange take the
     # same columns and share its files.
     addressed = clean.withColumn("address", F.col("final_url")).drop("final_url")

@@ -13,6 +13,7 @@ from parchmill.functions.text import byte_length, excerpt
 from parchmill.operators.skew import skew_join
 from parchmill.operators.store import with_key
 from parchmill.schemas import RESULT
+from parchmill.session import cut_lineage
 
 DEFAULT_FIELDS = ["url", "title", "length", "cached"]
 
@@ -55,7 +56,8 @@ def batch_duplicates(results: DataFrame) -> DataFrame:
     before it stay failures. ``results`` carry the untruncated document.
     """
     keyed = with_key(results)
-    rows = with_source(keyed.select("pos", "url", "url_key", "error"))
+    # Settled on slim rows, which are checkpointed: the joins look at their keys more than once.
+    rows = cut_lineage(with_source(cut_lineage(keyed.select("pos", "url", "url_key", "error"))))
     documents = keyed.select(
         F.col("pos").alias("source_pos"), "markdown", "meta", "cached", "truncated", "full_length"
     )

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from parchmill.functions.text import byte_length, format_bytes
 from parchmill.functions.urls import url_key
 from parchmill.operators.convert import as_of_column
+from parchmill.operators.membership import likely
 from parchmill.operators.skew import skew_join
+from parchmill.session import cut_lineage
 
 DEFAULT_TTL = dt.timedelta(hours=24)
 
@@ -46,9 +48,32 @@ def fresh_entries(store: DataFrame, as_of: AsOf, ttl: dt.timedelta | None = None
     return latest_entries(store.filter(F.col("stored_at") >= _oldest_allowed(as_of, ttl)))
 
 
-def asked_entries(store: DataFrame, keys: DataFrame) -> DataFrame:
-    """The entries of ``keys`` (``url_key``) alone, so that no other Markdown is aggregated or sorted."""
-    return store.join(keys.select("url_key").filter(F.col("url_key").isNotNull()).distinct(), "url_key", "left_semi")
+def asked_entries(store: DataFrame, keys: DataFrame, as_of: AsOf, ttl: dt.timedelta | None = None) -> DataFrame:
+    """The newest entry of each of ``keys`` (``url_key``), unless it is older than ``ttl``.
+
+    Which entries win is found on keys and times alone; then their Markdown is
+    fetched, by a filter that stands before the exchange, so no other entry's
+    Markdown crosses the network but for a few. Of a store with buckets, only
+    those of the keys are read. The keys and the winners are checkpointed, so
+    part of the work runs when the function is called.
+    """
+    asked = cut_lineage(keys.select("url_key").filter(F.col("url_key").isNotNull()).distinct())
+    young = in_buckets(store, asked).filter(F.col("stored_at") >= _oldest_allowed(as_of, ttl))
+    slim = likely(young.select("url_key", "stored_at"), asked, "url_key", asked.count())
+    newest = slim.join(asked, "url_key", "left_semi").groupBy("url_key").agg(F.max("stored_at").alias("stored_at"))
+    newest = cut_lineage(newest)
+    winner = ["url_key", "stored_at"]
+    # Entries of one key and one time are left to the rule for all entries.
+    return latest_entries(likely(young, newest, winner, newest.count()).join(newest, winner, "left_semi"))
+
+
+def in_buckets(store: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of a store with ``bucket``s (``sources.snapshots``), those that ``keys`` fall into: one number each, 256 at most."""
+    if "bucket" not in store.columns:
+        return store
+    digits = F.conv(F.substring("url_key", 1, 2), 16, 10).cast("int")
+    held = [r[0] for r in keys.select(digits.alias("bucket")).distinct().collect()]
+    return store.filter(F.col("bucket").isin(held)).drop("bucket")
 
 
 def expired_entries(store: DataFrame, as_of: AsOf, ttl: dt.timedelta | None = None) -> DataFrame:
@@ -71,7 +96,7 @@ def store_lookup(urls: DataFrame, store: DataFrame, as_of: AsOf, ttl: dt.timedel
     counts as cached with a full length of 0.
     """
     asked = with_key(urls)
-    found = fresh_entries(asked_entries(store, asked), as_of, ttl).select("url_key", "markdown", "meta", F.lit(True).alias("hit"))
+    found = asked_entries(store, asked, as_of, ttl).select("url_key", "markdown", "meta", F.lit(True).alias("hit"))
     joined = skew_join(asked, found, "url_key")
     return joined.withColumns(
         {

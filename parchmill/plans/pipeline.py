@@ -13,10 +13,12 @@ from parchmill.functions.text import byte_length, is_cut, truncate, truncated_le
 from parchmill.operators.convert import documents
 from parchmill.operators.results import assemble, with_source
 from parchmill.operators.skew import skew_join
-from parchmill.operators.store import AsOf, asked_entries, fresh_entries, fresh_keys, with_key
+from parchmill.operators.membership import likely
+from parchmill.operators.store import AsOf, asked_entries, fresh_keys, in_buckets, with_key
 from parchmill.schemas import METADATA
-from parchmill.session import cut_lineage
+from parchmill.session import cut_lineage, written
 from parchmill.sources.pages import fetch_error, final_url_error, split_valid
+from parchmill.sources import snapshots
 from parchmill.sources.store import read_store, store_rows, write_store
 
 
@@ -87,24 +89,25 @@ def process_batch(
 ) -> Batch:
     """Convert a batch of landed pages (``pos, url, html[, final_url, status, status_line]``).
 
-    Store hits, failures and repeated URLs are settled on rows without HTML;
-    only the pages that really need it are cut and converted, once per key.
-    These settled rows are small and read several times, so they are
-    checkpointed; that part runs when the function is called. ``ordered`` sorts
+    Store hits, failures and repeated URLs are settled on rows without HTML,
+    which are checkpointed; only the pages that really need it are cleaned,
+    shuffled and converted, once per key. Converted pages are written once, to
+    the shared folder, when the function is called: results, entries, statistics
+    and whatever is saved read that copy and convert nothing. ``ordered`` sorts
     the results over the whole batch; sinks put them in order by themselves.
     """
     valid, invalid = _with_errors(landed, strict)
-    rows = with_key(valid)
+    rows = cut_lineage(with_key(valid))
     use_store = store is not None and not no_cache
 
     parts = [_failed(invalid)]
     if use_store:
         # Which keys are fresh is known from the keys alone; Markdown is fetched for hits only.
-        keys = fresh_keys(store, as_of, ttl).withColumn("hit", F.lit(True))
-        looked_up = cut_lineage(skew_join(rows, keys, "url_key"))
+        keys = fresh_keys(likely(in_buckets(store, rows), rows, "url_key", rows.count()), as_of, ttl)
+        looked_up = cut_lineage(skew_join(rows, keys.withColumn("hit", F.lit(True)), "url_key"))
         hits = looked_up.filter(F.col("hit")).drop("hit", "error")
         rows = looked_up.filter(F.col("hit").isNull()).drop("hit")
-        fresh = fresh_entries(asked_entries(store, hits), as_of, ttl)
+        fresh = asked_entries(store, hits, as_of, ttl)
         found = skew_join(hits, fresh.select("url_key", "markdown", "meta"), "url_key", "inner")
         parts.append(
             found.select(
@@ -129,9 +132,11 @@ def process_batch(
     converted = documents(pages, as_of, own.select(F.col("pos").alias("page_id"))).select(
         F.col("page_id").alias("source_pos"), "markdown", "meta"
     )
+    converted = written(converted, "converted")
     wanted = sourced.filter(F.col("error").isNull() | ~is_own).select("pos", "url", "source_pos")
     copied = F.col("source_pos") < F.col("pos")
-    joined = skew_join(wanted, converted, "source_pos", "inner")
+    # Without repeats every position is asked for once.
+    joined = wanted.join(converted, "source_pos") if no_cache else skew_join(wanted, converted, "source_pos", "inner")
     cut = truncate_markdown(joined.withColumnRenamed("markdown", "whole").withColumn("markdown", F.col("whole")), max_len, full)
     parts.append(
         cut.select(
@@ -150,13 +155,24 @@ def process_batch(
     return Batch(assemble(*parts, ordered=ordered), store_rows(own_documents, as_of))
 
 
-def process_into_store(landed: DataFrame, store_path: str, batch_id: int | str, as_of: AsOf, **options) -> Batch:
+def process_into_store(
+    landed: DataFrame, store_path: str, batch_id: int | str, as_of: AsOf, layout: str = "batches", **options
+) -> Batch:
     """``process_batch`` against a store on disk, and its entries written there as batch ``batch_id``.
 
     The batch never looks up what it wrote itself, and its results never read
-    it, so running it again gives the same store and the same results.
+    it, so running it again gives the same store and the same results. With
+    ``layout="snapshots"`` the store is one of ``sources.snapshots``: look-ups
+    read the buckets of the batch's keys.
     """
-    known = read_store(landed.sparkSession, store_path, without_batch=batch_id)
+    spark = landed.sparkSession
+    if layout == "snapshots":
+        known = snapshots.read_snapshot(spark, store_path, without_label=batch_id)
+    else:
+        known = read_store(spark, store_path, without_batch=batch_id)
     batch = process_batch(landed, as_of, known, **options)
-    write_store(batch.entries, store_path, batch_id)
+    if layout == "snapshots":
+        snapshots.write_entries(batch.entries, store_path, batch_id)
+    else:
+        write_store(batch.entries, store_path, batch_id)
     return batch

@@ -27,6 +27,7 @@ from parchmill.schemas import STORE, STORE_JSON
 from parchmill.session import prepare, shared_folder
 from parchmill.sources import pages as P
 from parchmill.sources import sinks as K
+from parchmill.sources import snapshots as SN
 from parchmill.sources import store as SS
 from parchmill.streaming import streams as Y
 
@@ -533,6 +534,25 @@ def store_compact(spark, sf_dir):
     return SS.read_store(spark, target).select("url_key", "markdown", F.unix_micros("stored_at").alias("stored_us"))
 
 
+@query
+def store_snapshot(spark, sf_dir):
+    """Look-ups in a bucketed store: two writes, a compaction, one write replayed after it, and a late one."""
+    path = scratch(spark, "snapshots")
+    store = stored_pages(spark, sf_dir)
+    renewed = pages(spark, sf_dir).filter("page_id % 3 = 0").select(U.url_key(F.col("url")).alias("url_key")).distinct()
+    newer = store.join(renewed, "url_key", "left_semi").withColumns(
+        {"markdown": F.concat(F.lit("newer "), "url"), "stored_at": F.lit("2026-01-03 06:00:00").cast("timestamp")}
+    )
+    SN.write_entries(store, path, "first")
+    SN.write_entries(newer, path, "second")
+    SN.compact_snapshot(spark, path)
+    SN.write_entries(newer, path, "second")
+    late = newer.withColumns({"markdown": F.concat(F.lit("late "), "url"), "stored_at": F.lit("2026-01-01").cast("timestamp")})
+    SN.write_entries(late, path, "late")
+    found = S.store_lookup(_asked(spark, sf_dir), SN.read_snapshot(spark, path), AS_OF)
+    return found.select("pos", "url", "markdown", "cached")
+
+
 @query
 def store_replay(spark, sf_dir):
     """The store after one batch has run twice."""

@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write what is costly to make and read more than once to the shared folder, and go on from the copy."""
+    path = f"{shared_folder(df.sparkSession)}/parchmill-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a small table that several later steps read, and go on from the copy."""
     context = df.sparkSession.sparkContext
