@@ -710,6 +710,30 @@ def stream_first_seen(spark, sf_dir):
     return spark.read.parquet(f"{target}/out")
 
 
+@query
+def stream_first_within(spark, sf_dir):
+    """Events of each user that no earlier one covers for two days, by a stream over all of them."""
+    source = events(spark, sf_dir)
+    target = scratch(spark, "within")
+    # A row without a user, later than all others, closes the source.
+    closing = source.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    closing.select(*[F.col(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema]).write.parquet(
+        f"{target}/closing"
+    )
+    landing = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    closed = landing.unionByName(spark.readStream.schema(source.schema).parquet(f"{target}/closing"))
+    run = (
+        Y.stream_first_within(closed.select("user_id", "ts"), "user_id", "ts", "2 days")
+        .writeStream.format("parquet")
+        .option("path", f"{target}/out")
+        .option("checkpointLocation", f"{target}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{target}/out").select("user_id", F.unix_micros("ts").alias("seen_us"))
+
+
 @query
 def stream_upsert(spark, sf_dir):
     """A page store fed by a stream."""

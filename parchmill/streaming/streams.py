@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from parchmill.functions.urls import url_key
 from parchmill.operators.store import AsOf
@@ -50,6 +53,78 @@ def stream_first_seen(stream: DataFrame, key: str | Column, time: str = "ts", tt
     )
 
 
+def _as_bytes(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def stream_first_within(
+    stream: DataFrame, key: str, time: str = "ts", limit: str = "24 hours", lateness: str = "0 seconds"
+) -> DataFrame:
+    """Rows of each ``key`` that no earlier result of it covers for ``limit``, in event time.
+
+    The first row of a key is a result, and after each result the first one
+    later than it by more than ``limit``. Rows wait in the state of their key
+    until the watermark (the latest time less ``lateness``) has passed them and
+    are then taken in order of time, so the results do not depend on how rows
+    were dealt into micro-batches. Rows later than ``lateness`` are dropped by
+    the engine. A timer per key wakes it for its next waiting row, and when its
+    last result covers nothing any more, the state goes.
+
+    Of rows of one key and time the smallest by its other columns counts. Rows
+    without a key are no results but move the watermark, so a source that has
+    ended can be closed with one; rows without a time are dropped. State holds one row per time that waits and
+    can still become a result.
+    """
+    schema = stream.withColumn(time, F.col(time).cast("timestamp")).schema
+    names = [f.name for f in schema.fields]
+    order = [time, *[n for n in names if n not in (time, key)]]
+    covered = pd.Timedelta(limit)
+
+    def settle(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, None)
+        until = pd.Timestamp.min if last is None else pd.Timestamp(last, unit="us") + covered
+        parts = [pa.ipc.open_stream(waiting).read_pandas()] if waiting else []
+        for frame in frames:
+            open_rows = frame[frame[time] > until]
+            parts.append(open_rows.sort_values(order).drop_duplicates(time))
+        parts = [p for p in parts if len(p)]
+        if parts:
+            rows = pd.concat(parts, ignore_index=True).sort_values(order).drop_duplicates(time)
+            times = rows[time].to_numpy("datetime64[us]").astype("int64")
+            passed = state.getCurrentWatermarkMs() * 1000
+            step = covered.value // 1000
+            at, found = 0, []
+            while at < len(times) and times[at] < passed:
+                found.append(at)
+                last = int(times[at])
+                at = int(times.searchsorted(last + step, side="right"))
+            rest = rows.iloc[max(at, int(times.searchsorted(passed))) :]
+            if found:
+                yield rows.iloc[found][names].reset_index(drop=True)
+        else:
+            rest = None
+        wake = None if last is None else (last + covered.value // 1000) // 1000 + 1
+        if rest is not None and len(rest):
+            wake = int(rest[time].iloc[0].value // 1_000_000) + 1
+        if wake is None or (wake <= state.getCurrentWatermarkMs() and not (rest is not None and len(rest))):
+            state.remove()
+            return
+        state.update((last, _as_bytes(rest) if rest is not None and len(rest) else None))
+        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
+    return (
+        # One test that names the time as well, or it would move below the watermark and hide rows from it.
+        timed.filter(F.when(F.col(time).isNotNull(), F.col(key).isNotNull()))
+        .groupBy(key)
+        .applyInPandasWithState(settle, schema, "last long, waiting binary", "append", "EventTimeTimeout")
+    )
+
+
 def stream_first_urls(stream: DataFrame, time: str = "ts", ttl: str = "24 hours") -> DataFrame:
     """``stream_first_seen`` on the store key of ``url``."""
     return stream_first_seen(stream, url_key(F.col("url")), time, ttl)

@@ -1,3 +1,7 @@
+import datetime as dt
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from parchmill.plans.pipeline import process_batch
@@ -63,3 +67,38 @@ def test_first_seen(spark, tmp_path):
     query = first.writeStream.format("memory").queryName("first_urls").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination()
     assert sorted(r.u for r in spark.table("first_urls").collect()) == ["http://a.com/x", "http://a.com/y"]
+
+
+def first_within(rows, limit):
+    """Plain version: times of each key that no earlier result covers."""
+    found, last = [], {}
+    for key, at, name in sorted(rows):
+        if key not in last or at > last[key] + limit:
+            last[key] = at
+            found.append((key, at, name))
+    return found
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_first_within_does_not_depend_on_micro_batches(spark, tmp_path, files):
+    start = dt.datetime(2026, 1, 1)
+    rng = random.Random(4)
+    rows = [(k, start + dt.timedelta(hours=rng.randint(0, 24 * 30)), f"n{i}") for i, k in enumerate([1, 1, 1, 2, 3] * 60)]
+    rows += [(7, start + dt.timedelta(days=d), "x") for d in (0, 10, 20)] + [(7, start, "a"), (8, start, "s"), (8, start, "s")]
+    rows.sort(key=lambda r: (r[1] + dt.timedelta(hours=rng.randint(0, 20)), r[2]))  # late by less than a day
+    closing = (None, start + dt.timedelta(days=90), "end")
+    size = -(-len(rows) // files)
+    for n in range(files + 1):
+        part = rows[n * size : (n + 1) * size] if n < files else [closing]
+        spark.createDataFrame(part, "k long, ts timestamp, name string").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{n}"))
+    source = spark.readStream.schema("k long, ts timestamp, name string").option("maxFilesPerTrigger", 1 if files > 1 else 1000)
+    landing = source.parquet(str(tmp_path / "in/*"))
+    query = (
+        Y.stream_first_within(landing, "k", "ts", "1 day", "1 day")
+        .writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = sorted((r.k, r.ts, r.name) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == first_within(rows, dt.timedelta(days=1))
+    assert [r for r in got if r[0] == 7] == [(7, start, "a"), (7, start + dt.timedelta(days=10), "x"), (7, start + dt.timedelta(days=20), "x")]
