@@ -6,7 +6,9 @@ or backtracking blow-up: possessive groups, negated classes, lazy dots.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +22,8 @@ CUT, END = "\x01", "\x02"
 BOLD, BOLD_END, EM, EM_END = "\x03", "\x04", "\x05", "\x06"
 LINK, LINK_TEXT, LINK_END = "\x0e", "\x0f", "\x10"
 CODE, CODE_END, BREAK = "\x11", "\x12", "\x13"
-_MARKS = r"[\x00-\x06\x0e-\x13]"
+TICKS = "\x14"
+_MARKS = r"[\x00-\x06\x0e-\x14]"
 
 # What is removed before anything else is read.
 _NOISE = (
@@ -44,18 +47,10 @@ BLOCK_TAGS = [
 ATTRS = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
 _ANY_NAME = r"[a-zA-Z][a-zA-Z0-9]*"
 
-# Named entities decoded in text.
-ENTITIES = {
-    "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™",
-    "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
-    "rdquo": "”", "laquo": "«", "raquo": "»", "sect": "§", "para": "¶", "deg": "°", "plusmn": "±", "times": "×",
-    "divide": "÷", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "szlig": "ß", "agrave": "à", "aacute": "á",
-    "acirc": "â", "atilde": "ã", "auml": "ä", "aring": "å", "aelig": "æ", "ccedil": "ç", "egrave": "è", "eacute": "é",
-    "ecirc": "ê", "euml": "ë", "igrave": "ì", "iacute": "í", "icirc": "î", "iuml": "ï", "ntilde": "ñ", "ograve": "ò",
-    "oacute": "ó", "ocirc": "ô", "otilde": "õ", "ouml": "ö", "oslash": "ø", "ugrave": "ù", "uacute": "ú", "ucirc": "û",
-    "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "Eacute": "É", "iexcl": "¡", "iquest": "¿", "ordf": "ª",
-    "ordm": "º", "amp": "&",
-}
+# Character references by name, as HTML 5 lists them: those that end in a semicolon,
+# and the older ones that stand without it too.
+ENTITIES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+BARE_ENTITIES = {name: char for name, char in html5.items() if not name.endswith(";")}
 
 
 def clean_html(html: Column) -> Column:
@@ -110,39 +105,68 @@ def raw_attribute(attrs: Column, name: str) -> Column:
 
 def attribute(attrs: Column, name: str) -> Column:
     """Value of an attribute with entities decoded."""
-    return decode_entities(raw_attribute(attrs, name))
+    return decode_entities(raw_attribute(attrs, name), in_attribute=True)
 
 
 _COMMON = ["lt", "gt", "quot", "apos", "nbsp", "amp"]
 
+# Longer names first, so that the pattern finds the longest.
+_BARE = "|".join(sorted(BARE_ENTITIES, key=len, reverse=True))
 
-def _entity_map() -> Column:
-    entries = "\x01".join(f"{name}\x02{char}" for name, char in ENTITIES.items())
-    return F.str_to_map(F.lit(entries), F.lit("\x01"), F.lit("\x02"))
 
+def _entity(name: Column) -> Column:
+    """Character of a name, looked up under its first two letters; NULL for unknown names."""
+    table: dict[str, dict[str, str]] = {}
+    for known, char in ENTITIES.items():
+        table.setdefault(known[:2], {})[known] = char
+    # Folded into one constant when the query is planned.
+    whole = F.from_json(F.lit(json.dumps(table)), "map<string, map<string, string>>")
+    return F.try_element_at(F.try_element_at(whole, F.substring(name, 1, 2)), name)
 
-def decode_entities(text: Column, is_name: bool = False) -> Column:
+
+def _bare_entity(name: Column) -> Column:
+    entries = "\x01".join(f"{known}\x02{char}" for known, char in BARE_ENTITIES.items())
+    return F.try_element_at(F.str_to_map(F.lit(entries), F.lit("\x01"), F.lit("\x02")), name)
+
+
+def decode_entities(text: Column, is_name: bool = False, in_attribute: bool = False) -> Column:
     """Named and numeric character references become characters, once each.
 
-    ``is_name`` says that ``text`` is a plain column, which costs nothing to
-    repeat, so the common case stays in generated code.
+    A name without a semicolon counts if it is one of the older names, the
+    longest that fits; in an attribute not if a letter, digit or "=" follows,
+    as in the parameters of an address. Numbers that name no character become
+    U+FFFD. ``is_name`` says that ``text`` is a plain column, which costs
+    nothing to repeat, so the common case stays in generated code.
     """
+    bare_end = "(?![=A-Za-z0-9])" if in_attribute else ""
 
     def reference(item: Column) -> Column:
-        # item is what followed "&": a name or number, ";" and the text up to the next "&".
-        name = F.regexp_extract(item, r"^(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]+);", 1)
-        code = F.when(item.startswith("#x") | item.startswith("#X"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(
-            item.startswith("#"), F.substr(name, F.lit(2))
-        )
-        char = F.coalesce(
-            let(code.try_cast("bigint"), code_point_to_char), F.try_element_at(_entity_map(), name)
-        )
-        return let(
-            F.struct(name.alias("name"), char.alias("char")),
-            lambda r: F.when(r["char"].isNull(), F.concat(F.lit("&"), item)).otherwise(
-                F.concat(r["char"], F.substr(item, F.length(r["name"]) + 2))
-            ),
-        )
+        # item is what followed "&": a name or number, and the text up to the next "&".
+        number = F.regexp_extract(item, r"^(#[xX][0-9a-fA-F]+|#[0-9]+);?", 1)
+        code = F.when(number.rlike("^#[xX]"), F.conv(F.substr(number, F.lit(3)), 16, 10)).otherwise(F.substr(number, F.lit(2)))
+        name = F.regexp_extract(item, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        bare = F.regexp_extract(item, f"^({_BARE}){bare_end}", 1)
+
+        def replaced(head: Column, char: Column) -> Column:
+            rest = F.substr(item, F.length(head) + 1)
+            return F.concat(char, F.when(rest.startswith(";"), F.substr(rest, F.lit(2))).otherwise(rest))
+
+        def named(found: Column) -> Column:
+            return F.when(found["char"].isNotNull(), replaced(found["name"], found["char"])).otherwise(
+                let(
+                    bare,
+                    lambda b: F.when(b != "", F.concat(_bare_entity(b), F.substr(item, F.length(b) + 1))).otherwise(
+                        F.concat(F.lit("&"), item)
+                    ),
+                )
+            )
+
+        def numbered(n: Column) -> Column:
+            char = let(F.coalesce(code.try_cast("bigint"), F.lit(0).cast("bigint")), code_point_to_char)
+            return let(char, lambda c: F.when(c.isNull(), F.concat(F.lit("&"), item)).otherwise(replaced(n, c)))
+
+        by_name = let(F.struct(name.alias("name"), F.when(name != "", _entity(name)).alias("char")), named)
+        return F.when(item.rlike("^#(?:[0-9]|[xX][0-9a-fA-F])"), let(number, numbered)).otherwise(by_name)
 
     def decoded(parts: Column) -> Column:
         tail = F.transform(F.slice(parts, 2, F.size(parts)), reference)
@@ -169,10 +193,15 @@ _HIGH_CONTROLS = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range
 
 
 def code_point_to_char(code: Column) -> Column:
-    """Character of a code point; NULL for what no text may hold."""
-    usable = (code.between(32, 0xD7FF) | code.between(0xE000, 0x10FFFF)) | code.isin(9, 10)
+    """Character of a code point, U+FFFD where there is none; NULL for control characters, which no text may hold."""
     high = F.get(F.array(*map(F.lit, _HIGH_CONTROLS)), (code - 128).cast("int"))
-    return F.when(code.between(128, 159), high).when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    none = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    usable = (code >= 32) | code.isin(9, 10)
+    return (
+        F.when(none, F.lit("\ufffd"))
+        .when(code.between(128, 159), high)
+        .when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
 
 
 def visible_text(inner: Column) -> Column:
@@ -285,7 +314,7 @@ def inline_markdown(inner: Column, base: Column) -> Column:
         image = F.concat(F.lit("!["), squeezed(raw_attribute(attrs, "alt")), F.lit("]("))
         reference = F.concat(
             F.when(tag == "img", image).otherwise(F.lit(LINK)),
-            resolve_url(F.replace(F.trim(decode_entities(address)), F.lit(" "), F.lit("%20")), base),
+            resolve_url(F.replace(F.trim(decode_entities(address, in_attribute=True)), F.lit(" "), F.lit("%20")), base),
             F.when(tag == "img", F.lit(")")).otherwise(F.lit(LINK_TEXT)),
         )
         names_address = ((tag == "a") & attrs.rlike(r"(?i)(?:^|\s)href\s*=")) | (
@@ -329,8 +358,7 @@ def inline_markdown(inner: Column, base: Column) -> Column:
 # space and breaks inside a pair move out of it, an open mark ends with the block.
 PAIRING = [
     (r"\x11\s*(?:\x12|$)", ""),
-    (r"\x11([^\x11\x12]*``[^\x11\x12]*)(?:\x12|$)", "``` $1 ```"),
-    (r"\x11([^\x11\x12]*`[^\x11\x12]*)(?:\x12|$)", "`` $1 ``"),
+    (r"\x11([^\x11\x12]*`[^\x11\x12]*)(?:\x12|$)", f"{TICKS} $1 {TICKS}"),
     (r"\x11([^\x11\x12]*)(?:\x12|$)", "`$1`"),
     (r"\x12", ""),
     (r"\x0e([^\x0f]*)\x0f\s*([^\x0e\x10]*?)\s*(?:\x10|$)", "[$2]($1)"),
@@ -349,7 +377,16 @@ PAIRING = [
 
 
 def _pair_marks(marked: Column) -> Column:
-    return reduce(lambda acc, rule: F.regexp_replace(acc, *rule), PAIRING, marked)
+    paired = reduce(lambda acc, rule: F.regexp_replace(acc, *rule), PAIRING, marked)
+    # A code span is fenced by more back-ticks than any run of its block.
+    with_ticks = let(paired, lambda p: F.when(F.contains(p, F.lit(TICKS)), F.replace(p, F.lit(TICKS), _longer_than_runs(p))).otherwise(p))
+    return with_ticks
+
+
+def _longer_than_runs(text: Column, least: int = 1) -> Column:
+    """One back-tick more than the longest run in ``text``, and ``least`` at least."""
+    longest = F.array_max(F.transform(F.regexp_extract_all(text, F.lit("(`+)"), 1), F.length))
+    return F.repeat(F.lit("`"), F.greatest(F.lit(least), F.coalesce(longest, F.lit(0)) + 1))
 
 
 def escape_line_start(text: Column) -> Column:
@@ -360,5 +397,9 @@ def escape_line_start(text: Column) -> Column:
 def preformatted(inner: Column) -> Column:
     """Fenced code: tags out, entities decoded, white space untouched."""
     raw = decode_entities(F.regexp_replace(inner, rf"(?i)</?{_ANY_NAME}{ATTRS}>", ""))
-    fence = F.when(F.contains(raw, F.lit("```")), F.lit("````")).otherwise(F.lit("```"))
-    return F.concat(fence, F.lit("\n"), F.regexp_replace(raw, r"^\n|\s+$", ""), F.lit("\n"), fence)
+
+    def fenced(text: Column) -> Column:
+        fence = _longer_than_runs(text, 3)
+        return F.concat(fence, F.lit("\n"), F.regexp_replace(text, r"^\n|\s+$", ""), F.lit("\n"), fence)
+
+    return let(raw, fenced)

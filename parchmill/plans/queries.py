@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchmill.functions import errors as E
+from parchmill.functions import html as H
 from parchmill.functions import text as TX
 from parchmill.functions import toon as TN
 from parchmill.functions import urls as U
@@ -397,6 +399,25 @@ def convert_corpus(spark, sf_dir):
     return C.convert_corpus(pages(spark, sf_dir)).select("page_id", "body_md")
 
 
+@query
+def decode_entities(spark, sf_dir):
+    """Every page with nine of all reference names: alone, running into a word, and in an address."""
+    listed = F.split(F.lit(" ".join(sorted(html5))), " ")
+    rows = pages(spark, sf_dir).select("page_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
+    name = F.get(listed, ((F.col("page_id") * 9 + F.col("k")) % len(html5)).cast("int"))
+    rows = rows.withColumn("name", name).withColumn("glued", F.concat(F.rtrim("name", F.lit(";")), F.lit("Zq")))
+    closed = F.concat(F.lit("x&"), "name", F.lit(" y"))
+    # An ampersand by reference stays one: nothing is decoded twice.
+    address = F.concat(F.lit("?a=1&"), "glued", F.lit("=2&"), "name")
+    return rows.select(
+        "page_id",
+        "k",
+        H.decode_entities(closed).alias("alone"),
+        H.decode_entities(F.concat(F.lit("&amp;lt;&"), "glued")).alias("glued"),
+        H.decode_entities(address, in_attribute=True).alias("address"),
+    )
+
+
 @query
 def front_matter(spark, sf_dir):
     results = simple_results(spark, sf_dir)
