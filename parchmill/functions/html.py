@@ -291,12 +291,39 @@ _ESCAPED = r"([\\`*_\[\]]|<(?=[a-zA-Z/!?]))"
 _CODE_TAGS = ["code", "kbd", "samp", "tt"]
 
 
-def inline_markdown(inner: Column, base: Column) -> Column:
+# Marks that may hold whole blocks, and their tags.
+SPANNING = {"bold": "b|strong", "em": "em|i", "link": "a"}
+
+
+def open_ends(inner: Column, tags: str) -> Column:
+    """How many of ``tags`` a fragment leaves open (u), and how many it closes that it did not open (s)."""
+    none = F.struct(F.lit(0).cast("bigint").alias("u"), F.lit(0).cast("bigint").alias("s"))
+    slashes = F.regexp_extract_all(inner, F.lit(rf"(?i)<(/?)(?:{tags})(?![a-zA-Z0-9])"), 1)
+
+    def step(acc: Column, slash: Column) -> Column:
+        stray = (slash == "/") & (acc["u"] == 0)
+        u = acc["u"] + F.when(slash == "", 1).when(stray, 0).otherwise(-1)
+        return F.struct(u.alias("u"), (acc["s"] + F.when(stray, 1).otherwise(0)).alias("s"))
+
+    return F.when(F.contains(inner, F.lit("<")), F.aggregate(slashes, none, step)).otherwise(none)
+
+
+def last_link(inner: Column) -> Column:
+    """Attributes of the last link tag of a fragment."""
+    return F.try_element_at(F.regexp_extract_all(inner, F.lit(rf"(?i)<a(?![a-zA-Z0-9])({ATTRS})>"), 1), F.lit(-1))
+
+
+def _names_link(attrs: Column) -> Column:
+    return attrs.rlike(r"(?i)(?:^|\s)href\s*=")
+
+
+def inline_markdown(inner: Column, base: Column, carried: Column | None = None) -> Column:
     """Markdown of one block's inline content.
 
     The fragment is cut at its inline tags; each piece gets a mark for its tag
     and escaped text; the marks are then paired with plain patterns. A mark
-    left open is closed at the end of the block.
+    left open is closed at the end of the block. ``carried`` (link: attributes
+    of a link tag; bold, em: boolean) are the marks open where the block begins.
     """
 
     def squeezed(text: Column) -> Column:
@@ -317,7 +344,7 @@ def inline_markdown(inner: Column, base: Column) -> Column:
             resolve_url(F.replace(F.trim(decode_entities(address, in_attribute=True)), F.lit(" "), F.lit("%20")), base),
             F.when(tag == "img", F.lit(")")).otherwise(F.lit(LINK_TEXT)),
         )
-        names_address = ((tag == "a") & attrs.rlike(r"(?i)(?:^|\s)href\s*=")) | (
+        names_address = ((tag == "a") & _names_link(attrs)) | (
             (tag == "img") & attrs.rlike(r"(?i)(?:^|\s)src\s*=")
         )
         return (
@@ -351,18 +378,36 @@ def inline_markdown(inner: Column, base: Column) -> Column:
 
     marked = F.array_join(F.transform(split_at_tags(inner), piece), "")
     plain = F.regexp_replace(decode_entities(inner, is_name=True), r"\s+", " ")
-    return F.trim(F.when(F.contains(inner, F.lit("<")), _pair_marks(marked)).otherwise(escaped(plain)))
+    has_marks = F.contains(inner, F.lit("<"))
+    if carried is not None:
+        link = carried["link"]
+        address = decode_entities(raw_attribute(link, "href"), in_attribute=True)
+        opened = F.concat(F.lit(LINK), resolve_url(F.replace(F.trim(address), F.lit(" "), F.lit("%20")), base), F.lit(LINK_TEXT))
+        marked = F.concat(
+            F.when(_names_link(link), opened).otherwise(F.lit("")),
+            F.when(carried["bold"], F.lit(BOLD)).otherwise(F.lit("")),
+            F.when(carried["em"], F.lit(EM)).otherwise(F.lit("")),
+            marked,
+        )
+        has_marks = has_marks | link.isNotNull() | carried["bold"] | carried["em"]
+    return F.trim(F.when(has_marks, _pair_marks(marked)).otherwise(escaped(plain)))
 
 
 # Pairing rules, applied in this order. Empty pairs vanish, white
 # space and breaks inside a pair move out of it, an open mark ends with the block.
+# Emphasis that holds no other mark comes first, so an open one ends inside the bold around it.
 PAIRING = [
     (r"\x11\s*(?:\x12|$)", ""),
-    (r"\x11([^\x11\x12]*`[^\x11\x12]*)(?:\x12|$)", f"{TICKS} $1 {TICKS}"),
+    (r"\x11([^\x11\x12]*```[^\x11\x12]*)(?:\x12|$)", f"{TICKS} $1 {TICKS}"),
+    (r"\x11([^\x11\x12]*``[^\x11\x12]*)(?:\x12|$)", "``` $1 ```"),
+    (r"\x11([^\x11\x12]*`[^\x11\x12]*)(?:\x12|$)", "`` $1 ``"),
     (r"\x11([^\x11\x12]*)(?:\x12|$)", "`$1`"),
     (r"\x12", ""),
+    (r"\x0e[^\x0f]*\x0f[\s\x03-\x06\x13]*(?:\x10|$)", ""),
     (r"\x0e([^\x0f]*)\x0f\s*([^\x0e\x10]*?)\s*(?:\x10|$)", "[$2]($1)"),
     (r"\x10", ""),
+    (r"\x05([\s\x13]*)(?:\x06|$)", "$1"),
+    (r"\x05([\s\x13]*)([^\x03-\x06]*?)([\s\x13]*)(?:\x06|$)", "$1_$2_$3"),
     (r"\x03([\s\x13]*)(?:\x04|$)", "$1"),
     (r"\x03([\s\x13]*)([^\x03\x04]*?)([\s\x13]*)(?:\x04|$)", "$1**$2**$3"),
     (r"[\x03\x04]", ""),
@@ -378,9 +423,11 @@ PAIRING = [
 
 def _pair_marks(marked: Column) -> Column:
     paired = reduce(lambda acc, rule: F.regexp_replace(acc, *rule), PAIRING, marked)
-    # A code span is fenced by more back-ticks than any run of its block.
-    with_ticks = let(paired, lambda p: F.when(F.contains(p, F.lit(TICKS)), F.replace(p, F.lit(TICKS), _longer_than_runs(p))).otherwise(p))
-    return with_ticks
+    # A code span with many back-ticks stands between more than any run of its block has.
+    return let(
+        paired,
+        lambda p: F.when(F.contains(p, F.lit(TICKS)), F.replace(p, F.lit(TICKS), _longer_than_runs(p))).otherwise(p),
+    )
 
 
 def _longer_than_runs(text: Column, least: int = 1) -> Column:

@@ -399,6 +399,22 @@ def convert_corpus(spark, sf_dir):
     return C.convert_corpus(pages(spark, sf_dir)).select("page_id", "body_md")
 
 
+@query
+def convert_rules(spark, sf_dir):
+    """Marks and links around blocks, an unclosed mark, lists, quotes and code, around the number of each page."""
+    html = (
+        "<b><p>x@</p><p>y@ <i>z@</i></p></b><a href='/u@?a=1&copy=2'><h3>t@</h3></a><em><ul><li>a@</li><li>b@</li></ul></em>"
+        "<p><b>o@ <br><p>n@ <mark>m@</mark> <code>c`@</code></p><ol start=7><li>q@<li>r@</ol><blockquote><p>k@</p></blockquote>"
+        "<pre>``` @\n*</pre><hr><p># h@</p><p>@. l</p><img src=i@.png alt='A@'>&rarr; &frac12;&copy"
+    )
+    rows = pages(spark, sf_dir).select(
+        "page_id",
+        F.col("url").alias("final_url"),
+        F.replace(F.lit(html), F.lit("@"), F.col("page_id").cast("string")).alias("html"),
+    )
+    return C.convert_html(rows).select("page_id", "body_md")
+
+
 @query
 def decode_entities(spark, sf_dir):
     """Every page with nine of all reference names: alone, running into a word, and in an address."""

@@ -88,6 +88,19 @@ RULES = [
     ("&lt;b&gt; &amp;amp; &#233;&#x1F600; &bogus;", "\\<b> &amp; é😀 &bogus;"),
     ('<p title="a > b">t</p>', "t"),
     ("a < b and c", "a < b and c"),
+    ("<b><p>xx</p><p>yy</p></b>zz", "**xx**\n\n**yy**\n\nzz"),
+    ('<a href="/u"><h3>tt</h3></a>after', "### [tt](https://example.com/u)\n\nafter"),
+    ("<em><ul><li>a</li><li>b</li></ul></em>", "- _a_\n- _b_"),
+    ("<strong>x<p>y</strong> z</p><p>w</p>", "**x**\n\n**y** z\n\nw"),
+    ("<a href=/1>l<p>m</p>n</a> o", "[l](https://example.com/1)\n\n[m](https://example.com/1)\n\n[n](https://example.com/1) o"),
+    ("<b><i><p>q</p></i></b>r", "**_q_**\n\nr"),
+    ("<p><i><b>q</p>", "_**q**_"),
+    ("<b><h2>H</h2></b><p><b>un</p><p>p</p><b><p>c</p></b><p>d</p>", "## **H**\n\n**un**\n\np\n\n**c**\n\nd"),
+    ("</b></a><p>a</p><a name=x><p>v</p></a><a href=/e></a>", "a\n\nv"),
+    ("<p>`<code>a```b``c</code> and <code>x</code></p>", "\\````` a```b``c ```` and `x`"),
+    ("<pre>a ```` b</pre>", "`````\na ```` b\n`````"),
+    ("&rarr; &eta; &frac12; &copy x &notit; &notin; &copyright; &ampx; &#0; &#xD800; &#99999999999;", "→ η ½ © x ¬it; ∉ ©right; &x; � � �"),
+    ('<a href="/?a=1&copy=2&amp;c=&lt;&reg">t</a>', "[t](https://example.com/?a=1&copy=2&c=<®)"),
     ("<script>var t='</p>'</script><!-- c --><style>p{}</style>kept", "kept"),
 ]
 
