@@ -35,6 +35,7 @@ from parchmill.streaming import streams as Y
 
 AS_OF = "2026-01-03 16:47:00"
 ROWS_PER_PART = 500
+PIECE_BYTES = 50_000
 MAX_LEN = 1000
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -239,13 +240,13 @@ def read_store(spark, sf_dir):
 
 @query
 def markdown_document(spark, sf_dir):
-    return R.markdown_document(simple_results(spark, sf_dir), ROWS_PER_PART)
+    return R.markdown_document(simple_results(spark, sf_dir), ROWS_PER_PART, PIECE_BYTES)
 
 
 @query
 def toon_document(spark, sf_dir):
     results = simple_results(spark, sf_dir)
-    return R.toon_document(results, "url,title,length,cached,excerpt", RS.batch_stats(results), ROWS_PER_PART)
+    return R.toon_document(results, "url,title,length,cached,excerpt", RS.batch_stats(results), ROWS_PER_PART, PIECE_BYTES)
 
 
 @query
@@ -671,7 +672,7 @@ def toon_records(spark, sf_dir):
 @query
 def toon_table(spark, sf_dir):
     doc = texts(spark, sf_dir).withColumnRenamed("doc_id", "pos")
-    return R.toon_table(doc, ["lang", "n_chars", "text"], ["source"], ROWS_PER_PART)
+    return R.toon_table(doc, ["lang", "n_chars", "text"], ["source"], ROWS_PER_PART, PIECE_BYTES)
 
 
 @query

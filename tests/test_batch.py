@@ -246,6 +246,23 @@ def test_save(spark, tmp_path):
     assert len(names) == 5 and {"h0-com-title.md", "h1-com-title.md"} <= names
 
 
+def test_pieces_of_a_document_are_bounded_in_bytes(spark):
+    sizes = [10, 3000, 400, 400, 400, 400, 999, 5, 5, 5, 2001, 0, 600, 600, 600]
+    rows = results(spark, [(i, chr(97 + i) * n, False, False, False, n) for i, n in enumerate(sizes)])
+    whole = R.markdown_document(rows, rows_per_part=7).orderBy("part", "piece").collect()
+    small = R.markdown_document(rows, rows_per_part=7, max_bytes=1000).orderBy("part", "piece").collect()
+    assert "".join(p.document for p in small) == "".join(p.document for p in whole) and {p.piece for p in whole} == {0}
+    separator = len(R.ARTICLE_SEPARATOR)
+    over = [p.document for p in small if len(p.document) > 1000]
+    # Only a text above the limit by itself makes a larger piece, and stands there alone.
+    assert sorted(len(d) - separator for d in over) == [999, 2001, 3000] and len(small) > len(whole) + 5
+    table = R.toon_table(rows.select("pos", "markdown", F.lit(None).cast("string").alias("g")), ["markdown"], ["g"], 4, max_bytes=700)
+    parts = table.orderBy("part", "piece").collect()
+    lines = "".join(p.toon for p in parts).split("\n")
+    assert lines[0] == "results[15]{markdown}:" and [len(x.strip().strip('"')) for x in lines[1:]] == sizes
+    assert max(len(p.toon) for p in parts) <= 3000 + 3
+
+
 def test_fetch_outcome_and_batches(spark, tmp_path):
     log = spark.createDataFrame([("u", 200, "200 OK"), ("u", 302, "302 Found"), ("u", 403, "403 Forbidden")], "url string, status int, status_line string")
     assert [r.ok for r in P.fetch_outcome(log).collect()] == [True, False, False]
