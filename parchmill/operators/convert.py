@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.functions import html as H
 from parchmill.functions.binding import reusable
 from parchmill.operators.extract import SILENT_TAGS, UNTITLED, block_tokens, main_html
-from parchmill.operators.windows import before, by_page, so_far
+from parchmill.operators.windows import PAGE, before, by_page, from_here, so_far
 
 LIST_INDENT = 4
 
@@ -98,8 +98,6 @@ def _with_carried_marks(tokens: DataFrame) -> DataFrame:
     blocks, and the least depth from a block on tells whether what is open there
     closes at all: a mark that nothing closes ends with its own block.
     """
-    backwards = Window.partitionBy("page_id").orderBy(F.col("pos").desc())
-    ahead = backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kinds = H.SPANNING
     out = tokens.withColumns({f"{k}_ends": H.open_ends(F.col("text"), tags) for k, tags in kinds.items()})
     out = out.withColumns(
@@ -113,7 +111,7 @@ def _with_carried_marks(tokens: DataFrame) -> DataFrame:
         | {"open_link": F.last(F.when(F.col("link_ends.u") > 0, H.last_link(F.col("text"))), ignorenulls=True).over(before())}
     )
     out = out.withColumns(
-        {f"{k}_open": F.col(f"{k}_before") > F.min(low[k] - F.col(f"{k}_floor")).over(ahead) for k in kinds}
+        {f"{k}_open": F.col(f"{k}_before") > F.min(low[k] - F.col(f"{k}_floor")).over(from_here()) for k in kinds}
     )
     carried = F.struct(
         F.when(F.col("link_open"), F.col("open_link")).alias("link"),
@@ -214,24 +212,25 @@ def convert_html(content: DataFrame) -> DataFrame:
     is_paragraph = (F.col("tag") == "p") & ~F.col("close") & (F.col("block") != "")
     return (
         block_markdown(block_tokens(content, "final_url"))
-        .groupBy("page_id")
+        .groupBy(*PAGE)
         .agg(
             F.min_by("text", F.when(is_paragraph, F.col("pos"))).alias("first_paragraph"),
             F.expr("listagg(part, '') within group (order by pos)").alias("body_md"),
         )
         .withColumn("body_md", F.coalesce("body_md", F.lit("")))
+        .drop("page_no")
     )
 
 
 def convert_corpus(pages: DataFrame, keep_pages: DataFrame | None = None) -> DataFrame:
-    """Pages to metadata and Markdown body of their main content."""
+    """Pages to metadata and Markdown body of their main content; only those of ``keep_pages`` if given."""
     content = main_html(pages, keep_pages).withColumnRenamed("main_html", "html")
     # Address and metadata ride on row 0 of each page's tokens.
     tokens = block_tokens(content.withColumn("page", F.struct("stated", "fallback")), "final_url", "page")
     is_paragraph = (F.col("tag") == "p") & ~F.col("close") & (F.col("block") != "")
     body = (
         block_markdown(tokens.withColumn("page", F.when(F.col("pos") == 0, F.col("page"))))
-        .groupBy("page_id")
+        .groupBy(*PAGE)
         .agg(
             F.first("page", ignorenulls=True).alias("page"),
             F.first("final_url").alias("final_url"),
@@ -240,6 +239,8 @@ def convert_corpus(pages: DataFrame, keep_pages: DataFrame | None = None) -> Dat
         )
         .select("page_id", "final_url", "page.*", "first_paragraph", "body_md")
     )
+    if keep_pages is not None:
+        body = body.join(keep_pages.select("page_id"), "page_id", "left_semi")
 
     # A page without main content keeps what it states; only a first paragraph would be a guess.
     paragraph = F.when(~F.col("fallback"), _visible_text("first_paragraph"))

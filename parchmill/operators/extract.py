@@ -1,12 +1,14 @@
 """Main-content extraction over the whole corpus.
 
-Pages cross the network once, as one row each, hashed by ``page_id``. From
+Pages cross the network once, as one row each, hashed by page. From
 there a page is cut into slim token rows at container tags only; their text is
 measured where it is cut and left behind. Nesting, boilerplate and scores are
 running sums and look-ups in windows of one page, so no token is ever paired
 with a container by a join. The positions worth keeping are then joined back
 to the page row, on the same partitioning and the same shuffle files.
-``page_id`` must be unique per page, so a window holds one page at most.
+A page is a row of the input, known by its ``page_id`` and a number made
+before the exchange, so pages that share an id stay apart and a window holds
+one page at most.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from parchmill.functions import html as H
 from parchmill.functions.binding import let, reusable
 from parchmill.operators.membership import likely
-from parchmill.operators.windows import by_page, so_far, whole_page
+from parchmill.operators.windows import PAGE, by_page, numbered, so_far, whole_page
 
 # Tags matched as containers, and those that can hold the article.
 CONTAINER_TAGS = ["article", "main", "section", "div", "td", "body", "nav", "aside", "footer", "header"]
@@ -58,8 +60,8 @@ def _metadata(html_name: str, metas_name: str) -> dict[str, Column]:
 def _explode_tokens(clean: DataFrame, tags: list[str] | None, *carried: str) -> DataFrame:
     piece = F.col("piece")
     pieces = H.split_at_tags(F.col("html"), tags)
-    return clean.select("page_id", *carried, F.posexplode(pieces).alias("pos", "piece")).select(
-        "page_id",
+    return numbered(clean).select(*PAGE, *carried, F.posexplode(pieces).alias("pos", "piece")).select(
+        *PAGE,
         F.col("pos").cast("bigint").alias("pos"),
         H.piece_closes(piece).alias("close"),
         H.piece_tag(piece).alias("tag"),
@@ -86,24 +88,21 @@ def with_body(clean: DataFrame) -> DataFrame:
 
 
 def partition_pages(pages: DataFrame, keep_pages: DataFrame | None = None) -> DataFrame:
-    """Cleaned pages (``page_id, final_url, html``), each with a body, hashed by ``page_id``.
+    """Cleaned pages (``page_id, page_no, final_url, html``), each with a body, hashed by page.
 
     What crosses the network is one row per page holding the cleaned HTML:
     smaller than its tokens, and the only exchange of the extraction. The
     number of partitions is fixed, because this stage is bound by CPU and
     merging partitions by size at run time would leave cores idle. Of the pages
     outside ``keep_pages`` (``page_id``), which is counted here, nearly all are
-    left out before they are cleaned, and the others after the exchange.
+    left out before they are cleaned; who reads the result drops the others.
     """
     final_url = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
     partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pages.select("page_id", final_url.alias("final_url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = numbered(pages).select(*PAGE, final_url.alias("final_url"), F.coalesce("html", F.lit("")).alias("html"))
     if keep_pages is not None:
         rows = likely(rows, keep_pages, "page_id", keep_pages.count())
-    clean = rows.transform(clean_pages).transform(with_body).repartition(partitions, "page_id")
-    if keep_pages is None:
-        return clean
-    return clean.join(keep_pages.select("page_id"), "page_id", "left_semi")
+    return rows.transform(clean_pages).transform(with_body).repartition(partitions, *PAGE)
 
 
 def container_tokens(pages: DataFrame, *carried: str) -> DataFrame:
@@ -114,7 +113,7 @@ def container_tokens(pages: DataFrame, *carried: str) -> DataFrame:
     """
     tokens = _explode_tokens(pages, CONTAINER_TAGS, *carried)
     return tokens.withColumn("measure", _measured("text")).select(
-        "page_id", "pos", "close", "tag", "attrs", "measure.worth", "measure.text_bytes", "measure.link_bytes", *carried
+        *PAGE, "pos", "close", "tag", "attrs", "measure.worth", "measure.text_bytes", "measure.link_bytes", *carried
     )
 
 
@@ -163,7 +162,7 @@ def match_containers(tokens: DataFrame) -> DataFrame:
     """
     is_container = F.col("tag").isin(CONTAINER_TAGS)
     step = F.when(~is_container, 0).when(F.col("close"), -1).otherwise(1)
-    by_level = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
+    by_level = Window.partitionBy(*PAGE, "tag", "level").orderBy("pos")
     opens_noise = F.col("tag").isin(BOILERPLATE_TAGS) | (
         (F.col("tag") == "div") & H.raw_attribute(F.col("attrs"), "class").rlike(BOILERPLATE_CLASS)
     )
@@ -231,8 +230,8 @@ def score_containers(tokens: DataFrame) -> DataFrame:
     ``container_tokens``.
     """
     counts = F.col("tag").isin(CANDIDATE_TAGS) & ~F.col("noise") & ~F.col("dropped")
-    in_container = Window.partitionBy("page_id", "container")
-    in_target = Window.partitionBy("page_id", "target")
+    in_container = Window.partitionBy(*PAGE, "container")
+    in_target = Window.partitionBy(*PAGE, "target")
 
     def kept(name: str) -> Column:
         return F.when(F.col("dropped"), 0).otherwise(F.col(name))
@@ -301,7 +300,7 @@ def main_html(pages: DataFrame, keep_pages: DataFrame | None = None) -> DataFram
 
     Without main content the whole page stays and ``fallback`` is true: the
     reader still gets something useful. ``keep_pages`` (``page_id``) limits the
-    work to some pages; the others are neither cleaned nor shuffled, but for a few.
+    work to some pages and few others, which stay in the result.
     """
     clean = partition_pages(pages, keep_pages)
     # The address travels on row 0, so both readers of the exchange take the
@@ -315,7 +314,7 @@ def main_html(pages: DataFrame, keep_pages: DataFrame | None = None) -> DataFram
         & (F.col("pos") < F.coalesce("main_close", "page_end"))
         & ~F.col("dropped")
     )
-    kept = scored.groupBy("page_id").agg(
+    kept = scored.groupBy(*PAGE).agg(
         F.array_sort(F.collect_list(F.when(inside, F.col("pos").cast("int")))).alias("kept"),
         F.first("main_open", ignorenulls=True).alias("main_open"),
         F.first("address", ignorenulls=True).alias("address"),
@@ -324,9 +323,9 @@ def main_html(pages: DataFrame, keep_pages: DataFrame | None = None) -> DataFram
     return (
         _with_metadata(clean)
         .withColumn("pieces", H.split_at_tags(F.col("html"), CONTAINER_TAGS))
-        .join(kept, "page_id")
+        .join(kept, PAGE)
         .select(
-            "page_id",
+            *PAGE,
             F.coalesce("address", "final_url").alias("final_url"),
             F.struct("title", "author", "publish_date", "description").alias("stated"),
             F.when(F.col("main_open").isNull(), F.col("html"))

@@ -448,6 +448,15 @@ def documents(spark, sf_dir):
     )
 
 
+@query
+def repeated_page_ids(spark, sf_dir):
+    """Pages that share an id stay pages of their own: each page, itself again, and a short one, all under one id."""
+    landed = pages(spark, sf_dir).select("page_id", "url", "html")
+    short = F.concat(F.lit("<title>S"), "page_id", F.lit("</title><p>short text of "), "page_id", F.lit("</p>"))
+    rows = landed.unionByName(landed).unionByName(landed.withColumns({"html": short, "url": F.concat("url", F.lit("#s"))}))
+    return C.documents(rows, AS_OF).select("page_id", "final_url", F.col("meta.title").alias("title"), "markdown")
+
+
 # --- lengths ------------------------------------------------------------------
 
 
