@@ -46,12 +46,13 @@ class Encoder:
     the tokenizer's model, everything else to the tokenizer as it is.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, most_chunks: int = MEMO_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
+        self.most_chunks = most_chunks
         self.words: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {"": b""}
 
@@ -79,9 +80,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             chunks = text.replace("\n", " ").split(" ")
-            if len(self.memo) > MEMO_CHUNKS:
+            if len(self.memo) > self.most_chunks:
                 self.memo = {"": b""}
-            if len(self.words) > MEMO_CHUNKS:
+            if len(self.words) > self.most_chunks:
                 self.words = {}
             new = set(chunks).difference(self.memo)
             for chunk in new:

@@ -14,6 +14,8 @@ from parchmill.llm.common import sliced, staged
 from parchmill.llm.packing import Encoder
 
 PIECES_PER_GROUP = 32_768
+# Chunks of text, and words, whose ids a task remembers: some 200 bytes each.
+MEMO_CHUNKS = 600_000
 
 _LISTED = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -22,7 +24,7 @@ def document_pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int) ->
     """A row per piece of each document's ids, ``end_id`` last; only documents longer than ``room`` are cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(vocabulary, MEMO_CHUNKS)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         lot = 0
         for batch in sliced(batches):
