@@ -76,12 +76,20 @@ def _values(data: bytes, n: int, bits: int) -> np.ndarray:
     return wide.view("<u8").reshape(n)
 
 
+def _slots(rest: np.ndarray, right: np.ndarray, rest_bits: int, right_bits: int) -> list[tuple[np.ndarray, int]]:
+    """What remains of both halves: as one number where 64 bits hold it."""
+    if rest_bits + right_bits <= 64 and right_bits < 64:
+        return [((rest << np.uint64(right_bits)) | right, rest_bits + right_bits)]
+    return [(rest, rest_bits), (right, right_bits)]
+
+
 def build(left: np.ndarray, right: np.ndarray, counts: np.ndarray, left_bits: int, right_bits: int, range_bits: int) -> bytes:
     """A filter of distinct permuted keys in order, all with the same top ``range_bits`` of the left half.
 
-    Slots hold what remains of a key and a byte of its count; counts of 255 and
-    more follow at the end. A bit per quotient says whether it occurs, a bit per
-    slot whether it is the last one of its quotient.
+    Slots hold what remains of a key. A bit per quotient says whether it occurs,
+    a bit per slot whether it is the last one of its quotient, and another one
+    whether the key occurs once. The counts of the others follow, a byte each,
+    then those of 255 and more in full.
     """
     n = len(left)
     quotient_bits = min(left_bits - range_bits, max(0, (n - 1).bit_length()))
@@ -91,14 +99,15 @@ def build(left: np.ndarray, right: np.ndarray, counts: np.ndarray, left_bits: in
     occupied[quotient] = True
     run_end = np.ones(n, bool)
     run_end[:-1] = quotient[1:] != quotient[:-1]
+    once = counts == 1
     place = int(left[0] >> np.uint64(left_bits - range_bits)) if range_bits and n else 0
     return b"".join([
         struct.pack(_HEAD, n, range_bits, quotient_bits, place),
         np.packbits(occupied).tobytes(),
         np.packbits(run_end).tobytes(),
-        _bytes(left & _mask(rest_bits), rest_bits),
-        _bytes(right, right_bits),
-        np.minimum(counts, _BIG).astype(np.uint8).tobytes(),
+        np.packbits(once).tobytes(),
+        *(_bytes(part, bits) for part, bits in _slots(left & _mask(rest_bits), right, rest_bits, right_bits)),
+        np.minimum(counts[~once], _BIG).astype(np.uint8).tobytes(),
         counts[counts >= _BIG].astype("<u8").tobytes(),
     ])
 
@@ -118,13 +127,24 @@ def read(data: bytes, left_bits: int, right_bits: int) -> tuple[np.ndarray, np.n
     run_end = np.unpackbits(np.frombuffer(piece(-(-n // 8)), np.uint8), count=n)
     run = np.cumsum(run_end) - run_end
     quotient = np.flatnonzero(occupied).astype(np.uint64)[run]
-    left = _values(piece(n * -(-rest_bits // 8)), n, rest_bits)
+    once = np.unpackbits(np.frombuffer(piece(-(-n // 8)), np.uint8), count=n).astype(bool)
+
+    def values(bits: int) -> np.ndarray:
+        return _values(piece(n * -(-bits // 8)), n, bits)
+
+    if rest_bits + right_bits <= 64 and right_bits < 64:
+        both = values(rest_bits + right_bits)
+        left, right = both >> np.uint64(right_bits), both & _mask(right_bits)
+    else:
+        left, right = values(rest_bits), values(right_bits)
     if quotient_bits:
         left |= quotient << np.uint64(rest_bits)
     if range_bits:
         left |= np.uint64(place) << np.uint64(left_bits - range_bits)
-    right = _values(piece(n * -(-right_bits // 8)), n, right_bits)
-    counts = np.frombuffer(piece(n), np.uint8).astype(np.int64)
+    counts = np.ones(n, np.int64)
+    several = np.flatnonzero(~once)
+    if len(several):
+        counts[several] = np.frombuffer(piece(len(several)), np.uint8)
     big = np.flatnonzero(counts == _BIG)
     if len(big):
         counts[big] = np.frombuffer(data, "<u8", len(big), at).astype(np.int64)

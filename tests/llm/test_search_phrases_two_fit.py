@@ -127,7 +127,7 @@ def test_filters_lose_nothing(left_bits, right_bits, range_bits, seed):
 def test_filters_are_compact():
     left, right = (np.random.default_rng(1).integers(0, 1 << 30, 100_000, np.uint64) for _ in range(2))
     keys = Q.tally(*Q.permute(left, right, 30, 30), np.ones(100_000, np.int64), 30, 30)
-    assert len(Q.build(*keys, 30, 30, 0)) < 8 * len(keys[0])
+    assert len(Q.build(*keys, 30, 30, 0)) < 6.5 * len(keys[0])
 
 
 def plain_phrases(rows, least, first):
