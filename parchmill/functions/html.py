@@ -224,7 +224,7 @@ def link_text_bytes(inner: Column) -> Column:
 
 # --- metadata -----------------------------------------------------------------
 
-_BYLINE = r"""(?is)<[a-z][a-z0-9]*\s[^>]*class\s*=\s*["'](?:[^"'>]*\s)?byline(?:\s[^"'>]*)?["'][^>]*>([^<]*)"""
+_BYLINE = r"""<([a-z][a-z0-9]*)\s[^>]*class\s*=\s*["'](?:[^"'>]*\s)?byline(?:\s[^"'>]*)?["'][^>]*>"""
 
 
 def meta_attributes(clean: Column) -> Column:
@@ -262,8 +262,12 @@ def page_title(clean: Column, metas: Column) -> Column:
 
 
 def page_author(clean: Column, metas: Column) -> Column:
-    """Author named in a meta tag, else the first element of class byline."""
-    stated = F.coalesce(_meta_content(metas, "author", "article:author"), _first_match(clean, _BYLINE))
+    """Author named in a meta tag, else the text of the first element of class byline; up to the next tag if unclosed."""
+    stated = F.coalesce(
+        _meta_content(metas, "author", "article:author"),
+        F.nullif(F.regexp_extract(clean, rf"(?is){_BYLINE}(.*?)</\1\s*>", 2), F.lit("")),
+        F.nullif(F.regexp_extract(clean, rf"(?is){_BYLINE}([^<]*)", 2), F.lit("")),
+    )
     return F.coalesce(visible_text(stated), F.lit(""))
 
 

@@ -33,8 +33,41 @@ def _depth(steps: str) -> Column:
     return F.col(steps) - F.least(F.lit(0), F.min(steps).over(so_far()))
 
 
+def _with_carried_marks(tokens: DataFrame) -> DataFrame:
+    """Add ``carried``: the marks of bold, emphasis and link that are open where a block begins.
+
+    A mark that holds whole blocks opens in one block and closes in a later one.
+    Per kind, ``u`` marks of a block are left open at its end and ``s`` close
+    what an earlier one opened. Running sums of these give the depth between
+    blocks, and the least depth from a block on tells whether what is open there
+    closes at all: a mark that nothing closes ends with its own block.
+    """
+    kinds = H.SPANNING
+    out = tokens.withColumns({f"{k}_ends": H.open_ends(F.col("text"), tags) for k, tags in kinds.items()})
+    out = out.withColumns(
+        {f"{k}_sum": F.sum(F.col(f"{k}_ends.u") - F.col(f"{k}_ends.s")).over(so_far()) for k in kinds}
+    )
+    # A close tag without an open one counts for nothing.
+    low = {k: F.col(f"{k}_sum") - F.col(f"{k}_ends.u") for k in kinds}
+    out = out.withColumns({f"{k}_floor": F.least(F.lit(0), F.min(low[k]).over(so_far())) for k in kinds})
+    out = out.withColumns(
+        {f"{k}_before": F.lag(F.col(f"{k}_sum") - F.col(f"{k}_floor"), 1, 0).over(by_page()) for k in kinds}
+        | {"open_link": F.last(F.when(F.col("link_ends.u") > 0, H.last_link(F.col("text"))), ignorenulls=True).over(before())}
+    )
+    out = out.withColumns(
+        {f"{k}_open": F.col(f"{k}_before") > F.min(low[k] - F.col(f"{k}_floor")).over(from_here()) for k in kinds}
+    )
+    carried = F.struct(
+        F.when(F.col("link_open"), F.col("open_link")).alias("link"),
+        F.col("bold_open").alias("bold"),
+        F.col("em_open").alias("em"),
+    )
+    steps = [f"{k}_{part}" for k in kinds for part in ("ends", "sum", "floor", "before", "open")]
+    return out.withColumn("carried", carried).drop("open_link", *steps)
+
+
 def _with_structure(tokens: DataFrame) -> DataFrame:
-    """Add code, quote and list context to each token."""
+    """Add code, quote and list context to each token, and the marks open before it."""
     by_list_depth = so_far("list_depth")
     is_list = F.col("tag").isin("ul", "ol", "menu") & ~F.col("close")
     is_item = (F.col("tag") == "li") & ~F.col("close")
@@ -54,6 +87,8 @@ def _with_structure(tokens: DataFrame) -> DataFrame:
                 "list_depth": _depth("list_steps"),
             }
         )
+        # Here rows are still in page order; the windows of lists need one of their own.
+        .transform(_with_carried_marks)
         .withColumns(
             {
                 "items": F.sum(F.when(is_item, 1).otherwise(0)).over(by_list_depth),
@@ -89,39 +124,6 @@ def _with_structure(tokens: DataFrame) -> DataFrame:
     )
 
 
-def _with_carried_marks(tokens: DataFrame) -> DataFrame:
-    """Add ``carried``: the marks of bold, emphasis and link that are open where a block begins.
-
-    A mark that holds whole blocks opens in one block and closes in a later one.
-    Per kind, ``u`` marks of a block are left open at its end and ``s`` close
-    what an earlier one opened. Running sums of these give the depth between
-    blocks, and the least depth from a block on tells whether what is open there
-    closes at all: a mark that nothing closes ends with its own block.
-    """
-    kinds = H.SPANNING
-    out = tokens.withColumns({f"{k}_ends": H.open_ends(F.col("text"), tags) for k, tags in kinds.items()})
-    out = out.withColumns(
-        {f"{k}_sum": F.sum(F.col(f"{k}_ends.u") - F.col(f"{k}_ends.s")).over(so_far()) for k in kinds}
-    )
-    # A close tag without an open one counts for nothing.
-    low = {k: F.col(f"{k}_sum") - F.col(f"{k}_ends.u") for k in kinds}
-    out = out.withColumns({f"{k}_floor": F.least(F.lit(0), F.min(low[k]).over(so_far())) for k in kinds})
-    out = out.withColumns(
-        {f"{k}_before": F.lag(F.col(f"{k}_sum") - F.col(f"{k}_floor"), 1, 0).over(by_page()) for k in kinds}
-        | {"open_link": F.last(F.when(F.col("link_ends.u") > 0, H.last_link(F.col("text"))), ignorenulls=True).over(before())}
-    )
-    out = out.withColumns(
-        {f"{k}_open": F.col(f"{k}_before") > F.min(low[k] - F.col(f"{k}_floor")).over(from_here()) for k in kinds}
-    )
-    carried = F.struct(
-        F.when(F.col("link_open"), F.col("open_link")).alias("link"),
-        F.col("bold_open").alias("bold"),
-        F.col("em_open").alias("em"),
-    )
-    steps = [f"{k}_{part}" for k in kinds for part in ("ends", "sum", "floor", "before", "open")]
-    return out.withColumn("carried", carried).drop("open_link", *steps)
-
-
 @reusable
 def _inline_markdown(text: str, base: str, carried: str) -> Column:
     return H.inline_markdown(F.col(text), F.coalesce(F.col(base), F.lit("")), F.col(carried))
@@ -191,7 +193,7 @@ def block_markdown(tokens: DataFrame) -> DataFrame:
         .otherwise(F.lit("\n\n"))
     )
     return (
-        _with_carried_marks(_with_structure(tokens))
+        _with_structure(tokens)
         .withColumn(
             "inline",
             F.when(F.col("in_code"), F.lit("")).otherwise(_inline_markdown("text", "final_url", "carried")),

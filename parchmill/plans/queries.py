@@ -371,6 +371,23 @@ def page_metadata(spark, sf_dir):
     return X.page_metadata(pages(spark, sf_dir))
 
 
+@query
+def stated_metadata(spark, sf_dir):
+    """Author, day and description in the forms a page may state them, around the number and words of each page."""
+    forms = [
+        '<meta name="author" content="A &amp; @"><meta property="article:published_time" content="2025-03-#T22:10:00-08:00">'
+        '<meta name=description content=" About  @ "><meta property="og:description" content="other">',
+        '<meta property=article:author content="Guild @"><meta name="date" content="2024-11-#"><meta property="og:description" content="Og &quot;@&quot;">',
+        '<title>T@</title><p class="lead byline">By <b>@</b></p><time datetime="2023-07-#T01:02:03Z">then</time>',
+        '<meta name="date" content="the #th of May"><meta name="author" content=""><div class="bylines">no @</div>',
+    ]
+    kind, day = F.col("page_id") % 4, F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
+    form = F.get(F.array(*map(F.lit, forms)), kind.cast("int"))
+    head = F.replace(F.replace(form, F.lit("@"), F.col("page_id").cast("string")), F.lit("#"), day)
+    stated = F.concat(F.lit("<html><head>"), head, F.lit("</head>"), F.regexp_replace("html", r"(?is)^.*?(?=<body\b|\z)|<meta\b[^>]*>", ""))
+    return X.page_metadata(pages(spark, sf_dir).withColumn("html", stated)).select("page_id", "author", "publish_date", "description")
+
+
 @query
 def extract_fallback(spark, sf_dir):
     """Every page; every page without its containers, so also without a body; and a page of a few words each."""
