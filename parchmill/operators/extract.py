@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 from parchmill.functions import html as H
 from parchmill.functions.binding import let, reusable
 from parchmill.operators.membership import likely
-from parchmill.operators.windows import PAGE, by_page, numbered, so_far, whole_page
+from parchmill.operators.windows import PAGE, before, by_page, numbered, so_far, whole_page
 
 # Tags matched as containers, and those that can hold the article.
 CONTAINER_TAGS = ["article", "main", "section", "div", "td", "body", "nav", "aside", "footer", "header"]
 CANDIDATE_TAGS = ["article", "main", "section", "div", "td", "body"]
 BOILERPLATE_TAGS = ["nav", "aside", "footer", "header"]
 BOILERPLATE_CLASS = r"(?i)(?:^|[^a-z])(?:ads?|advert[a-z]*|promo[a-z]*|related|shar(?:e|ing)|comments?)(?:[^a-z]|$)"
+# A header in one of these is the head of an article and not of the site.
+ARTICLE_TAGS = ["article", "main", "section"]
+# A div whose class reads like noise is content all the same with more than this share of the page's text.
+MOST_TEXT = 0.75
 # Form and head elements whose text is never content.
 SILENT_TAGS = ["title", "head", "textarea", "select", "option", "button"]
 MIN_BLOCK_BYTES = 25
@@ -152,10 +156,11 @@ def _measured(name: str) -> Column:
     return let(blocks, totals)
 
 
-def match_containers(tokens: DataFrame) -> DataFrame:
-    """Add ``mate`` (position of the matching close or open tag) and ``noise``.
+def match_containers(tokens: DataFrame, *looked_up: str) -> DataFrame:
+    """Add ``mate`` (position of the matching close or open tag) and ``noise``, which goes by tag and class alone.
 
-    The running count of open minus closed tags of a kind is their nesting
+    Of the columns ``looked_up`` the values at the matching tag are added as
+    ``mate_...``. The running count of open minus closed tags of a kind is their nesting
     level; within one level opens and closes alternate, so the neighbour at the
     same level is the match. A stray close tag has no mate, an unclosed
     container none either.
@@ -163,6 +168,12 @@ def match_containers(tokens: DataFrame) -> DataFrame:
     is_container = F.col("tag").isin(CONTAINER_TAGS)
     step = F.when(~is_container, 0).when(F.col("close"), -1).otherwise(1)
     by_level = Window.partitionBy(*PAGE, "tag", "level").orderBy("pos")
+
+    def at_mate(name: str) -> Column:
+        opened = ~F.lag("close").over(by_level)
+        there = F.when(~F.col("close"), F.lead(name).over(by_level)).when(opened, F.lag(name).over(by_level))
+        return F.when(is_container, there)
+
     opens_noise = F.col("tag").isin(BOILERPLATE_TAGS) | (
         (F.col("tag") == "div") & H.raw_attribute(F.col("attrs"), "class").rlike(BOILERPLATE_CLASS)
     )
@@ -173,15 +184,7 @@ def match_containers(tokens: DataFrame) -> DataFrame:
             F.sum(step).over(so_far("tag"))
             + F.when(is_container & F.col("close"), 1).otherwise(0),
         )
-        .withColumn(
-            "mate",
-            F.when(
-                is_container,
-                F.when(~F.col("close"), F.lead("pos").over(by_level)).when(
-                    ~F.lag("close").over(by_level), F.lag("pos").over(by_level)
-                ),
-            ),
-        )
+        .withColumns({f"mate_{name}".removesuffix("_pos"): at_mate(name) for name in ("pos", *looked_up)})
         .withColumn(
             "noise",
             F.when(F.col("close"), F.col("mate").isNotNull() & F.lag("noise").over(by_level)).otherwise(F.col("noise")),
@@ -207,17 +210,42 @@ def containers(tokens: DataFrame) -> DataFrame:
 
 
 def mark_boilerplate(tokens: DataFrame) -> DataFrame:
-    """Add ``dropped``: the token lies in a boilerplate container.
+    """Add ``mate``, ``noise`` and ``dropped``: the token lies in a boilerplate container.
 
-    The text after the closing tag already belongs to the outside.
+    The text after the closing tag already belongs to the outside. Two kinds of
+    container only look like noise. A ``div`` marked by its class holds the
+    page if it has more than three quarters of the visible text (a wrapper
+    ``site has-ads``, a ``post comments-open``). A ``header`` in an article,
+    ``main`` or section holds its headline.
     """
-    matched = match_containers(tokens)
-    step = F.when(~F.col("noise"), 0).when(F.col("close"), -1).otherwise(1)
-    return matched.withColumn("dropped", F.sum(step).over(so_far()) > 0)
+    size = F.col("text_bytes") if "text_bytes" in tokens.columns else _token_bytes()
+    sized = tokens.withColumn("bytes", size).withColumns(
+        {"read": F.coalesce(F.sum("bytes").over(before()), F.lit(0)), "page_bytes": F.sum("bytes").over(whole_page())}
+    )
+    is_open = ~F.col("close")
+    held = F.when(is_open, F.coalesce("mate_read", "page_bytes") - F.col("read")).otherwise(F.col("read") - F.col("mate_read"))
+    holds_page = (F.col("tag") == "div") & (held > F.col("page_bytes") * MOST_TEXT)
+    step = F.when(~F.col("tag").isin(ARTICLE_TAGS), 0).when(is_open, 1).when(F.col("mate").isNotNull(), -1).otherwise(0)
+    heads_article = (F.col("tag") == "header") & is_open & (F.col("articles") > 0)
+    ends = F.when(F.col("noise") & is_open, F.coalesce("mate", F.lit(1 << 62)))
+    return (
+        match_containers(sized, "read")
+        .withColumn("noise", F.col("noise") & ~F.coalesce(holds_page, F.lit(False)))
+        .withColumn("articles", F.coalesce(F.sum(step).over(before()), F.lit(0)))
+        .withColumn("noise", F.col("noise") & ~heads_article)
+        .withColumn("dropped", F.coalesce(F.max(ends).over(so_far()) > F.col("pos"), F.lit(False)))
+        .drop("bytes", "read", "page_bytes", "mate_read", "articles")
+    )
+
+
+def _token_bytes() -> Column:
+    """Visible bytes behind the tag of a token that carries its text."""
+    silent = F.col("tag").isin(SILENT_TAGS) & ~F.col("close")
+    return F.when(silent, 0).otherwise(F.octet_length(F.trim(F.regexp_replace("text", r"\s+", " "))))
 
 
 def drop_boilerplate(tokens: DataFrame) -> DataFrame:
-    """Tokens outside navigation, asides, headers, footers and ad-like divs."""
+    """Tokens outside navigation, asides, site headers, footers and ad-like divs."""
     return mark_boilerplate(tokens).filter(~F.col("dropped")).drop("noise", "mate", "dropped")
 
 

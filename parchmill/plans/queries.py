@@ -388,6 +388,24 @@ def stated_metadata(spark, sf_dir):
     return X.page_metadata(pages(spark, sf_dir).withColumn("html", stated)).select("page_id", "author", "publish_date", "description")
 
 
+@query
+def noise_by_share(spark, sf_dir):
+    """Pages whose wrapper, article or headline is marked like noise, and pages with comments that are."""
+    body, html = r"(?i)<body[^>]*>", F.col("html")
+    site = '<body><header><h1>Site of all pages, with a long name</h1></header>'
+    head = F.concat(F.lit("<article><header><h2>Head of "), F.col("page_id").cast("string"), F.lit("</h2>"))
+    commented = F.replace(html, F.lit("<article>"), F.lit('<div class="post comments-open"><article>'))
+    headed = F.replace(F.regexp_replace(html, body, site), F.lit("<article>"), head)
+    forms = [
+        F.regexp_replace(html, body, '<body><div class="site has-ads">'),
+        F.replace(commented, F.lit("</article>"), F.lit("</article></div>")),
+        F.replace(headed, F.lit("</h1><p>"), F.lit("</h1></header><p>")),
+        F.concat(html, F.lit('<div class="comments"><p>One comment</p></div>')),
+    ]
+    landed = pages(spark, sf_dir).withColumn("html", F.get(F.array(*forms), (F.col("page_id") % 4).cast("int")))
+    return X.main_html(landed).select("page_id", "fallback", "main_html")
+
+
 @query
 def extract_fallback(spark, sf_dir):
     """Every page; every page without its containers, so also without a body; and a page of a few words each."""
