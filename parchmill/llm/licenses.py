@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +33,8 @@ class State:
     length: int
     link: int
     step: dict[int, int] = field(default_factory=dict)
-    # For each text that holds the state's strings: the last position of one place.
-    places: dict[int, int] = field(default_factory=dict)
+    # For each text that holds the state's strings: the last position of every place.
+    places: dict[int, tuple[int, ...]] = field(default_factory=dict)
     # Phrases that end here: (length, phrase).
     phrases: list[tuple[int, int]] = field(default_factory=list)
 
@@ -49,7 +50,7 @@ class SuffixAutomaton:
             last = 0
             for at, word in enumerate(text):
                 last = self._extend(last, word)
-                self.states[last].places.setdefault(t, at)
+                self.states[last].places[t] = (*self.states[last].places.get(t, ()), at)
         self._spread(phrases)
 
     def _extend(self, last: int, word: int) -> int:
@@ -71,7 +72,7 @@ class SuffixAutomaton:
     def _clone(self, at: int, word: int, goal: int) -> int:
         states = self.states
         old = states[goal]
-        states.append(State(states[at].length + 1, old.link, dict(old.step), dict(old.places)))
+        states.append(State(states[at].length + 1, old.link, dict(old.step)))
         new = len(states) - 1
         old.link = new
         while at >= 0 and states[at].step.get(word) == goal:
@@ -83,10 +84,11 @@ class SuffixAutomaton:
         """Places go up the suffix links; phrases down them."""
         order = sorted(range(1, len(self.states)), key=lambda s: self.states[s].length)
         for s in reversed(order):
-            for text, at in self.states[s].places.items():
-                link = self.states[s].link
-                if link > 0:
-                    self.states[link].places.setdefault(text, at)
+            link = self.states[s].link
+            if link > 0:
+                up = self.states[link].places
+                for text, ends in self.states[s].places.items():
+                    up[text] = tuple(sorted({*up.get(text, ()), *ends}))
         for p in range(phrases):
             s = 0
             for word in self.texts[p]:
@@ -160,35 +162,68 @@ class Scanner:
         return Found(len(words), sorted(places), self._chain(matches))
 
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-        """Chain matches that follow each other in the text and in one notice, and measure what they cover."""
-        open_: dict[int, list] = {}
-        spans = []
-
-        def close(notice: int) -> None:
-            begin, end, covered, _ = open_.pop(notice)
-            share = min(1.0, covered / self.lengths[notice])
-            if share >= LEAST_COVER:
-                spans.append((begin, end, self.names[notice], share))
-
+        """The spans of each notice: its heaviest chains of matches that follow each other in text and notice.
+
+        Every place of a match in the notice is a link; one continues another if
+        it begins within ``MOST_GAP`` words of its end and ends later in text and
+        notice. Chains that cover enough become spans, heaviest first, among
+        equals the one that ends first; a chain that runs into a span keeps
+        what lies behind it. So notices quoted in a row are a span each.
+        """
+        links: dict[int, list[tuple[int, int, int]]] = {}  # notice: first word, end, end in the notice
         for begin, end, state in matches:
-            for notice, last in self.automaton.states[state].places.items():
-                if notice < len(self.phrases):
+            for notice, ends in self.automaton.states[state].places.items():
+                if notice >= len(self.phrases):
+                    links.setdefault(notice, []).extend((begin, end, last + 1) for last in ends)
+        spans = []
+        for notice, found in links.items():
+            found.sort()
+            covers, before = _chains(found)
+            need = LEAST_COVER * self.lengths[notice]
+            heavy = sorted((i for i, c in enumerate(covers) if c >= need), key=lambda i: (-covers[i], i))
+            taken: list[tuple[int, int]] = []
+            for i in heavy:
+                begin, end, last = found[i]
+                at = bisect_right(taken, (begin, end))
+                free = taken[at - 1][1] if at else 0
+                if begin < free or (at < len(taken) and end > taken[at][0]):
                     continue
-                chain = open_.get(notice)
-                first = last - (end - begin) + 1
-                if chain is not None and (begin - chain[1] > MOST_GAP or last <= chain[3]):
-                    close(notice)
-                    chain = None
-                if chain is None:
-                    open_[notice] = [begin, end, end - begin, last]
-                else:
-                    overlap = max(0, chain[1] - begin, chain[3] + 1 - first)
-                    chain[1], chain[2], chain[3] = end, chain[2] + max(0, end - begin - overlap), last
-        for notice in list(open_):
-            close(notice)
+                covered, first = end - begin, last - (end - begin)
+                at = before[i]
+                while at >= 0 and found[at][0] >= free:
+                    covered += found[at][1] - found[at][0] - max(0, found[at][1] - begin, found[at][2] - first)
+                    begin, first = found[at][0], found[at][2] - (found[at][1] - found[at][0])
+                    at = before[at]
+                if covered >= need:
+                    insort(taken, (begin, end))
+                    spans.append((begin, end, self.names[notice], min(1.0, covered / self.lengths[notice])))
         return sorted(spans)
 
 
+def _chains(links: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """For each of ``links`` (first word, end, end in the notice; sorted): words covered by the heaviest chain that
+    ends there, and the link before it in that chain (-1: none).
+
+    A link looks back over those that overlap it or end within ``MOST_GAP``
+    words before it. Matches are maximal, so ends rise with beginnings and the
+    search stops at the first that ends too early: the work is that of a few
+    neighbours a link, however long the text.
+    """
+    covers, before = [], []
+    for i, (begin, end, last) in enumerate(links):
+        best, via = end - begin, -1
+        for j in range(i - 1, -1, -1):
+            _, other_end, other_last = links[j]
+            if begin - other_end > MOST_GAP:
+                break
+            fresh = end - begin - max(0, other_end - begin, other_last - (last - (end - begin)))
+            if other_end < end and other_last < last and fresh > 0 and covers[j] + fresh > best:
+                best, via = covers[j] + fresh, j
+        covers.append(best)
+        before.append(via)
+    return covers, before
+
+
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
     "score double, spans array<struct<first_word:long,end_word:long,notice:string,covered:double>>"
@@ -200,12 +235,14 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
 
     n_base counts the places of the phrases, first_word and last_word are the
     smallest and largest word they start at (null without one). ``spans`` are
-    runs of words covered by chained matches of a notice, ``labels`` the phrases'
+    runs of words covered by the heaviest chains of matches of a notice, ``labels`` the phrases'
     and the notices' names, ``score`` the largest share of a notice covered, and
     1 where a phrase is found whole.
 
-    Null and empty texts have no words, no labels and score 0. Each row stands
-    on its own: repeated rows give equal rows, an empty table none.
+    Null and empty texts have no words, no labels and score 0. Texts are read
+    whole, however long; of equally heavy chains the first counts. Other columns
+    are not read, whatever their names. Each row stands on its own: repeated
+    rows give equal rows, an empty table none.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

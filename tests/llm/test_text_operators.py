@@ -368,8 +368,67 @@ def test_matching_statistics(texts, words):
     got = list(automaton.statistics(words))
     assert [n for n, _ in got] == brute_statistics(texts, words)
     for i, (n, state) in enumerate(got, start=1):
-        for text, last in automaton.states[state].places.items():
-            assert n == 0 or texts[text][last + 1 - n : last + 1] == words[i - n : i]
+        if n == 0:
+            continue
+        run = words[i - n : i]
+        places = {t: tuple(e for e in range(n - 1, len(text)) if text[e + 1 - n : e + 1] == run) for t, text in enumerate(texts)}
+        assert automaton.states[state].places == {t: ends for t, ends in places.items() if ends}
+
+
+def brute_chain(links):
+    """The heaviest chain by trying every one."""
+    best = 0
+    stack = [(end - begin, (begin, end, last)) for begin, end, last in links]
+    while stack:
+        covered, (b, e, at) = stack.pop()
+        best = max(best, covered)
+        for begin, end, last in links:
+            fresh = end - begin - max(0, e - begin, at - (last - (end - begin)))
+            if (begin, end) > (b, e) and begin - e <= licenses.MOST_GAP and end > e and last > at and fresh > 0:
+                stack.append((covered + fresh, (begin, end, last)))
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(4, 7), st.lists(st.integers(7, 30), min_size=1, max_size=2)), max_size=6))
+def test_heaviest_chain(drawn):
+    links, begin, end = [], 0, 0
+    for step, size, places in drawn:
+        # Like matching statistics: neither of two matches lies in the other.
+        begin = begin + 1 + step
+        end = max(end + 1, begin + size)
+        links += [(begin, end, last + end - begin) for last in places]
+    links = sorted(set(links))
+    covers, before = licenses._chains(links)
+    assert max(covers, default=0) == brute_chain(links)
+    for i, j in enumerate(before):
+        if j >= 0:
+            a, b = links[j], links[i]
+            assert a[1] < b[1] and a[2] < b[2] and b[0] - a[1] <= licenses.MOST_GAP
+
+
+def test_a_notice_keeps_its_label_with_any_words_changed():
+    from parchmill.llm.license_texts import NOTICES
+
+    scanner = licenses.Scanner()
+    for name, notice in NOTICES.items():
+        words = notice.split()
+        if len(words) < 20:
+            continue
+        rng = np.random.default_rng(len(words))
+        for at in range(len(words)):
+            one = [*words[:at], "xylophone", *words[at + 1 :]]
+            assert name in {s[2] for s in scanner.scan(" ".join(one)).spans}, (name, at)
+        for _ in range(100):
+            a, b = rng.integers(0, len(words), 2)
+            two = [w if i not in (a, b) else "xylophone" for i, w in enumerate(words)]
+            assert name in {s[2] for s in scanner.scan(" ".join(two)).spans}, (name, a, b)
+    bsd = NOTICES["bsd-text"].split()
+    again = " ".join(bsd).replace("made", "").rsplit("this list of", 1)
+    edited = again[0].rsplit(" ", 2)[0] + " zebra this list of" + again[1].replace("and/or", "zebra")
+    assert "bsd-text" in {s[2] for s in scanner.scan(edited).spans}
+    many = [s for s in scanner.scan(" ".join([edited] * 300)).spans if s[2] == "bsd-text"]
+    assert len(many) == 300 and all(a[1] <= b[0] for a, b in zip(many, many[1:], strict=False))
 
 
 def test_license_spans_and_odd_rows(spark, odd, empty):
