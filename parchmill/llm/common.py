@@ -27,6 +27,17 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), ROWS_AT_ONCE):
             yield batch.slice(at, ROWS_AT_ONCE)
+    # The worker lives on for other tasks: it need not keep what this one's batches took.
+    pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand at most 4 MB of rows at once to Python, or one row if that is larger.
+
+    By default a batch may have 64 MB; with long texts its copies in the JVM, in
+    flight and in Python add up to more than the task's own data.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

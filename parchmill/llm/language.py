@@ -16,6 +16,12 @@ from parchmill.llm.common import sliced
 FIT_ROWS = 2000
 FEATURES = 8192
 CENTROIDS = 4
+# A text is rejected under so much of what nearly all texts of its language reach: short
+# texts of a known language with a foreign line in them come to a third, other languages
+# without common words to a quarter at most.
+SLACK = 0.3
+# Texts of one length, a power of 2 of n-grams, say what is usual if there are so many.
+FEWEST_OF_LENGTH = 5
 UNKNOWN = "und"
 
 # Texts are read in slices of so many characters; slices overlap by a trigram's worth.
@@ -85,7 +91,10 @@ class Centroids:
     owner: np.ndarray  # language of each centroid
     vectors: np.ndarray
     idf: np.ndarray
-    least: np.ndarray  # per language, the similarity under which a text is rejected
+    # The usual cosine of a text of so many n-grams: logarithms to base 2, and cosines.
+    lengths: np.ndarray
+    usual: np.ndarray
+    least: np.ndarray  # per language, the share of the usual cosine under which a text is rejected
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         """Turn counts (float32) into unit TF-IDF vectors where they stand."""
@@ -100,6 +109,18 @@ class Centroids:
         best = cosines.argmax(axis=1)
         return self.owner[best], np.clip(cosines[np.arange(len(best)), best], 0, 1)
 
+    def share(self, cosine: np.ndarray, n_grams: np.ndarray) -> np.ndarray:
+        """Cosines as shares of what is usual for texts of so many distinct n-grams.
+
+        Short texts are further from any centroid than long ones. Below the
+        shortest length known the usual cosine falls with the root of the length.
+        """
+        at = np.log2(np.maximum(n_grams, 1))
+        if not len(self.lengths):
+            return np.ones_like(cosine)
+        below = np.exp2(np.minimum(at - self.lengths[0], 0) / 2)
+        return cosine / np.maximum(np.interp(at, self.lengths, self.usual) * below, 1e-12)
+
 
 def _cluster(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     """Spherical k-means from far-apart seeds: at most ``k`` unit centroids."""
@@ -117,14 +138,16 @@ def _cluster(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 COUNTS = "lang string, counts binary"
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, slack: float = 0.2) -> Centroids | None:
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, slack: float = SLACK) -> Centroids | None:
     """Learn centroids from the labelled rows of ``docs`` outside the held-out fold.
 
     Uses ``fit_rows`` rows at most, the same number of each language where it has
-    that many, chosen by a hash of the id. Four fifths make the inverse document
-    frequencies and centroids; on the rest, a language's rejection limit is
-    ``slack`` times the similarity that all but one in 200 of its texts reach.
-    Texts without letters teach nothing. None if there is nothing to learn from.
+    that many, chosen by a hash of the id (rows without one share it). Four
+    fifths make the inverse document frequencies and centroids. The rest is held
+    back for the limits: the median cosine of each length, and per language
+    ``slack`` times the share of it that all but one in 200 of its texts reach.
+    A language of which nothing is held back rejects nothing. Texts without
+    letters teach nothing. None if there is nothing to learn from.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", "doc_id")
     per_language = labelled.groupBy("lang").count()
@@ -149,14 +172,23 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS, s
     counts = unpacked([bytes(r["counts"]) for r in sample])
     for_limits = np.arange(len(sample)) % 5 == 4
     idf = np.log((1 + len(sample)) / (1 + (counts[~for_limits] > 0).sum(axis=0))).astype(np.float32)
-    model = Centroids(languages, np.zeros(0, int), np.zeros((0, FEATURES), np.float32), idf, np.zeros(len(languages)))
+    none = np.zeros(0)
+    model = Centroids(languages, none.astype(int), np.zeros((0, FEATURES), np.float32), idf, none, none, np.zeros(len(languages)))
+    n_grams = (counts > 0).sum(axis=1)
     vectors = model.weigh(counts)
     made = [_cluster(vectors[(owner == i) & ~for_limits] if ((owner == i) & ~for_limits).any() else vectors[owner == i], centroids) for i in range(len(languages))]
     model.vectors = np.concatenate(made).astype(np.float32)
     model.owner = np.repeat(np.arange(len(languages)), [len(m) for m in made])
     found, cosine = model.nearest(vectors)
+    right = for_limits & (found == owner)
+    length = np.floor(np.log2(np.maximum(n_grams, 1)))
+    alike = [right & (length == x) for x in np.unique(length[right])]
+    alike = [rows for rows in alike if rows.sum() >= FEWEST_OF_LENGTH] or ([right] if right.any() else [])
+    model.lengths = np.asarray([np.median(np.log2(n_grams[rows])) for rows in alike])
+    model.usual = np.asarray([np.median(cosine[rows]) for rows in alike])
+    share = model.share(cosine, n_grams)
     for i in range(len(languages)):
-        own = cosine[(owner == i) & (found == i)]
+        own = share[right & (owner == i)]
         model.least[i] = slack * np.quantile(own, 0.005) if len(own) else 0.0
     return model
 
@@ -167,8 +199,11 @@ def identify(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = (
     Reads whole texts, and of a row nothing but its text. ``lang_pred`` is the
     language of the nearest centroid and ``score`` its cosine. A text that is
     null or has no letter, or any if nothing was learned, is ``und`` with 0.
-    ``rejected``: ``und``, or further from its centroid than the language's limit.
-    Equal texts get equal answers; an empty table gives no rows.
+    Of centroids at the same cosine the first counts, languages in code-point
+    order. ``rejected``: ``und``, or further from its centroid than the
+    language's limit for texts of that length. Texts are read whole, however
+    long, and other columns kept as they are, whatever their names. Equal texts
+    get equal answers; an empty table gives no rows.
     """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +213,12 @@ def identify(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = (
             known = [i for i, t in enumerate(texts) if t and model is not None and has_letter(t)]
             for at in range(0, len(known), rows_at_once):
                 part = known[at : at + rows_at_once]
-                found, cosine = model.nearest(model.weigh(np.stack([ngram_counts(texts[i]) for i in part]).astype(np.float32)))
-                for i, language, score in zip(part, found.tolist(), cosine.tolist(), strict=True):
-                    names[i], scores[i], out[i] = model.languages[language], score, score < model.least[language]
+                counts = np.stack([ngram_counts(texts[i]) for i in part]).astype(np.float32)
+                n_grams = (counts > 0).sum(axis=1)
+                found, cosine = model.nearest(model.weigh(counts))
+                far = model.share(cosine, n_grams) < model.least[found]
+                for i, language, score, is_far in zip(part, found.tolist(), cosine.tolist(), far.tolist(), strict=True):
+                    names[i], scores[i], out[i] = model.languages[language], score, is_far
             answer = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *answer], names=["doc", "lang_pred", "score", "rejected"])
 

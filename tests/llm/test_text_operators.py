@@ -458,7 +458,7 @@ def test_language_of_held_out_rows(spark, odd, empty):
         rows.append((i, " ".join(rng.choice(stock[lang], int(rng.integers(3, 60)))), lang, None))
     rows += [(1000, "Русский текст совсем другой", None, None), (1001, "12 34 !?", "aa", None), (1002, None, "aa", None)]
     docs = frame(spark, rows)
-    model = language.fit(docs, slack=0.5)
+    model = language.fit(docs)
     found = language.identify(docs, model).select("doc.doc_id", "doc.lang", "lang_pred", "score", "rejected").collect()
     assert all(r.lang_pred == r.lang for r in found if r.doc_id < 400) and not any(r.rejected for r in found if r.doc_id < 400)
     other = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in found if r.doc_id > 1000}
@@ -470,6 +470,40 @@ def test_language_of_held_out_rows(spark, odd, empty):
     assert language.fit(empty) is None and language.identify(empty, model).count() == 0
 
 
+@pytest.mark.parametrize("left_out", ["de", "es"])
+def test_left_out_language_is_rejected(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(F.col("lang") != left_out))
+    found = language.identify(docs, model).select("doc.*", "rejected", language.held_out(F.col("doc.doc_id")).alias("unseen"))
+    rows = [r for r in found.collect() if r.text and language.has_letter(r.text)]
+    # Of the language left out nothing was learned in any fold.
+    other = [r.rejected for r in rows if r.lang == left_out]
+    known = [r.rejected for r in rows if r.lang != left_out and r.unseen]
+    assert len(other) > 100 and sum(other) >= 0.9 * len(other)
+    assert len(known) > 150 and sum(known) <= 0.01 * len(known)
+
+
+def brute_prediction(model, text):
+    """Cosine to each centroid with dictionaries, n-gram by n-gram."""
+    counts = language.ngram_counts(text)
+    weights = {int(f): np.log1p(float(counts[f])) * float(model.idf[f]) for f in np.flatnonzero(counts)}
+    norm = sum(w * w for w in weights.values()) ** 0.5
+    cosines = [sum(w * float(v[f]) for f, w in weights.items()) / max(norm, 1e-12) for v in model.vectors]
+    best = max(range(len(cosines)), key=lambda i: (cosines[i], -i))
+    return model.languages[model.owner[best]], cosines[best]
+
+
+def test_prediction_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    for row in language.identify(docs, model).select("doc.text", "lang_pred", "score").collect():
+        if row.text and language.has_letter(row.text):
+            lang, score = brute_prediction(model, row.text)
+            assert abs(score - row.score) < 1e-4 and row.lang_pred == lang
+        else:
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+
+
 def test_ngram_counts_of_slices(monkeypatch):
     text = "Abc déf 12 ghi " * 50
     whole = language.ngram_counts(text)
