@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parchmill.llm import exact, jaccard, language, mixing, packing
-from parchmill.llm.common import staged, table
+from parchmill.llm.common import small_batches, staged, table
 from parchmill.llm.queries import END_ID, ROOM, VOCABULARY
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, and those far from every language, go."""
+    small_batches(spark)
     found = language.identify(docs, language.fit(docs))
     return found.filter("not rejected").select("doc.*")
 
@@ -38,6 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences."""
+    small_batches(spark)
     return packing.pack(docs, VOCABULARY, ROOM, END_ID)
 
 
