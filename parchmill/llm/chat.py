@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]  # role, text
 Template = Callable[[list[Turn]], str]
 
-# For templates that put out one turn after the other, whatever stands before: a turn is
-# rendered after at most so many turns before it, the first and the last ones.
-CONTEXT_TURNS = 16
+# Conversations are rendered whole after each of so many turns, and then whenever they have doubled.
+STEP_TURNS = 16
 
 # The control strings of the template below.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -72,10 +71,9 @@ class Renderer:
 
     Only the outputs are looked at, and each turn is rendered after all turns
     before it: right for any template, with work that grows with the square of
-    a conversation's length and the conversation in memory. For a template known
-    to look at no more than the first and the last of the turns before,
-    ``context`` together, that is all it is given: the work per turn and the
-    memory stay the same however long a conversation grows.
+    a conversation's length. With ``context`` a turn is rendered after the first
+    and the last of the turns before, so many together: a guess at its piece
+    that ``Conversation`` holds against whole renderings.
     """
 
     def __init__(self, template: Template, context: int | None = None):
@@ -106,6 +104,71 @@ class Renderer:
         return piece
 
 
+def _adds_up(whole: str, said: str, pieces: list[Piece]) -> bool:
+    """Is ``whole`` what was ``said`` and the pieces, one after another?"""
+    at = len(said)
+    if not whole.startswith(said):
+        return False
+    for piece in pieces:
+        if piece.rewrites or not whole.startswith(piece.text, at):
+            return False
+        at += len(piece.text)
+    return at == len(whole)
+
+
+class Conversation:
+    """The pieces of one conversation's turns, settled in stretches.
+
+    Up to ``STEP_TURNS`` turns every prefix is rendered as it is. Then turns are
+    rendered in a short context, and the whole prefix whenever the conversation
+    has doubled and at its end. If that is the rendering settled before and the
+    pieces since, they stand; if not, each prefix of the stretch is rendered
+    whole and compared with the one before. So a template that puts out turn
+    after turn costs a few times its output, and one that looks further back (it
+    counts turns, or rewrites what is long past) costs the square of the
+    conversation in stretches that show it, with the same pieces as without
+    stretches. Unseen stays only a rewrite of what is over a context back that
+    the template itself has undone by the end of the stretch.
+
+    Memory holds the conversation and its rendering, which the template needs whole.
+    """
+
+    def __init__(self, template: Template):
+        self.template = template
+        self.steps = Renderer(template, STEP_TURNS)
+        self.turns: list[Turn] = []
+        self.said = self.steps.before
+        self.open: list[tuple[tuple, Piece]] = []
+        self.check_at = 2 * STEP_TURNS
+
+    def add(self, key: tuple, turn: Turn) -> list[tuple[tuple, Piece]]:
+        """The turns that this one settles, under the keys they came with."""
+        self.open.append((key, self.steps.add(turn)))
+        self.turns.append(turn)
+        if len(self.turns) <= STEP_TURNS:
+            self.said = self.steps.before
+            settled, self.open = self.open, []
+            return settled
+        if len(self.turns) < self.check_at:
+            return []
+        self.check_at *= 2
+        return self.settle()
+
+    def settle(self) -> list[tuple[tuple, Piece]]:
+        if not self.open:
+            return []
+        whole = self.template(self.turns)
+        pieces = [piece for _, piece in self.open]
+        if not _adds_up(whole, self.said, pieces):
+            exact = Renderer(self.template)
+            exact.turns, exact.before = self.turns[: -len(pieces)], self.said
+            pieces = [exact.add(turn) for turn in self.turns[-len(pieces) :]]
+        self.said = whole
+        settled = [(key, piece) for (key, _), piece in zip(self.open, pieces, strict=True)]
+        self.open = []
+        return settled
+
+
 SPANS = "conv_id long, turn long, position long, role string, piece string, text_begin long, text_end long, rewrites boolean"
 
 
@@ -121,36 +184,40 @@ def _ordered(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions(*order)
 
 
-def _stream(batches: Iterator[pa.RecordBatch], template: Template, context: int | None) -> Iterator[tuple]:
-    """(conv_id, turn, position, role, piece) in order; position 0 begins a conversation."""
-    now, renderer, position = object(), None, 0
+def _stream(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[tuple[tuple, Piece]]:
+    """((conv_id, turn, position, role), piece) in order; position 0 begins a conversation."""
+    now, talk, position = object(), None, 0
     for batch in batches:
         for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if renderer is None or conv != now:
-                now, renderer, position = conv, Renderer(template, context), 0
-            yield conv, turn, position, role, renderer.add((role, text))
+            if talk is None or conv != now:
+                if talk is not None:
+                    yield from talk.settle()
+                now, talk, position = conv, Conversation(template), 0
+            yield from talk.add((conv, turn, position, role), (role, text))
             position += 1
+    if talk is not None:
+        yield from talk.settle()
 
 
-def format_turns(conversations: DataFrame, template: Template = marked_turns, context: int | None = None) -> DataFrame:
+def format_turns(conversations: DataFrame, template: Template = marked_turns) -> DataFrame:
     """Each turn's part of its conversation's rendering, and the span of its text in it.
 
     Input: conv_id, turn, role, text. Output: conv_id, turn, position, role,
     piece, text_begin, text_end (in the piece), rewrites. Pieces in the order of
     position are the rendering. ``rewrites`` tells that the template changed
     what it had put out before this turn; the piece is then what follows the
-    part that stayed. ``context`` is for templates known to look at few turns
-    (``Renderer``); without it every turn is rendered after all before it.
+    part that stayed. How prefixes are rendered is told at ``Conversation``.
 
     Null roles and texts are empty. Turns are in order of turn (null last), role
     and text, so repeated rows stay, next to each other. Rows without conv_id
-    are one conversation. An empty table gives no rows.
+    are one conversation. Texts are whole, however long. Further columns are left
+    out, whatever their names. An empty table gives no rows.
     """
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for conv, turn, position, role, piece in _stream(batches, template, context):
-            rows.append((conv, turn, position, role, piece.text, piece.begin, piece.end, piece.rewrites))
+        for key, piece in _stream(batches, template):
+            rows.append((*key, piece.text, piece.begin, piece.end, piece.rewrites))
             if len(rows) == 1000:
                 yield _batch(rows, SPANS)
                 rows = []
@@ -178,15 +245,14 @@ def conversation_digests(
     read_back: Callable[[str], Turn] = read_marked,
     plain: Callable[[str], str] = unescape,
     loss_role: str = "assistant",
-    context: int | None = None,
 ) -> DataFrame:
     """One row per conversation, read back from what the template put out.
 
     turns_sha256: role, line end, text, line end of each turn, as parsed from its
     piece. loss_chars, loss_sha256: the text spans of ``loss_role`` turns, made
-    plain. formatted_chars: the whole rendering. Conversations are hashed as
-    they stream by, turn after turn; with a ``context`` (``Renderer``) one of any
-    length takes the memory of that, without it that of its turns. Same rules for nulls, ties and repeated rows as ``format_turns``.
+    plain. formatted_chars: the whole rendering. rewrites: the template changed
+    what it had put out, at any turn. Same rules for nulls, ties, repeated rows,
+    long texts and further columns as ``format_turns``.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +263,7 @@ def conversation_digests(
             conv, n, turns, chars, loss, length, rewrites = state
             return conv, n, turns.hexdigest(), chars, loss.hexdigest(), length, rewrites
 
-        for conv, _, position, _, piece in _stream(batches, template, context):
+        for (conv, _, position, _), piece in _stream(batches, template):
             if position == 0:
                 if state is not None:
                     rows.append(close())

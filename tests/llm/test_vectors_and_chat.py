@@ -115,10 +115,9 @@ def digests_by_hand(rows):
     return out
 
 
-@pytest.mark.parametrize("context", [3, 16])
-def test_digests_read_back(spark, context):
+def test_digests_read_back(spark):
     docs = turns(spark, ODD).repartition(5)
-    got = {r.conv_id: tuple(r) for r in chat.conversation_digests(docs, context=context).collect()}
+    got = {r.conv_id: tuple(r) for r in chat.conversation_digests(docs).collect()}
     assert got == digests_by_hand(ODD)
     assert chat.conversation_digests(docs.limit(0)).count() == 0
 
@@ -178,3 +177,64 @@ def test_templates_see_the_whole_conversation(spark):
     assert found[-1].piece[found[-1].text_begin : found[-1].text_end] == "next"
     digests = chat.conversation_digests(rows, thoughts_dropped, lambda piece: ("", piece), str).collect()
     assert [r.rewrites for r in digests] == [True]
+
+
+def far_looking(kind):
+    """Templates that look further back than a few turns (nested, so that tasks get them by value)."""
+
+    def last_words(said):
+        return "".join(f"[{r}] {t if i == len(said) - 1 else t[:2]};" for i, (r, t) in enumerate(said))
+
+    def counted(said):
+        return "".join(f"{i}[{r}] {t};" for i, (r, t) in enumerate(said))
+
+    def summed_up_late(said):
+        """At turn 201 what was said at turns 20 to 29 shrinks to a word."""
+        return "".join("..;" if len(said) > 200 and 20 <= i < 30 else f"[{r}] {t};" for i, (r, t) in enumerate(said))
+
+    def dropped_thoughts(said):
+        last = max((i for i, (r, _) in enumerate(said) if r == "user"), default=0)
+        return "".join(f"[{r}] {t if i >= last else t.replace('<thought>', '')};" for i, (r, t) in enumerate(said))
+
+    return {"plain": chat.marked_turns, "last": last_words, "counted": counted, "late": summed_up_late, "thoughts": dropped_thoughts}[kind]
+
+
+LONG = [(("tool", "assistant", "user")[(i % 90 == 0) + (i % 7 == 0 and i % 90 == 0)], f"{'<thought>' * (i % 31 == 0)}step {i}") for i in range(300)]
+
+
+@pytest.mark.parametrize("kind", ["plain", "last", "counted", "late", "thoughts"])
+def test_long_conversations_like_all_prefixes(spark, kind):
+    template = far_looking(kind)
+    exact = chat.Renderer(template)
+    right = [(p.text, p.begin, p.end, p.rewrites) for p in map(exact.add, LONG)]
+    rows = turns(spark, [(c, i, *t) for c in (1, 2) for i, t in enumerate(LONG)]).repartition(3)
+    found = chat.format_turns(rows, template).orderBy("conv_id", "position").collect()
+    assert [(r.piece, r.text_begin, r.text_end, r.rewrites) for r in found] == right * 2
+    if kind == "late":
+        assert [i for i, r in enumerate(right) if r[3]] == [200]
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 31, 32, 33, 64, 100])
+def test_stretches_settle_every_turn_once(n):
+    talk = chat.Conversation(chat.marked_turns)
+    got = [found for i in range(n) for found in talk.add((i,), ("user", f"t{i}"))] + talk.settle()
+    assert [key for key, _ in got] == [(i,) for i in range(n)] and talk.settle() == []
+    assert "".join(p.text for _, p in got) == chat.marked_turns([("user", f"t{i}") for i in range(n)])
+
+
+def test_work_is_in_proportion_for_a_plain_template():
+    work = 0
+
+    def plain(said):
+        nonlocal work
+        work += len(said)
+        return chat.marked_turns(said)
+
+    done = {}
+    for n in (1000, 4000):
+        work, talk = 0, chat.Conversation(plain)
+        for i in range(n):
+            talk.add((i,), ("user", "t"))
+        talk.settle()
+        done[n] = work
+    assert done[4000] < 4.5 * done[1000]
