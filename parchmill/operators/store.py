@@ -124,14 +124,15 @@ def store_upsert(store: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def store_stats(store: DataFrame, location: str) -> DataFrame:
     """Entries, total size and mean size (absent without entries), expired ones included."""
-    size = byte_length(F.col("markdown"))
-    return _stats(store.select(size.alias("size")), location)
-
-
-def _stats(sizes: DataFrame, location: str) -> DataFrame:
+    sizes = store.select(byte_length(F.col("markdown")).alias("size"))
     totals = sizes.agg(
         F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("bytes")
     )
+    return store_totals(totals, location)
+
+
+def store_totals(totals: DataFrame, location: str) -> DataFrame:
+    """The report of a store from one row of its ``entries`` and ``bytes``."""
     mean = F.when(F.col("entries") > 0, F.expr("bytes div entries"))
     return totals.select(
         "entries",

@@ -25,7 +25,7 @@ from parchmill.operators import render as R
 from parchmill.operators import results as RS
 from parchmill.operators import store as S
 from parchmill.plans.pipeline import process_batch, process_into_store, truncate_markdown
-from parchmill.schemas import STORE, STORE_JSON
+from parchmill.schemas import STORE
 from parchmill.session import prepare, shared_folder
 from parchmill.sources import pages as P
 from parchmill.sources import sinks as K
@@ -208,34 +208,35 @@ def write_store(spark, sf_dir):
 
 @query
 def read_store(spark, sf_dir):
-    """The JSON layout, with one entry in seven damaged."""
+    """The layout of one JSON file per entry, some of them torn off."""
     path = scratch(spark, "json")
-    entry = F.to_json(
-        F.struct(
-            "url",
-            F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fetchedAt"),
-            "markdown",
-            F.struct(
-                F.col("meta.title").alias("Title"),
-                F.col("meta.author").alias("Author"),
-                F.col("meta.publish_date").alias("PublishDate"),
-                F.col("meta.description").alias("Description"),
-            ).alias("metadata"),
-        )
-    )
+    store = stored_pages(spark, sf_dir)
     damaged = F.col("markdown").rlike("7$")
-    lines = stored_pages(spark, sf_dir).select(
-        F.when(damaged, F.substring(entry, 1, 20)).otherwise(entry).alias("value")
-    )
-    lines.write.text(path)
-    # Entries here are lines of shared files, so the reader works line by line.
-    read = (
-        spark.read.schema(T.StructType([*STORE_JSON.fields, T.StructField("_corrupt", T.StringType())]))
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-        .filter(F.col("_corrupt").isNull())
-    )
-    return read.select("url", "markdown", F.col("metadata.Title").alias("title"), F.unix_micros("fetchedAt").alias("fetched_us"))
+    SS.write_store_files(store.filter(~damaged), path)
+    cut = F.concat(F.lit('{"url": "'), "url").alias("value")
+    torn = store.filter(damaged).select(cut, F.substring("url_key", 1, 2).alias("prefix"), "url_key")
+    torn.write.mode("append").partitionBy("prefix", "url_key").text(path)
+    read = SS.read_store(spark, path, layout="json")
+    return read.select("url_key", "url", "markdown", F.col("meta.title").alias("title"), F.unix_micros("fetched_at").alias("fetched_us"))
+
+
+@query
+def store_files(spark, sf_dir):
+    """Statistics of a store of one file per entry, written twice: the second write replaces what it repeats."""
+    path = scratch(spark, "files")
+    store = stored_pages(spark, sf_dir)
+    SS.write_store_files(store, path)
+    SS.write_store_files(store.filter("url like '%3'").withColumn("markdown", F.concat(F.lit("newer "), "markdown")), path)
+    return SS.store_file_stats(spark, path).withColumn("location", F.lit("store"))
+
+
+@query
+def store_files_clear(spark, sf_dir):
+    path = scratch(spark, "filescleared")
+    SS.write_store_files(stored_pages(spark, sf_dir), path)
+    report = SS.store_clear(spark, path, layout="json")
+    left = SS.store_file_stats(spark, path)
+    return report.select("status", "entries_removed").crossJoin(F.broadcast(left.select(F.col("entries").alias("entries_left"))))
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from parchmill.functions.urls import normalize_url, url_key
 from parchmill.operators.convert import as_of_column
-from parchmill.operators.store import AsOf, _stats, clear_report, latest_entries
+from parchmill.operators.store import AsOf, clear_report, latest_entries, store_totals
 from parchmill.schemas import STORE, STORE_JSON
 
 
@@ -25,7 +25,9 @@ def read_store(
     """Entries of a store; a store that does not exist yet is empty.
 
     ``layout='json'`` reads a directory with one JSON file per entry, whose
-    file time is the entry's age; there a corrupt file is one entry missed. A
+    file time is the entry's age; there a corrupt file is one entry missed. The
+    key is the file's name, or the name of its folder as ``write_store_files``
+    makes them. A
     Parquet file holds many, so an unreadable one fails the job unless
     ``skip_corrupt`` says otherwise. ``without_batch`` leaves out what one batch
     wrote: a batch that may run again must not find its own entries.
@@ -51,9 +53,11 @@ def _read_json(spark: SparkSession, path: str) -> DataFrame:
         .option("multiLine", "true")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
+        .option("recursiveFileLookup", "true")
         .json(path)
     )
-    name = F.col("_metadata.file_name")
+    folder = F.regexp_extract("_metadata.file_path", "/url_key=([^/]+)/[^/]+$", 1)
+    key = F.when(folder != "", folder).otherwise(F.regexp_replace("_metadata.file_name", r"\.json$", ""))
     meta = F.struct(
         F.col("metadata.Title").alias("title"),
         F.col("metadata.Author").alias("author"),
@@ -62,7 +66,7 @@ def _read_json(spark: SparkSession, path: str) -> DataFrame:
     )
     return entries.select(
         "_corrupt",
-        F.regexp_replace(name, r"\.json$", "").alias("url_key"),
+        key.alias("url_key"),
         "url",
         F.col("fetchedAt").alias("fetched_at"),
         "markdown",
@@ -96,6 +100,31 @@ def write_store(entries: DataFrame, path: str, batch_id: int | str | None = None
     entries.select(*STORE.names).write.mode("overwrite").parquet(target)
 
 
+def write_store_files(entries: DataFrame, path: str) -> None:
+    """Write entries as one JSON file each, ``prefix=<two digits of the key>/url_key=<key>/``.
+
+    The newest entry of a key replaces the file that stands; other keys keep
+    theirs, and a repeated write changes nothing but file times. Rows without
+    key are left out. Tasks write their keys one after another, one file open at a time.
+    """
+    text = lambda name: F.coalesce(F.col(f"meta.{name}"), F.lit(""))
+    rows = latest_entries(entries.filter(F.col("url_key").isNotNull())).select(
+        "url",
+        F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("fetchedAt"),
+        "markdown",
+        F.struct(
+            text("title").alias("Title"),
+            text("author").alias("Author"),
+            text("publish_date").alias("PublishDate"),
+            text("description").alias("Description"),
+        ).alias("metadata"),
+        F.substring("url_key", 1, 2).alias("prefix"),
+        "url_key",
+    )
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("prefix", "url_key").json(path)
+
+
 def compact_store(store: DataFrame, target: str) -> None:
     """Write the newest entry of each key to a new store, as a batch like any other."""
     write_store(latest_entries(store), target, f"compact-{uuid.uuid4().hex}")
@@ -109,27 +138,49 @@ def _listing(spark: SparkSession, path: str) -> tuple[object, list]:
     return system, [f for f in found if not f.getPath().getName().startswith(("_", "."))]
 
 
+def _files(system: object, found: list) -> tuple[int, int]:
+    """How many files stand under ``found``, and their bytes: the file system adds up each folder, which hands over no list."""
+    sums = [(1, f.getLen()) if f.isFile() else _folder_sums(system, f) for f in found]
+    return sum(n for n, _ in sums), sum(b for _, b in sums)
+
+
+def _folder_sums(system: object, folder: object) -> tuple[int, int]:
+    summary = system.getContentSummary(folder.getPath())
+    return summary.getFileCount(), summary.getLength()
+
+
 def store_clear(spark: SparkSession, path: str, layout: str = "parquet") -> DataFrame:
     """Remove all entries; returns a one-row report.
 
-    Deletes nothing but batches, or JSON files of the other layout, whether or
-    not they can be read; a folder that holds anything else is no store and an
-    error. ``reason`` tells why there was nothing to remove.
+    Deletes nothing but batches, or JSON files and their prefix folders of the
+    other layout, whether or not they can be read; a folder that holds anything
+    else is no store and an error. Batches and prefix folders go whole, a call
+    each. ``reason`` tells why there was nothing to remove.
     """
     system, found = _listing(spark, path)
-    is_entry = (lambda n: n.endswith(".json")) if layout == "json" else (lambda n: n.startswith("batch="))
-    other = [n for n in (f.getPath().getName() for f in found) if not is_entry(n)]
+    if layout == "json":
+        other = [f for f in found if not f.getPath().getName().endswith(".json") and not _is_prefix(f)]
+    else:
+        other = [f for f in found if not f.getPath().getName().startswith("batch=")]
     if other:
-        raise ValueError(f"{path} is no {layout} store: it holds {other[0]}")
-    removed = len(found) if layout == "json" else read_store(spark, path).count() if found else 0
+        raise ValueError(f"{path} is no {layout} store: it holds {other[0].getPath().getName()}")
+    removed = _files(system, found)[0] if layout == "json" else read_store(spark, path).count() if found else 0
     exists = system.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
     for file in found:
         system.delete(file.getPath(), True)
     return spark.range(1).select(*clear_report(F.lit(removed).cast("bigint"), path, exists))
 
 
+def _is_prefix(file: object) -> bool:
+    return file.isDirectory() and file.getPath().getName().startswith("prefix=")
+
+
 def store_file_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Statistics of a one-file-per-entry store, from the file listing alone; every file counts."""
-    _, found = _listing(spark, path)
-    sizes = [(f.getLen(),) for f in found if f.getPath().getName().endswith(".json")]
-    return _stats(spark.createDataFrame(sizes, "size bigint"), path)
+    """Statistics of a one-file-per-entry store, without reading a file: every one counts, readable or not, empty ones too.
+
+    Prefix folders, at most a few hundred, are added up by the file system;
+    files of a flat store are listed at once. What is hidden does not count.
+    """
+    system, found = _listing(spark, path)
+    entries, size = _files(system, found)
+    return store_totals(spark.createDataFrame([(entries, size)], "entries bigint, bytes bigint"), path)

@@ -121,6 +121,27 @@ def test_json_layout_survives_corrupt_files(spark, tmp_path):
     assert (cleared.status, cleared.entries_removed) == ("cleared", 3) and not list(tmp_path.glob("*.json"))
 
 
+def test_files_of_entries(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert SS.store_file_stats(spark, path).first().entries == 0
+    old = entries(spark, [("https://a/1", "one", 2), ("https://a/1", "newer", 1), ("https://a/2", "zwölf \"\n", 1)])
+    SS.write_store_files(old, path)
+    found = {r.url: r for r in SS.read_store(spark, path, layout="json").collect()}
+    assert {u: r.markdown for u, r in found.items()} == {"https://a/1": "newer", "https://a/2": "zwölf \"\n"}
+    assert {r.url_key for r in found.values()} == {r.url_key for r in old.collect()}
+    SS.write_store_files(entries(spark, [("https://a/2", "again", 3)]), path)
+    again = {r.url: r.markdown for r in SS.read_store(spark, path, layout="json").collect()}
+    assert again == {"https://a/1": "newer", "https://a/2": "again"}
+    (tmp_path / "store" / "prefix=00" / "url_key=0").mkdir(parents=True, exist_ok=True)
+    (tmp_path / "store" / "prefix=00" / "url_key=0" / "empty.json").write_text("")
+    (tmp_path / "store" / ("d" * 64 + ".json")).write_text('{"url": "https://a/3", "markdown": "flat"}')
+    assert SS.store_file_stats(spark, path).first().entries == 4
+    flat = SS.read_store(spark, path, layout="json").filter("url = 'https://a/3'").first()
+    assert (flat.url_key, flat.markdown) == ("d" * 64, "flat")
+    assert SS.store_clear(spark, path, layout="json").first().entries_removed == 4
+    assert SS.store_file_stats(spark, path).first().entries == 0 and SS.read_store(spark, path, layout="json").count() == 0
+
+
 def test_clearing_leaves_other_folders_alone(spark, tmp_path):
     (tmp_path / "letters.txt").write_text("dear store")
     for layout in ("parquet", "json"):
