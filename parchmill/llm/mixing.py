@@ -159,17 +159,27 @@ def mix(
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) per row of ``docs``."""
+    """Per row of ``docs``: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), first_slot.
+
+    first_slot is the place in the schedule where the mix comes to the document,
+    -1 if it takes none of it: in this order each stretch of documents has
+    nearly the target weights.
+    """
     rows, pieces = mix(docs, **options)
-    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
+    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     return rows.join(taken, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("first_slot", F.lit(-1)).cast("long").alias("first_slot"),
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, in_order: bool = False, **options) -> DataFrame:
     """``docs`` as the mix takes them: a row per document and reading, with all columns.
 
+    ``in_order`` sorts the rows by the slots at which the schedule comes to them
+    (one more shuffle, of whole texts), so that any stretch of what is written
+    is mixed; without it a stage that deals rows anew, as packing does, loses nothing.
+
     A document that the end of its source's target cuts keeps the words before
     it; all others keep their text as it is. ``n_chars`` follows the text. How
     the table is cut into files makes no difference to documents with an id of their own.
@@ -177,8 +187,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     whole = staged(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("at")), "documents")
     numbered = whole.select(F.col("at").alias("doc_id"), F.col("doc.doc_id").alias("name"), "doc.text", "doc.source")
     rows, pieces = mix(numbered, name="name", **options)
-    taken = pieces.groupBy("row", "epoch").agg(F.sum("words").alias("words"))
-    read = taken.join(rows.select("row", "size", F.col("doc_id").alias("at")), "row").select("at", "size", "words")
+    taken = pieces.groupBy("row", "epoch").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    read = taken.join(rows.select("row", "size", F.col("doc_id").alias("at")), "row").select("at", "size", "words", "slot")
     text = F.col("doc.text")
     cut = F.when(F.col("words") >= F.col("size"), text).otherwise(
         F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORDS})")), F.lit(1), F.col("words").cast("int")), " ")
@@ -186,4 +196,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     out = whole.join(read, "at").withColumn("doc", F.col("doc").withField("text", cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("doc", F.col("doc").withField("n_chars", F.length("doc.text").cast(docs.schema["n_chars"].dataType)))
+    if in_order:
+        out = out.orderBy("slot", "at", "words")
     return out.select("doc.*")

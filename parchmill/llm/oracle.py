@@ -21,17 +21,37 @@ WITH sized AS (
          sum(weight) OVER (fill ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
   FROM weighed WINDOW fill AS (ORDER BY cap::DOUBLE / weight, rank)
 ), targets AS (
-  SELECT source, source_size, least(cap::DOUBLE, weight * max(remains::DOUBLE / rest) OVER ()) AS target FROM levels
+  SELECT source, rank, source_size, least(cap::DOUBLE, weight * max(remains::DOUBLE / rest) OVER ()) AS target FROM levels
+), goals AS (
+  SELECT *, floor(target + 0.5)::BIGINT AS goal,
+         sum(floor(target + 0.5)::BIGINT) OVER (ORDER BY rank)::BIGINT AS hi FROM targets
+), whole AS (
+  SELECT coalesce(max(hi), 0)::BIGINT AS words, count(*) AS sources, ((coalesce(max(hi), 0) + 127) // 128)::BIGINT AS n FROM goals
+), points AS (
+  SELECT j AS slot, ((j % 2147483648) * 1327217885 % 2147483648)::DOUBLE / 2147483648::DOUBLE * words::DOUBLE AS spot
+  FROM (SELECT unnest(range(n)) AS j, words FROM whole)
+), drawn AS (
+  SELECT slot, rank, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS block
+  FROM points JOIN goals ON spot >= hi - goal AND spot < hi
+), needs AS (
+  SELECT g.rank, (g.goal + 127) // 128 AS need, (SELECT count(*) FROM drawn d WHERE d.rank = g.rank) AS got
+  FROM goals g WHERE goal > 0
+), slots AS (
+  SELECT slot, d.rank, block FROM drawn d JOIN needs n ON d.rank = n.rank AND block < need
+  UNION ALL
+  SELECT w.n + block * w.sources + rank, rank, block
+  FROM (SELECT rank, unnest(range(got, need)) AS block FROM needs) CROSS JOIN whole w
 ), placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS goal,
+  SELECT s.doc_id, s.size, t.rank, t.source_size, t.target, t.goal,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY k, s.doc_id, s.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  FROM sized s JOIN goals t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(begins + size, goal) - begins)
-        + greatest(0, least(source_size + begins + size, goal) - source_size - begins))::BIGINT AS taken
-FROM placed
+        + greatest(0, least(source_size + begins + size, goal) - source_size - begins))::BIGINT AS taken,
+       CASE WHEN size > 0 AND begins < goal THEN slot::BIGINT ELSE -1 END AS first_slot
+FROM placed p LEFT JOIN slots s ON p.rank = s.rank AND p.begins // 128 = s.block
 """
 
 CHAT = r"""

@@ -131,6 +131,21 @@ def test_mix_schedule_follows_the_weights(spark):
         assert abs(seen[source] - len(half) * goal / whole) <= 5
 
 
+def test_any_stretch_of_the_mix_has_the_weights(spark):
+    """Whoever reads documents by first_slot, or mixed documents in order, meets the sources by their targets all along."""
+    docs = frame(spark, [(i, "w " * 128, "en", "abcd"[i % 4]) for i in range(800)])
+    met = docs.join(mixing.mixed_sizes(docs), "doc_id").filter("taken > 0").orderBy("first_slot").select("source", "target", "first_slot").collect()
+    assert len({r.first_slot for r in met}) == len(met)
+    texts = [r.source for r in mixing.mixed_documents(docs, in_order=True).select("source").collect()]
+    goals = {r.source: r.target / 128 for r in met}
+    assert 0 <= len(texts) - sum(goals.values()) <= len(goals)  # the last reading of a source may be part of a document
+    for at in range(50, len(texts), 50):
+        seen = collections.Counter(texts[:at])
+        assert all(abs(seen[s] - at * goal / len(texts)) <= 6 for s, goal in goals.items())
+    nothing = mixing.mixed_sizes(docs).filter("(taken > 0) <> (first_slot >= 0)")
+    assert nothing.count() == 0
+
+
 def test_mixed_documents_carry_the_taken_words(odd, empty):
     got = mixing.mixed_documents(odd)
     assert got.columns == odd.columns
