@@ -348,6 +348,53 @@ def test_secret_rules_and_learned_spans(spark, odd, empty):
     assert secrets.fit(empty) is None and secrets.scan(empty, None).count() == 0
 
 
+def key_texts(n, has_key, seed=5):
+    """Texts that hold a key or, where they hold none, an order number of the same look."""
+    rng = np.random.default_rng(seed)
+    draw = lambda size, chars: "".join(rng.choice(list(chars), size))
+    keys = [lambda: f'secret = "{draw(30, "ABCdefGH0123")}"', lambda: f"AKIA{draw(16, 'ABCDEF123')}", lambda: draw(32, "0123456789abcdef")]
+    return [f"thing {i} {keys[i % 3]() if has_key(i) else f'order-{i:06d}-{draw(6, "0123456789")}'} thereafter" for i in range(n)]
+
+
+def test_network_learns_from_every_document(spark):
+    """Before, a hash of the id chose about 4,000 documents; here all others hold the keys."""
+    n = 5000
+    draw = F.pmod(F.xxhash64(F.lit("fit"), F.col("id").cast("string")), F.lit(1_000_003))
+    passed_over = {r.id for r in spark.range(n).filter(draw >= int(4000 / n * 1_000_003) + 1).collect()}
+    assert 100 < len(passed_over) < 2000
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(key_texts(n, passed_over.__contains__))])
+    found = secrets.findings(docs)
+    assert found.filter("hit").agg(F.sum("n")).first()[0] >= len(passed_over)
+    assert found.agg(F.sum("n")).first()[0] >= n
+    net = secrets.fit(docs)
+    assert net is not None
+    assert secrets.scan(docs, net).filter("n_learned > 0").count() <= n / 100
+
+
+def test_network_of_many_lots_is_that_of_all_findings(spark):
+    """Counts and threshold against plain Python over all findings; order and partitions change nothing."""
+    texts = key_texts(1200, lambda i: i % 12 == 0) + ["", None, "a" * 4 + "1" + "b" * 6000] + key_texts(300, lambda i: i % 2 == 0)[:200] * 2
+    docs = frame(spark, [(None if i % 7 == 0 else i % 900, t, "en", "a") for i, t in enumerate(texts)])
+    by_hand = collections.Counter()
+    for t in texts:
+        base = secrets.base_spans(t or "")
+        for start, end, hit in secrets.labelled(t or ""):
+            assert hit == any(s <= start and end <= e for _, s, e in base)
+            by_hand.update((row.astype("<u2").tobytes(), hit) for part in secrets.parts(t, start, end) for row in part)
+    one, two = (secrets.findings(docs.repartition(k)).cache() for k in (2, 5))
+    assert {(bytes(r.window), r.hit): r.n for r in one.collect()} == by_hand
+    net, again = secrets.train(one, epochs=3, per_lot=200), secrets.train(two.repartition(7), epochs=3, per_lot=200)
+    assert net.flat().tolist() == again.flat().tolist() and net.threshold == again.threshold
+    held = one.filter(F.pmod(F.xxhash64(F.lit("later"), "window"), F.lit(5)) == 4).filter("hit").collect()
+    rows = np.stack([np.frombuffer(r.window, "<u2") for r in held for _ in range(r.n)])
+    chance = net.probability(net.score(rows))
+    assert (chance >= net.threshold).mean() >= secrets.LEAST_RECALL > (chance > net.threshold).mean()
+    other = one.filter(F.pmod(F.xxhash64(F.lit("later"), "window"), F.lit(5)) == 4).filter("not hit").collect()
+    false = net.probability(net.score(np.stack([np.frombuffer(r.window, "<u2") for r in other]))) >= net.threshold
+    assert false.mean() <= 0.02
+    assert secrets.train(one.filter("hit")) is None and secrets.train(one.filter("not hit")) is None
+
+
 @pytest.mark.parametrize(
     ("text", "spans"),
     [
