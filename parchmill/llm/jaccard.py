@@ -54,8 +54,8 @@ def _sets_of(texts: pa.Array, words: int, memo: WordHashes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array([f.tobytes() for f in found], pa.binary())], names=["set_id", "tokens"])
 
 
-def frequent_tokens(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles that at least ``FREQUENT`` of about ``SAMPLE`` documents' sets hold, equal sets counting once.
+def frequent_tokens(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that at least ``FREQUENT`` of about ``SAMPLE`` documents' sets hold, equal sets counting once, and by how many.
 
     They only steer which signatures are made (``Signatures``). At most
     ``SAMPLE / FREQUENT`` times the mean set size of them can exist, however
@@ -76,16 +76,18 @@ def frequent_tokens(docs: DataFrame, words: int) -> np.ndarray:
 
     sample = docs.filter(draw < F.lit(int(share * 1_000_003) + 1)).select("text").mapInArrow(sets, TOKENS)
     counted = sample.dropDuplicates(["set_id"]).select("tokens").mapInArrow(each, "token long").groupBy("token").count()
-    found = counted.filter(F.col("count") >= FREQUENT).select("token").toArrow().column("token").to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    found = counted.filter(F.col("count") >= FREQUENT).select("token", "count").toArrow()
+    tokens = found.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], found.column("count").to_numpy()[order]
 
 
 def _sign(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """A row per document, and its set's signatures packed into a row per batch and part."""
-    frequent = frequent_tokens(docs, words)
+    frequent, counts = frequent_tokens(docs, words)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, signatures, dealt = WordHashes(), Signatures(percent, frequent), 0
+        memo, signatures, dealt = WordHashes(), Signatures(percent, frequent, counts=counts), 0
         names = [f.split()[0] for f in SIGNED.split(", ")]
         for batch in batches:
             for at in range(0, len(batch), DOCS_AT_ONCE):
@@ -307,11 +309,6 @@ def set_links(docs: DataFrame, sets: DataFrame, shared: DataFrame, words: int, p
     members = homes.groupBy("home").agg(F.count(F.lit(1)).alias("members"))
     unit = F.xxhash64("home", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("members") / GROUP)))
     units = staged(join_totals(homes, members, "home", "members", homes.count()).select("set_id", unit.alias("unit")), "units")
-    seated = near.join(units, "set_id")
-    asked = seated.select("centre", F.col("unit").alias("of")).distinct()
-    # Of two units one asks the other; within a unit all ask all.
-    queries = seated.join(asked, "centre").filter("unit <= of").select("set_id", F.col("of").alias("unit"), (F.col("unit") == F.col("of")).alias("own"))
-    queries = staged(queries.distinct(), "queries")
     chosen = staged(sets.join(units.select("set_id"), "set_id", "left_semi").select("first.row", F.col("set_id").alias("set")), "chosen")
     tokens = staged(_tokens(docs, chosen, words), "tokens")
 
@@ -334,20 +331,36 @@ def set_links(docs: DataFrame, sets: DataFrame, shared: DataFrame, words: int, p
             places.setdefault(one, len(places))
         forest, found = Forest(len(places)), []
         for one, tokens in zip(asks.column("set_id").to_pylist(), _read(asks), strict=True):
+            if len(found) == len(places) - 1:
+                break  # all are connected
             found += [(one, ids[i]) for i in matrix.matches(tokens, percent).tolist() if forest.join(places[one], i)]
         return _table(found)
 
     def compared(asking: DataFrame, holding: DataFrame) -> DataFrame:
         return together(asking, holding).join(tokens, "set_id").groupBy("unit", "lot").applyInArrow(compare, LINKS)
 
-    inner = staged(compared(queries.filter("own"), units), "inner")
-    joined = components(inner).withColumnRenamed("node", "set_id")
-    component = F.coalesce("component", "set_id").alias("component")
-    held = units.join(joined, "set_id", "left").select("unit", component)
-    held = held.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    other = queries.filter("not own").join(joined, "set_id", "left").select("set_id", "unit", component).join(held, "unit")
-    other = staged(other.filter("component <> low or component <> high").select("set_id", "unit"), "others")
-    return inner.unionByName(staged(compared(other, units), "outer"))
+    def parted(links: DataFrame) -> DataFrame:
+        """set_id, unit and component of the sets of centres (centre) that ``links`` leave in several components."""
+        joined = components(links).withColumnRenamed("node", "set_id")
+        seated = near.join(units, "set_id").join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        seated = staged(seated, "seated")
+        several = seated.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+        return staged(seated.join(several.select("centre"), "centre"), "parted")
+
+    def others(asking: DataFrame, seated: DataFrame) -> DataFrame:
+        """Queries (set_id, unit) of ``asking`` to units with another component under their centre; of two units one asks the other."""
+        held = seated.groupBy("centre", F.col("unit").alias("of")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        met = asking.join(held, "centre").filter("unit < of and (component <> low or component <> high)")
+        return met.select("set_id", F.col("of").alias("unit")).distinct()
+
+    inner = staged(compared(units, units), "inner")
+    seated = parted(inner)
+    firsts = seated.groupBy("centre", "unit", "component").agg(F.min("set_id").alias("set_id"))
+    first = staged(others(firsts, seated), "first-queries")
+    found = inner.unionByName(staged(compared(first, units), "outer"))
+    seated = parted(found)
+    rest = staged(others(seated, seated).join(first, ["set_id", "unit"], "left_anti"), "queries")
+    return found.unionByName(staged(compared(rest, units), "rest"))
 
 
 def numbered(docs: DataFrame) -> DataFrame:

@@ -78,22 +78,28 @@ class Signatures:
 
     Sets a <= b with 100 |a & b| >= percent |a | b| differ in at most
     (|a| + |b|) (100 - percent) / (100 + percent) elements. A size class of the
-    smaller set has more parts than that; each element falls into one part by
-    its hash and can spoil only that part, so a part is the same in both. A
-    signature is the hash of all elements of one part.
-
-    A set signs its parts that hold an element not in ``frequent`` (sorted), so
-    that sets which share only what many sets have seldom meet. If so few parts
-    do that all equal ones could be without, it signs every part. Which elements
-    are frequent decides how many signatures are shared, never whether one is.
+    smaller set has twice as many parts as that; each element falls into one part
+    by its hash and can spoil only that part, so all other parts are the same in
+    both. A signature is the hash of all elements of one part.
+
+    Parts have an order that depends on what they hold and nothing else. A set
+    signs its first ones, one more than may differ: before the first part that
+    is the same in both sets, each has only parts that differ, so both sign it.
+    First come parts without an element of ``frequent`` (sorted) or with one
+    that few sets have (``counts``, as many), of those the ones with the most
+    elements that are not frequent; empty parts come last. So sets that share
+    only what many sets have, or lack elements in the same part, seldom meet.
+    Which elements are frequent decides how many signatures are shared, never
+    whether one is.
 
     A set signs for the class of its size and, as the smaller set may be one
     class below, for that of ``percent`` of its size.
     """
 
-    def __init__(self, percent: int, frequent: np.ndarray | None = None, ratio: float = CLASS_RATIO):
+    def __init__(self, percent: int, frequent: np.ndarray | None = None, ratio: float = CLASS_RATIO, counts: np.ndarray | None = None):
         self.percent, self.ratio = percent, ratio
         self.frequent = np.zeros(0, dtype=np.uint64) if frequent is None else frequent
+        self.counts = np.ones(len(self.frequent), dtype=np.int64) if counts is None else counts
         self.starts = [1]
         self.parts: list[tuple[int, int]] = []  # of a class: parts, and most that may differ
 
@@ -103,21 +109,22 @@ class Signatures:
             end = max(start + 1, int(np.ceil(start * self.ratio)))
             small = end - 1
             differ = (small + small * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-            spare = 0 if differ == 0 else int(np.ceil(0.03 * (differ + 1))) + 1
-            self.parts.append((differ + 1 + spare, differ))
+            self.parts.append((2 * differ + 1, differ))
             self.starts.append(end)
         return int(np.searchsorted(self.starts, size, "right")) - 1
 
-    def _rare(self, tokens: np.ndarray) -> np.ndarray:
+    def _common(self, tokens: np.ndarray) -> np.ndarray:
+        """The count of each token that is frequent, 0 for others."""
         if not len(self.frequent):
-            return np.ones(len(tokens), dtype=bool)
+            return np.zeros(len(tokens), dtype=np.int64)
         at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
-        return self.frequent[at] != tokens
+        return np.where(self.frequent[at] == tokens, self.counts[at], 0)
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         if len(tokens) == 0:
             return np.zeros(0, dtype=np.uint64)
-        weights, rare = mixed(tokens + _STEP), self._rare(tokens)
+        weights, common = mixed(tokens + _STEP), self._common(tokens)
+        rare = (common == 0).astype(np.int64)
         smaller = -(-len(tokens) * self.percent // 100)
         out = []
         for size_class in {self._class_of(len(tokens)), self._class_of(smaller)}:
@@ -126,10 +133,9 @@ class Signatures:
             first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             salt = np.uint64(size_class << 40)
             signed = mixed(np.add.reduceat(weights, first) ^ mixed(part[first] + salt))
-            telling = np.logical_or.reduceat(rare, first)
-            if telling.sum() > differ:
-                out.append(signed[telling])
-            else:
+            order = np.lexsort((signed, -np.add.reduceat(rare, first), np.minimum.reduceat(common, first)))
+            out.append(signed[order[: differ + 1]])
+            if len(signed) <= differ:
                 empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-                out += [signed, mixed(mixed(empty + salt) + np.uint64(1))]
+                out.append(np.sort(mixed(mixed(empty + salt) + np.uint64(1)))[: differ + 1 - len(signed)])
         return np.concatenate(out)

@@ -310,6 +310,33 @@ def test_similar_sets_share_a_signature(size, drop, add, seed, percent, common):
         assert set(signatures.of(one).tolist()) & set(signatures.of(two).tolist())
 
 
+def test_counts_and_large_differences_leave_a_shared_signature():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 5, 17, 60, 333, 1200):
+        for _ in range(20):
+            one = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+            kept = one[rng.permutation(len(one))[: -(-len(one) * 90 // 100)]]
+            two = np.union1d(kept, rng.integers(0, 2**64, len(one) // 9, dtype=np.uint64))
+            every = np.union1d(one, two)
+            frequent = every[rng.random(len(every)) < rng.random()]
+            signatures = Signatures(80, frequent, counts=rng.integers(6, 10_000, len(frequent)))
+            both = len(np.intersect1d(one, two))
+            if 100 * both >= 80 * (len(one) + len(two) - both):
+                assert np.intersect1d(signatures.of(one), signatures.of(two)).size
+
+
+@pytest.mark.parametrize("share", [0.01, 0.2, 0.4])
+def test_sets_that_share_frequent_elements_only_share_no_signature(share):
+    rng = np.random.default_rng(0)
+    frequent = np.unique(rng.integers(0, 2**64, 2000, dtype=np.uint64))
+    signatures, seen = Signatures(80, frequent), collections.Counter()
+    for size in rng.integers(140, 900, 300).tolist():
+        common = frequent[: int(size * share)]
+        own = rng.integers(0, 2**64, size - len(common), dtype=np.uint64)
+        seen.update(signatures.of(np.unique(np.concatenate([common, own]))).tolist())
+    assert max(seen.values()) <= 3
+
+
 @given(st.integers(1, 300), st.integers(0, 300), st.integers(0, 300), st.integers(0, 10**9))
 def test_sketches_bound_the_difference(both, left, right, seed):
     pool = np.unique(np.random.default_rng(seed).integers(0, 2**64, both + left + right, dtype=np.uint64))
