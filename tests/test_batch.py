@@ -142,6 +142,45 @@ def test_files_of_entries(spark, tmp_path):
     assert SS.store_file_stats(spark, path).first().entries == 0 and SS.read_store(spark, path, layout="json").count() == 0
 
 
+def test_files_of_entries_are_read_as_spark_reads_them(spark, tmp_path, monkeypatch):
+    path = tmp_path / "store"
+    keys = ["0a", "0b c", "é%/=:", "", None, "_d", "x" * 64]
+    rows = entries(spark, [(f"https://a/{i}", f"text \u20ac {i}\n", i) for i in range(len(keys))]).drop("url_key")
+    number = F.regexp_extract("url", r"(\d+)$", 1).cast("int")
+    rows = rows.withColumn("url_key", F.element_at(F.array(*map(F.lit, keys)), number + 1))
+    here, spark_own = path / "here", path / "spark"
+    SS.write_store_files(rows, str(here))
+    with monkeypatch.context() as patch:
+        patch.setattr(SS.entry_files, "local_folder", lambda *_: None)
+        SS.write_store_files(rows, str(spark_own))
+    folders = lambda root: {str(f.relative_to(root)): f.read_bytes() for d in root.glob("*/*") for f in [next(d.glob("[!.]*"))]}
+    bare = lambda found: {k.rpartition("/")[0]: v for k, v in found.items()}
+    assert bare(folders(here)) == bare(folders(spark_own)) and len(folders(here)) == 6
+    good = '{"url": "https://b/1", "fetchedAt": "2026-01-03T16:46:53.5Z", "markdown": "b"}'
+    odd = {
+        "array.json": f"[{good}, {good}]".encode(), "bom.json": b"\xef\xbb\xbf" + good.encode(), "wide.json": good.encode("utf-16"),
+        "bytes.json": good.encode().replace(b'"b"', b'"\xff"'), "two.json": f"{good}\n{good}".encode(), "type.json": good.replace('"b"', "[1]").encode(),
+        "time.json": good.replace("2026", "when").encode(), "none.json": b"", "torn.json": good.encode()[:-9], "null.json": b"null", "_hid.json": good.encode(),
+        ".hid.json": good.encode(), "sp ace%20é\u2003#.json": good.encode(), "noend": good.encode(), "prefix=0a/url_key=0a/beside.txt": good.encode(), "deep/er/in.json": good.encode(),
+        "deep/_x/in.json": good.encode(), "deep/_x=1/in.json": good.encode(), "number.json": b"7", "spaced.json": f" \n[{good}]".encode(),
+    }
+    for name, data in odd.items():
+        (here / name).parent.mkdir(parents=True, exist_ok=True)
+        (here / name).write_bytes(data)
+    mine = sorted(map(str, SS.read_store(spark, str(here), layout="json").collect()))
+    monkeypatch.setattr(SS.entry_files, "local_folder", lambda *_: None)
+    theirs = sorted(map(str, SS.read_store(spark, str(here), layout="json").collect()))
+    assert (set(mine) - set(theirs), set(theirs) - set(mine)) == (set(), set())
+    assert mine == theirs and len(mine) > 12
+
+
+def test_the_driver_holds_no_list_of_entry_files(spark, tmp_path):
+    rows = entries(spark, [(f"https://a/{i}", "text", 1) for i in range(40)])
+    SS.write_store_files(rows, str(tmp_path / "store"))
+    read = SS.read_store(spark, str(tmp_path / "store"), layout="json")
+    assert read.inputFiles() == [] and read.count() == 40
+
+
 def test_clearing_leaves_other_folders_alone(spark, tmp_path):
     (tmp_path / "letters.txt").write_text("dear store")
     for layout in ("parquet", "json"):
