@@ -181,6 +181,19 @@ def test_the_driver_holds_no_list_of_entry_files(spark, tmp_path):
     assert read.inputFiles() == [] and read.count() == 40
 
 
+def test_entry_files_are_put_and_counted_by_tasks(spark, tmp_path, monkeypatch):
+    path = tmp_path / "store"
+    monkeypatch.setattr(SS, "_listing", None)  # what the driver would list with
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.json", None)
+    for text in ("one", "other"):
+        SS.write_store_files(entries(spark, [(f"https://a/{i}", text, 1) for i in range(30)]), str(path))
+    files = list(path.glob("prefix=*/url_key=*/*"))
+    assert len(files) == len({f.parent for f in files}) == 30
+    (files[0].parent / ".draft-0").write_bytes(b"{")
+    stats = SS.store_file_stats(spark, str(path)).first()
+    assert stats.entries == 30 and stats.average_entry_size == f"{sum(f.stat().st_size for f in files) // 30} B"
+
+
 def test_clearing_leaves_other_folders_alone(spark, tmp_path):
     (tmp_path / "letters.txt").write_text("dear store")
     for layout in ("parquet", "json"):
