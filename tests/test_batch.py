@@ -194,6 +194,23 @@ def test_entry_files_are_put_and_counted_by_tasks(spark, tmp_path, monkeypatch):
     assert stats.entries == 30 and stats.average_entry_size == f"{sum(f.stat().st_size for f in files) // 30} B"
 
 
+def test_entry_files_are_cleared_by_tasks(spark, tmp_path, monkeypatch):
+    path = tmp_path / "store"
+    monkeypatch.setattr(SS, "_listing", None)  # what the driver would list and delete with
+    SS.write_store_files(entries(spark, [(f"https://a/{i}", "text", 1) for i in range(30)]), str(path))
+    (path / ("e" * 64 + ".json")).write_text("")
+    (path / ("." + "e" * 64 + ".json.crc")).write_text("")
+    (path / "letters.txt").write_text("dear store")
+    with pytest.raises(ValueError, match="no json store: it holds letters.txt"):
+        SS.store_clear(spark, str(path), layout="json")
+    (path / "letters.txt").unlink()
+    report = SS.store_clear(spark, str(path), layout="json").first()
+    assert (report.status, report.entries_removed, report.reason) == ("cleared", 31, None)
+    assert [f.name for f in path.iterdir()] == ["_SUCCESS"]
+    again = SS.store_clear(spark, str(path), layout="json").first()
+    assert (again.status, again.entries_removed) == ("already_empty", 0)
+
+
 def test_clearing_leaves_other_folders_alone(spark, tmp_path):
     (tmp_path / "letters.txt").write_text("dear store")
     for layout in ("parquet", "json"):
